@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import radix_dedup, simhash
+from . import mixing, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash
 
 QUERIES = {
+    "op2_source_mix": mixing.op2_source_mix,
     "op3_exact_dedup": radix_dedup.op3_exact_dedup,
+    "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_flow_reshard": resharding.op10_flow_reshard,
 }
 
 SQL = {"op3_exact_dedup": radix_dedup.OP3_SQL}
