@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash
+from . import mixing, multi_index, pii, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_exact_dedup": radix_dedup.op3_exact_dedup,
+    "op4_multi_index": multi_index.op4_multi_index,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_flow_reshard": resharding.op10_flow_reshard,
 }
