@@ -10,31 +10,44 @@ is the logarithm of the longest shared prefix.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, documents, small
+from .common import ascii_lower, cut, documents
 
 #: Bytes of the first digit, and how many times longer each next one is.
-FIRST_DIGIT, GROWTH = 64, 16
+FIRST_DIGIT, GROWTH = 128, 16
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = FIRST_DIGIT, growth: int = GROWTH
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: dict[str, Callable[[Column], Column]] | None = None,
+    first_digit: int = FIRST_DIGIT,
+    growth: int = GROWTH,
 ) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text) of every row of ``docs``.
+    """(doc_id, keep_id, group_size, kept) of every row of ``docs``, and what ``carry`` makes of each compared text.
 
-    text is the text with A-Z lower-cased; a null text counts as empty.  Of
+    Texts are compared with A-Z lower-cased; a null text counts as empty.  Of
     equal texts the largest id stays.  Rows that repeat an id and its text
     count singly in group_size and share one fate; a null id stays only if
     its whole group has null ids.  An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
-    head = F.substring(ascii_lower(F.substring("raw", 1, first_digit)).cast("binary"), 1, first_digit)
-    level, width, done = rows.withColumn("digit", head).withColumn("node", F.lit(0).cast("long")), first_digit, []
-    text = ascii_lower(F.col("raw"))
+    carry = carry or {}
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    text, start = ascii_lower(raw), ascii_lower(F.substring(raw, 1, first_digit))
+    level = docs.select(
+        F.col(id_col).alias("doc_id"),
+        *[make(text).alias(name) for name, make in carry.items()],
+        F.lit(0).cast("long").alias("node"),
+        F.substring(start.cast("binary"), 1, first_digit).alias("digit"),
+        text.cast("binary").alias("rest"),
+    )
+    width, done = first_digit, []
     while True:
         shared = (
             level.groupBy("node", "digit")
@@ -44,27 +57,24 @@ def exact_groups(
             .withColumn("open", F.length("digit") == width)
         )
         shared = cut(shared, "radix-nodes")
-        count, open_ = shared.agg(F.count("*"), F.count_if("open")).first()
-        split = level.join(small(shared, count, width + 48), ["node", "digit"], "left")
+        split = level.drop("rest").join(shared, ["node", "digit"], "left").filter("open is null or not open")
         done.append(
-            split.filter("open is null or not open").select(
+            split.select(
                 "doc_id",
                 F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
                 F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-                text.alias("text") if len(done) == 0 else F.col("text"),
+                *carry,
             )
         )
-        if not open_:
+        if not shared.agg(F.count_if("open")).first()[0]:
             break
-        if len(done) == 1:
-            split = split.withColumn("text", text).withColumn("rest", F.col("text").cast("binary"))
-        at, width = width, width * growth
-        rest = F.expr(f"substring(rest, {at + 1})")
-        level = cut(
-            split.filter("open").select("doc_id", "text", F.col("next").alias("node"), rest.alias("rest")), "radix-open"
-        ).withColumn("digit", F.substring("rest", 1, width))
+        open_ = level.join(shared.filter("open").select("node", "digit", "next"), ["node", "digit"])
+        rest = F.expr(f"substring(rest, {width + 1})")
+        width *= growth
+        level = cut(open_.select("doc_id", *carry, F.col("next").alias("node"), rest.alias("rest")), "radix-open")
+        level = level.withColumn("digit", F.substring("rest", 1, width))
     out = reduce(DataFrame.unionByName, done)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,8 +84,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact_groups(documents(spark, sf_dir))
-    return groups.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.col("text"), 256).alias("text_sha256"))
+    return exact_groups(documents(spark, sf_dir), carry={"text_sha256": lambda text: F.sha2(text, 256)})
 
 
 OP3_SQL = """
