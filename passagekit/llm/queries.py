@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, multi_index, pii, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash, toxicity
+from . import debruijn, mixing, multi_index, pii, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_debruijn_dedup": debruijn.op8_debruijn_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_flow_reshard": resharding.op10_flow_reshard,
 }
