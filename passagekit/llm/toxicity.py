@@ -9,6 +9,7 @@ mentioning a group does not by itself move a text towards either label.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -184,28 +185,49 @@ def _bounded(seen: DataFrame, vocabulary: list[int]) -> list:
     return seen.mapInArrow(keep, seen.schema).collect()
 
 
+class Scorer:
+    """The model's score of a text; words' own features are remembered."""
+
+    def __init__(self, weights: dict[int, float], intercept: float):
+        self.weights, self.intercept, self.memory = weights, intercept, {}
+
+    def __call__(self, text: str | None) -> float:
+        hit: set[int] = set()
+        for w in set(words(text)):
+            got = self.memory.get(w)
+            if got is None:
+                if len(self.memory) > MEMORY:
+                    self.memory.clear()
+                got = self.memory[w] = tuple(f for f in word_features(w) if f in self.weights)
+            if got:
+                hit.update(got)
+        z = self.intercept + sum(sorted(self.weights[f] for f in hit))
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+
+
 def _scores(weights: dict[int, float], intercept: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, tuple] = {}
+        scorer = Scorer(weights, intercept)
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                hit: set[int] = set()
-                for w in set(words(text.as_py())):
-                    got = memory.get(w)
-                    if got is None:
-                        if len(memory) > MEMORY:
-                            memory.clear()
-                        got = memory[w] = tuple(f for f in word_features(w) if f in weights)
-                    if got:
-                        hit.update(got)
-                z = intercept + sum(sorted(weights[f] for f in hit))
-                scores.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+            scores = [scorer(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier does not call toxic."""
+    weights, intercept = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(weights, intercept)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(text.as_py()) < 0.5 for text in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, weights: dict[int, float], intercept: float) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text).
 
