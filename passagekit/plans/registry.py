@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from passagekit.plans import oracle
+from passagekit.plans.queries import QUERIES
+
 FLAGSHIP = "leg_kinematics"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for name, text in oracle.SQL.items() if name in QUERIES}
