@@ -268,6 +268,14 @@ SQL = {
  FROM {corners(NEAR)} k LEFT JOIN {CELL} c ON k.path = c.path AND k.frame = c.frame AND k.i = c.i AND k.j = c.j GROUP BY k.id""",
     "grid_bounds": f"""SELECT min(lat_min) AS lat_min, max(lat_max) AS lat_max, min(lon_min) AS lon_min, max(lon_max) AS lon_max, min(lat_step) AS lat_step, min(lon_step) AS lon_step,
  CAST(floor((max(lat_max) - min(lat_min)) / min(lat_step) + 0.5) AS BIGINT) AS n_lat, CAST(floor((max(lon_max) - min(lon_min)) / min(lon_step) + 0.5) AS BIGINT) AS n_lon FROM {WIND} w""",
+    "wind_grid": f"""WITH b AS (SELECT min(lat_min) AS y0, min(lon_min) AS x0, min(lat_step) AS dy, min(lon_step) AS dx, max(lat_max) AS y1, max(lon_max) AS x1 FROM {WIND} w),
+p AS (SELECT y0 + i * dy AS lat, x0 + j * dx AS lon, {NOW} AS t_ms FROM (SELECT *, unnest(range(0, CAST(round((x1 - x0) / dx) AS BIGINT) + 1)) AS j FROM
+ (SELECT *, unnest(range(0, CAST(round((y1 - y0) / dy) AS BIGINT) + 1)) AS i FROM b) b1) b2),
+f AS (SELECT p.lat || ',' || p.lon AS id, p.lat, p.lon, t_ms, min_by(path, rank) AS path FROM p JOIN (SELECT * FROM {RANKED} r WHERE type = 'wind') w
+ ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max AND t_ms BETWEEN start_ms AND end_ms GROUP BY ALL),
+n AS (SELECT id, f.path, lat, lon, min_by(frame, (abs(valid_ms - t_ms), valid_ms)) AS frame FROM f JOIN {VALID} v ON f.path = v.path GROUP BY ALL)
+SELECT floor(lat * 10000 + 0.5) / 10000 AS lat, floor(lon * 10000 + 0.5) / 10000 AS lon, floor(sum(weight * u) * 100 + 0.5) / 100 AS u, floor(sum(weight * v) * 100 + 0.5) / 100 AS v
+FROM {corners('n')} k JOIN {CELL} c ON k.path = c.path AND k.frame = c.frame AND k.i = c.i AND k.j = c.j JOIN f ON f.id = k.id GROUP BY k.id, lat, lon""",
     "combination_now": combination(f"(end_ms >= {NOW})", f"'past: forecast period ended ' || CAST(CAST(floor(({NOW} - end_ms) / 3600000 + 0.5) AS BIGINT) AS VARCHAR) || 'h ago'"),
     "combination_departure": combination(f"({DEPARTURE} BETWEEN start_ms AND end_ms)", "'does not cover the set departure time'"),
     "expired_files": f"SELECT path, end_ms FROM {FILE} f WHERE end_ms < {NOW}",
