@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import debruijn, mixing, multi_index, pii, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash, toxicity
+from .oracles import SQL
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_flow_reshard": resharding.op10_flow_reshard,
 }
 
-SQL = {"op3_exact_dedup": radix_dedup.OP3_SQL}
+__all__ = ["QUERIES", "SQL"]
