@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from passagekit.functions.polar import Polar
 
-TABLES = ("region", "nation", "supplier", "part", "orders", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "events")
 #: 2024-01-01 00:00 UTC.
 BASE_MS = 1704067200000
 

@@ -239,6 +239,26 @@ hit AS (
    HAVING NOT coalesce(max_by(cleared, seq) FILTER (WHERE cleared IS NOT NULL), FALSE))
 SELECT route_id, code, severity, min(seq) AS seq FROM hit GROUP BY route_id, code, severity"""
 
+ALLOW = f"""(SELECT s.*, cleared AS est, e.start_lat, e.start_lon, e.end_lat, e.end_lon, {hav('lat1', 'lon1', 'start_lat', 'start_lon')} AS s1, {hav('lat2', 'lon2', 'start_lat', 'start_lon')} AS s2,
+ {hav('lat1', 'lon1', 'end_lat', 'end_lon')} AS e1, {hav('lat2', 'lon2', 'end_lat', 'end_lon')} AS e2 FROM {SEGMENT} s JOIN {FIX} f ON s.id = f.event_id JOIN {ENDS} e ON f.route_id = e.route_id)"""
+ALLOWED = f"""(WITH a AS {ALLOW}, b AS (SELECT *, CASE WHEN est IS NULL THEN CASE WHEN (s1 <= 3 AND s2 <= 3) OR (e1 <= 3 AND e2 <= 3) THEN 'free' WHEN s1 <= 3 THEN 'second' WHEN e2 <= 3 THEN 'first' ELSE 'whole' END
+  WHEN NOT est THEN CASE WHEN s1 <= 0.05 THEN 'second' ELSE 'whole' END ELSE CASE WHEN e1 <= 3 AND e2 <= 3 THEN 'free' WHEN e2 <= 3 THEN 'first' ELSE 'whole' END END AS what FROM a),
+ p AS (SELECT id, CASE WHEN what = 'second' THEN lat2 ELSE lat1 END AS lat1, CASE WHEN what = 'second' THEN lon2 ELSE lon1 END AS lon1, CASE WHEN what = 'first' THEN lat1 ELSE lat2 END AS lat2,
+  CASE WHEN what = 'first' THEN lon1 ELSE lon2 END AS lon2 FROM b)
+ SELECT b.id, what = 'free' OR shore_nm IS NULL OR shore_nm >= CASE WHEN est = FALSE THEN 0.05 ELSE 3 END AS allowed FROM b LEFT JOIN {shore('p', 3.0)} d ON b.id = d.id)"""
+OFFSHORE = f"""(WITH s AS (SELECT *, id * 1000 + k AS sid FROM {samples(60.0)} s), p AS (SELECT sid AS id, lat AS lat1, lon AS lon1, lat AS lat2, lon AS lon2 FROM s)
+SELECT s.id, bool_and(coalesce(limit_nm > 0 AND shore_nm <= limit_nm, FALSE)) AS within FROM s LEFT JOIN {shore('p', 60.0)} d ON s.sid = d.id GROUP BY s.id)"""
+TIMED = f"""(SELECT route_id, seq, lat, lon, run_nm, {BASE_MS} + run_nm / 6.0 * 3600000.0 AS t FROM (SELECT *, sum(nm) OVER (PARTITION BY route_id ORDER BY seq) AS run_nm FROM
+ (SELECT *, coalesce(leg_nm, 0) AS nm FROM {LEG} g) a) b)"""
+STATE = f"(SELECT route_id, seq, coalesce(last_value(cleared IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY seq), FALSE) AS cleared FROM {FIX} f)"
+LIMITS = (("minimum_depth_m", 12000, 31), ("minimum_shore_nm", 50, 37), ("maximum_offshore_nm", 1000, 41), ("vessel_draft_m", 100, 43), ("motor_kn", 100, 47), ("motor_below_kn", 100, 53))
+GRID_NEAR = f"""b AS (SELECT min(lat_min) AS y0, min(lon_min) AS x0, min(lat_step) AS dy, min(lon_step) AS dx, max(lat_max) AS y1, max(lon_max) AS x1 FROM {WIND} w),
+p AS (SELECT y0 + i * dy AS lat, x0 + j * dx AS lon, {NOW} AS t_ms FROM (SELECT *, unnest(range(0, CAST(round((x1 - x0) / dx) AS BIGINT) + 1)) AS j FROM
+ (SELECT *, unnest(range(0, CAST(round((y1 - y0) / dy) AS BIGINT) + 1)) AS i FROM b) b1) b2),
+f AS (SELECT p.lat || ',' || p.lon AS id, p.lat, p.lon, t_ms, min_by(path, rank) AS path FROM p JOIN (SELECT * FROM {RANKED} r WHERE type = 'wind') w
+ ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max AND t_ms BETWEEN start_ms AND end_ms GROUP BY ALL),
+n AS (SELECT id, f.path, lat, lon, min_by(frame, (abs(valid_ms - t_ms), valid_ms)) AS frame FROM f JOIN {VALID} v ON f.path = v.path GROUP BY ALL)"""
+
 SQL = {
     "leg_kinematics": f"SELECT route_id, seq, {r6('leg_nm')} AS leg_nm, {r6(brg('p_lat', 'p_lon', 'lat', 'lon'))} AS course, {r6(TWA)} AS twa, {r6(fold('wind_from', 'p_from'))} AS wind_shift FROM {LEG} g WHERE p_lat IS NOT NULL",
     "route_totals": f"SELECT route_id, count(*) AS points, {r6('sum(leg_nm)')} AS distance_nm, {r6('max(leg_nm)')} AS longest_nm, {r6('sum(CASE WHEN underway THEN elapsed END) / 3.6e6')} AS underway_hours FROM {LEG} g GROUP BY route_id",
@@ -338,4 +358,41 @@ JOIN f fa ON fa.route_id = k.a AND fa.seq = floor(k.k / (s - 1) * (na - 1) + 0.5
   (SELECT *, row_number() OVER (PARTITION BY request_id, sector ORDER BY out_ DESC, parent_id, heading_idx) AS far FROM {PLACED} p) q) r WHERE far <= 2 OR near = 1""",
     "iso_closest": f"""SELECT request_id, parent_id, heading_idx, {r6('gap')} AS gap_nm FROM (SELECT *, {hav('lat_', 'lon_', 'end_lat', 'end_lon')} AS gap,
  row_number() OVER (PARTITION BY request_id ORDER BY {hav('lat_', 'lon_', 'end_lat', 'end_lon')}, parent_id, heading_idx) AS n FROM {CANDIDATE} c) x WHERE n = 1""",
+    "shore_allowance": f"SELECT id AS event_id, allowed FROM {ALLOWED} a",
+    "constraint_violations": f"""SELECT CASE WHEN NOT allowed THEN 'too-close-to-shore' WHEN NOT within THEN 'too-far-offshore' WHEN depth_m IS NULL THEN 'depth-unavailable' WHEN depth_m < 5 THEN 'too-shallow'
+ ELSE 'none' END AS violation, count(*) AS legs FROM {ALLOWED} a JOIN {OFFSHORE} o ON a.id = o.id LEFT JOIN {LEAST_DEPTH} d ON a.id = d.id GROUP BY ALL""",
+    "request_validation": f"""SELECT CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 'Required: start {{lat,lon}}, end {{lat,lon}}, departureTime (ISO 8601)'
+ WHEN o_orderkey % 29 > 24 THEN 'options.maxHoursPerDay must be between 0 and 24' {' '.join(f"WHEN o_orderkey % {n} = 1 AND NOT ({str(name == 'motor_kn').upper()} AND o_orderkey % 14 = 0) THEN 'options.{name} must be between 0 and {most}'" for name, most, n in LIMITS)}
+ WHEN o_orderkey % 19 = 0 THEN 'options.objective must be one of fastest, leastMotoring, allMotoring, bestWeather' WHEN o_orderkey % 11 = 0 THEN 'options.alternativeCount must be an integer between 1 and 10'
+ WHEN o_orderkey % 14 = 0 THEN 'options.motorSpeedKn must be greater than 0 for allMotoring' ELSE 'ok' END AS answer, count(*) AS n FROM orders GROUP BY ALL""",
+    "capability_readiness": """SELECT c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS ready, CASE WHEN NOT (c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0) THEN 'Wayfinder needs '
+ || array_to_string(list_filter([CASE WHEN c_custkey % 2 <> 0 THEN 'an active Polar Performance polar' END, CASE WHEN c_custkey % 3 = 0 THEN 'forecast coverage' END,
+ CASE WHEN c_custkey % 5 = 0 THEN 'the shoreline index' END], lambda x: x IS NOT NULL), ', ') || ' before it can plan a passage.' END AS reason, count(*) AS n FROM customer GROUP BY ALL""",
+    "file_names": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '.grib2' WHEN 1 THEN p_name || '.GRB' ELSE NULL END AS name FROM part",
+    "stop_reasons": """SELECT CASE WHEN greatest(a, b, c, d) = 0 THEN NULL WHEN a >= b AND a >= c AND a >= d THEN 'safety' WHEN b >= c AND b >= d THEN 'grib_exhausted' WHEN c >= d THEN 'land' ELSE 'wind' END AS reason,
+ CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN 'late; shallow' WHEN k % 2 = 0 THEN 'late' WHEN k % 3 <> 0 THEN 'shallow' END AS warning, count(*) AS n FROM
+ (SELECT o_orderkey AS k, o_orderkey % 4 AS a, o_orderkey * 3 % 5 AS b, o_orderkey * 7 % 6 AS c, o_orderkey * 5 % 7 AS d FROM orders) x GROUP BY ALL""",
+    "download_plan": f"""SELECT path AS area_id, cycle_ms, CAST(hour_ AS INT) AS hour, strftime(make_timestamp(cycle_ms * 1000), '%Y%m%d%H') || '-' || CAST(CAST(floor(lat_min - 1) AS INT) AS VARCHAR) || '_' || CAST(CAST(ceil(lat_max + 1) AS INT) AS VARCHAR)
+ || '_' || CAST(CAST(floor(lon_min - 1) AS INT) AS VARCHAR) || '_' || CAST(CAST(ceil(lon_max + 1) AS INT) AS VARCHAR) || '-' || lpad(CAST(hour_ AS VARCHAR), 3, '0') AS key FROM
+ (SELECT *, unnest(range(CAST(floor(lead_ / 3) * 3 AS BIGINT), CAST(least(384, ceil((lead_ + n_times * 4) / 3) * 3) AS BIGINT) + 1, 3)) AS hour_ FROM
+  (SELECT *, greatest(0, (start_ms + 360000000 - cycle_ms) / 3600000.0) AS lead_ FROM (SELECT *, (start_ms + 5000000 - 28800000) // 21600000 * 21600000 AS cycle_ms FROM {FILE} f) a) b) c""",
+    "stale_regions": "SELECT DISTINCT o_custkey % 40 AS id FROM orders WHERE o_custkey % 40 NOT IN (SELECT n_nationkey FROM nation)",
+    "reusable_files": f"SELECT path, mtime, seq % 3 <> 0 AS reuse FROM {FILE} f",
+    "nearest_rank": f"""SELECT event_type, {r6('avg(value)')} AS mean, {r6('max(CASE WHEN n = greatest(1, ceil(m * 0.5)) THEN value END)')} AS p50, {r6('max(CASE WHEN n = greatest(1, ceil(m * 0.95)) THEN value END)')} AS p95,
+ {r6('min(value)')} AS least, {r6('max(value)')} AS most FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS n, count(*) OVER (PARTITION BY event_type) AS m FROM events) x GROUP BY event_type""",
+    "corridor_times": f"SELECT route_id, seq, {r6('run_nm')} AS run_nm, {r6(f'(t - {BASE_MS}) / 3.6e6')} AS hours FROM {TIMED} t",
+    "corridor_anchors": f"""SELECT route_id, valid_ms, min_by(seq, (abs(t - valid_ms), -seq)) AS seq FROM {TIMED} t CROSS JOIN (SELECT {BASE_MS} + unnest(range(0, 12)) * 3600000 AS valid_ms) a GROUP BY route_id, valid_ms""",
+    "hand_offs": f"""WITH a AS (SELECT t.route_id, t.seq, run_nm FROM {TIMED} t JOIN {STATE} s ON t.route_id = s.route_id AND t.seq = s.seq WHERE cleared),
+b AS (SELECT a.*, run_nm - min(run_nm) OVER (PARTITION BY route_id) AS sailed FROM a),
+c AS (SELECT route_id, x.after_nm, min(seq) AS seq FROM b JOIN (VALUES (5.0), (10.0), (20.0), (40.0)) AS x(after_nm) ON sailed >= x.after_nm GROUP BY ALL)
+SELECT route_id, seq, CAST(min(after_nm) AS DOUBLE) AS after_nm FROM c GROUP BY route_id, seq""",
+    "motor_walk": f"""WITH RECURSIVE f AS (SELECT route_id, seq, u, v, lead(leg_nm) OVER w AS nm, lead({brg('p_lat', 'p_lon', 'lat', 'lon')}) OVER w AS course FROM {LEG} g WHERE seq < 30 WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+walk AS (SELECT route_id, seq, CAST({BASE_MS} AS DOUBLE) AS t FROM f WHERE seq = 0 UNION ALL
+ SELECT route_id, seq + 1, t + nm / greatest(0.3, 6 + ((u / 10 + k / 10) * sin(radians(course)) + (v / 10 - k / 20) * cos(radians(course))) * 1.94384) * 3600000 FROM
+  (SELECT w.route_id, w.seq, t, nm, course, u, v, CASE WHEN t - {BASE_MS} <= 0 THEN 0 ELSE least(5, ceil((t - {BASE_MS}) / 21600000 - 0.5)) END AS k FROM walk w JOIN f ON w.route_id = f.route_id AND w.seq = f.seq WHERE nm IS NOT NULL) x)
+SELECT route_id, seq, {r6(f'(t - {BASE_MS}) / 3.6e6')} AS hours FROM walk""",
+    "wave_grid": f"""WITH {GRID_NEAR}
+SELECT floor(n.lat * 10000 + 0.5) / 10000 AS lat, floor(n.lon * 10000 + 0.5) / 10000 AS lon,
+ floor(sum(weight * swh) FILTER (WHERE swh >= 0 AND swh < 100) / nullif(sum(weight) FILTER (WHERE swh >= 0 AND swh < 100), 0) * 1000 + 0.5) / 1000 AS wave
+FROM n JOIN {corners('n')} k ON n.id = k.id LEFT JOIN {CELL} c ON k.path = c.path AND k.frame = c.frame AND k.i = c.i AND k.j = c.j GROUP BY n.id, n.lat, n.lon""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagekit.functions import geo, polar, solar, units
 from passagekit.functions.numbers import half_up
-from passagekit.operators import alternatives, depth, forecast, isochrone, legs, quality, spatial
+from passagekit.operators import alternatives, corridor, depth, forecast, isochrone, legs, quality, requests, safety, spatial
 from passagekit.plans.bindings import BASE_MS, POLAR, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,3 +434,139 @@ def geojson_export(of):
     from passagekit.sources.geojson import routes_geojson
 
     return routes_geojson(points(of)).select("route_id", "distance_m", F.length("feature").alias("size"))
+
+
+def _clearance_segments(of) -> DataFrame:
+    ends = of("fix").groupBy("route_id").agg(
+        F.min_by("lat", "seq").alias("start_lat"), F.min_by("lon", "seq").alias("start_lon"), F.max_by("lat", "seq").alias("end_lat"), F.max_by("lon", "seq").alias("end_lon")
+    )
+    about = of("fix").select(c("event_id").alias("id"), "route_id", c("cleared").alias("established"))
+    return segments(of).join(about, "id").join(ends, "route_id").drop("route_id")
+
+
+@query
+def shore_allowance(of):
+    rows = safety.clearance_allowed(_clearance_segments(of), of("edge"), 3.0)
+    return rows.select(c("id").alias("event_id"), "allowed")
+
+
+@query
+def constraint_violations(of):
+    depths = depth.least_depth(segments(of), of("depth_cell"), RASTER)
+    rows = safety.violations(_clearance_segments(of), of("edge"), depths, minimum_shore_nm=3.0, maximum_offshore_nm=60.0, minimum_depth_m=5.0)
+    return rows.groupBy(F.coalesce("violation", F.lit("none")).alias("violation")).agg(F.count("*").alias("legs"))
+
+
+@query
+def request_validation(of):
+    k, pick = c("o_orderkey"), lambda n: c("o_orderkey") % n
+    rows = of("orders").select(
+        "o_orderkey",
+        F.when(pick(13) == 0, None).otherwise(k % 90 * 1.0).alias("start_lat"), (k % 180 * 1.0).alias("start_lon"), (k % 80 * 1.0).alias("end_lat"), (k % 170 * 1.0).alias("end_lon"),
+        F.when(pick(17) == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("departure"),
+        (pick(29) * 1.0).alias("max_hours_per_day"),
+        *[F.when(pick(n) == 1, most + 1.0).otherwise(1.0).alias(name) for n, (name, most) in zip((31, 37, 41, 43, 47, 53), requests.BOUNDS.items())],
+        F.when(pick(19) == 0, "quickest").when(pick(7) == 0, "allMotoring").otherwise("fastest").alias("objective"), (pick(11)).alias("alternative_count"),
+    )
+    rows = rows.withColumn("motor_kn", F.when(pick(14) == 0, 0.0).otherwise(c("motor_kn")))
+    return rows.groupBy(F.coalesce(requests.validation_error(), F.lit("ok")).alias("answer")).agg(F.count("*").alias("n"))
+
+
+@query
+def capability_readiness(of):
+    k = c("c_custkey")
+    ready, reason = requests.readiness(k % 2 == 0, k % 3 != 0, k % 5 != 0)
+    return of("customer").groupBy(ready.alias("ready"), reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def file_names(of):
+    raw = F.concat(F.lit("up/../"), c("p_name"), F.element_at(F.array(*map(F.lit, (".grib2", ".GRB", ".txt", "", ".grb2/x"))), (c("p_partkey") % 5 + 1).cast("int")))
+    return of("part").select("p_partkey", requests.safe_file_name(raw).alias("name"))
+
+
+@query
+def stop_reasons(of):
+    k = c("o_orderkey")
+    reason = requests.dominant_reason(k % 4, k * 3 % 5, k * 7 % 6, k * 5 % 7)
+    text = requests.joined_warnings(F.when(k % 2 == 0, "late"), F.when(k % 3 == 0, "").otherwise("shallow"))
+    return of("orders").groupBy(reason.alias("reason"), text.alias("warning")).agg(F.count("*").alias("n"))
+
+
+@query
+def download_plan(of):
+    areas = of("forecast_file").select(
+        c("path").alias("area_id"), "lat_min", "lat_max", "lon_min", "lon_max", (c("start_ms") + 100 * 3_600_000).alias("departure_ms"), (c("n_times") * 4).alias("hours"), (c("start_ms") + 5_000_000).alias("now_ms")
+    )
+    return requests.download_plan(areas).select("area_id", "cycle_ms", "hour", "key")
+
+
+@query
+def stale_regions(of):
+    wanted = of("orders").select((c("o_custkey") % 40).alias("id"))
+    return requests.stale_ids(wanted, of("nation").select(c("n_nationkey").alias("id")))
+
+
+@query
+def reusable_files(of):
+    now = of("forecast_file")
+    return requests.reusable(now, now.withColumn("mtime", F.when(c("seq") % 3 == 0, c("mtime") + 1).otherwise(c("mtime"))))
+
+
+@query
+def nearest_rank(of):
+    rows = requests.nearest_rank(of("events"), "event_type", "value")
+    return rows.select("event_type", *[r6(c(x), x) for x in ("mean", "p50", "p95", "least", "most")])
+
+
+@query
+def corridor_times(of):
+    rows = corridor.timed(of("fix").select("route_id", "seq", "lat", "lon", "cleared"), F.lit(BASE_MS), 6.0)
+    return rows.select("route_id", "seq", r6(c("run_nm"), "run_nm"), r6((c("t_ms") - BASE_MS) / 3.6e6, "hours"))
+
+
+@query
+def corridor_anchors(of):
+    rows = corridor.timed(of("fix").select("route_id", "seq", "lat", "lon"), F.lit(BASE_MS), 6.0)
+    axis = rows.select("route_id").distinct().select("route_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: i.cast("long") * 3_600_000 + BASE_MS)).alias("valid_ms"))
+    return corridor.anchors(rows, axis)
+
+
+@query
+def hand_offs(of):
+    rows = corridor.timed(of("fix").select("route_id", "seq", "lat", "lon"), F.lit(BASE_MS), 6.0)
+    state = legs.clearance_state(of("fix"))
+    return corridor.hand_offs(rows.join(state, ["route_id", "seq"]))
+
+
+@query
+def motor_walk(of):
+    fix = of("fix").filter("seq < 30")
+    currents = fix.select("route_id", "seq", "u", "v", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    currents = currents.select("route_id", "seq", (F.lit(BASE_MS) + c("k") * 6 * 3_600_000).alias("valid_ms"), (c("u") / 10 + c("k") / 10).alias("u"), (c("v") / 10 - c("k") / 20).alias("v"))
+    rows = corridor.motor_walk(fix.select("route_id", "seq", "lat", "lon", F.lit(BASE_MS).alias("t_ms")), currents, 6.0)
+    return rows.select("route_id", "seq", r6((c("t_ms") - BASE_MS) / 3.6e6, "hours"))
+
+
+@query
+def corridor_path(of):
+    ends = of("fix").groupBy("route_id").agg(F.min_by("lat", "seq").alias("start_lat"), F.min_by("lon", "seq").alias("start_lon"))
+    rows = ends.select(c("route_id").alias("request_id"), "start_lat", "start_lon", (c("start_lat") + 0.05).alias("end_lat"), (c("start_lon") + 0.06).alias("end_lon"))
+    return corridor.corridors(rows, of("edge")).select("request_id", "seq", r6(c("lat"), "lat"), r6(c("lon"), "lon"))
+
+
+@query
+def wave_grid(of):
+    grid = forecast.overlay_points(files(of), NOW_MS)
+    chosen = grid.join(forecast.select_file(grid, files(of)), "id").filter("path <> ''")
+    placed = forecast.nearest_frame(chosen.select("id", "path", "t_ms"), forecast.frames(files(of))).join(grid.select("id", "lat", "lon"), "id")
+    found = forecast.bilinear_masked(forecast.with_grid(placed, files(of)), cells(of), "swh")
+    rows = placed.select("id", "lat", "lon").join(found, "id", "left")
+    return rows.select(half_up(c("lat"), 4).alias("lat"), half_up(c("lon"), 4).alias("lon"), half_up(c("swh"), 3).alias("wave"))
+
+
+@query
+def polygons_export(of):
+    from passagekit.sources.geojson import polygons_geojson
+
+    return polygons_geojson(of("edge")).select("poly_id", F.length("feature").alias("size"))
