@@ -96,10 +96,11 @@ def seg_point(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
 def shore(segments: str, within: float) -> str:
     x = lambda lon: f"{half_turn(f'{lon} - s.lon1')} * 60 * cos(radians((s.lat1 + s.lat2) / 2))"
     y = lambda lat: f"({lat} - (s.lat1 + s.lat2) / 2) * 60"
+    up, side = within / 60 + 0.01, within / 25 + 0.02
     inner = f"""(SELECT s.id, {x('s.lon1')} AS ax, {y('s.lat1')} AS ay, {x('s.lon2')} AS bx, {y('s.lat2')} AS by_, {x('e.lon1')} AS cx, {y('e.lat1')} AS cy,
  {x('e.lon2')} AS dx, {y('e.lat2')} AS dy, CASE WHEN {OVERLAP} AND abs({DET}) >= 1e-12 AND {T} BETWEEN 0 AND 1 AND {S} BETWEEN 0 AND 1 THEN 1 ELSE 0 END AS hit
- FROM {segments} s JOIN {EDGE} e ON greatest(s.lat1, s.lat2) + 0.5 >= least(e.lat1, e.lat2) AND least(s.lat1, s.lat2) - 0.5 <= greatest(e.lat1, e.lat2)
- AND greatest(s.lon1, s.lon2) + 1 >= least(e.lon1, e.lon2) AND least(s.lon1, s.lon2) - 1 <= greatest(e.lon1, e.lon2))"""
+ FROM {segments} s JOIN {EDGE} e ON greatest(s.lat1, s.lat2) + {up} >= least(e.lat1, e.lat2) AND least(s.lat1, s.lat2) - {up} <= greatest(e.lat1, e.lat2)
+ AND greatest(s.lon1, s.lon2) + {side} >= least(e.lon1, e.lon2) AND least(s.lon1, s.lon2) - {side} <= greatest(e.lon1, e.lon2))"""
     near = f"least({seg_point('ax', 'ay', 'cx', 'cy', 'dx', 'dy')}, {seg_point('bx', 'by_', 'cx', 'cy', 'dx', 'dy')}, {seg_point('cx', 'cy', 'ax', 'ay', 'bx', 'by_')}, {seg_point('dx', 'dy', 'ax', 'ay', 'bx', 'by_')})"
     return f"(SELECT id, min(CASE WHEN hit = 1 THEN 0 ELSE sqrt({near}) END) AS shore_nm FROM {inner} z GROUP BY id HAVING shore_nm <= {within})"
 
@@ -382,10 +383,13 @@ JOIN f fa ON fa.route_id = k.a AND fa.seq = floor(k.k / (s - 1) * (na - 1) + 0.5
  {r6('min(value)')} AS least, {r6('max(value)')} AS most FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS n, count(*) OVER (PARTITION BY event_type) AS m FROM events) x GROUP BY event_type""",
     "corridor_times": f"SELECT route_id, seq, {r6('run_nm')} AS run_nm, {r6(f'(t - {BASE_MS}) / 3.6e6')} AS hours FROM {TIMED} t",
     "corridor_anchors": f"""SELECT route_id, valid_ms, min_by(seq, (abs(t - valid_ms), -seq)) AS seq FROM {TIMED} t CROSS JOIN (SELECT {BASE_MS} + unnest(range(0, 12)) * 3600000 AS valid_ms) a GROUP BY route_id, valid_ms""",
-    "hand_offs": f"""WITH a AS (SELECT t.route_id, t.seq, run_nm FROM {TIMED} t JOIN {STATE} s ON t.route_id = s.route_id AND t.seq = s.seq WHERE cleared),
-b AS (SELECT a.*, run_nm - min(run_nm) OVER (PARTITION BY route_id) AS sailed FROM a),
-c AS (SELECT route_id, x.after_nm, min(seq) AS seq FROM b JOIN (VALUES (5.0), (10.0), (20.0), (40.0)) AS x(after_nm) ON sailed >= x.after_nm GROUP BY ALL)
-SELECT route_id, seq, CAST(min(after_nm) AS DOUBLE) AS after_nm FROM c GROUP BY route_id, seq""",
+    "hand_offs": f"""WITH RECURSIVE a AS (SELECT t.route_id, t.seq, run_nm, cleared FROM {TIMED} t JOIN {STATE} s ON t.route_id = s.route_id AND t.seq = s.seq),
+b AS (SELECT route_id, min(seq) AS seq0, min_by(run_nm, seq) AS run0 FROM a WHERE cleared GROUP BY route_id),
+r AS (SELECT a.route_id, seq, run_nm - run0 AS sailed, max(seq) OVER (PARTITION BY a.route_id) AS last_ FROM a JOIN b ON a.route_id = b.route_id WHERE seq > seq0),
+walk AS (SELECT route_id, seq0 AS seq, 0 AS k, CAST(NULL AS DOUBLE) AS after_nm FROM b UNION ALL
+ SELECT w.route_id, w.nxt, w.k + 1, [5.0, 10.0, 20.0, 40.0][w.k + 1] FROM (SELECT walk.route_id, walk.k, (SELECT min(r.seq) FROM r WHERE r.route_id = walk.route_id AND r.seq > walk.seq AND r.seq < r.last_
+   AND r.sailed >= [5.0, 10.0, 20.0, 40.0][walk.k + 1]) AS nxt FROM walk WHERE walk.k < 4) w WHERE nxt IS NOT NULL)
+SELECT route_id, seq, after_nm FROM walk WHERE k > 0""",
     "motor_walk": f"""WITH RECURSIVE f AS (SELECT route_id, seq, u, v, lead(leg_nm) OVER w AS nm, lead({brg('p_lat', 'p_lon', 'lat', 'lon')}) OVER w AS course FROM {LEG} g WHERE seq < 30 WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
 walk AS (SELECT route_id, seq, CAST({BASE_MS} AS DOUBLE) AS t FROM f WHERE seq = 0 UNION ALL
  SELECT route_id, seq + 1, t + nm / greatest(0.3, 6 + ((u / 10 + k / 10) * sin(radians(course)) + (v / 10 - k / 20) * cos(radians(course))) * 1.94384) * 3600000 FROM
