@@ -21,7 +21,9 @@ from .common import cut, documents
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: An address is `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+`: what may stand before the sign, and what must follow it.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -44,16 +46,16 @@ def luhn(digits: str) -> bool:
 
 def base_entities(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind and then start."""
-    found = []
+    found, free = [], 0
     at = text.find("@")
-    while at >= 0:  # an address has no white space: look only at runs that hold the sign
-        low, high = at, at
-        while low and not text[low - 1].isspace():
-            low -= 1
-        while high < len(text) and not text[high].isspace():
-            high += 1
-        found.extend((0, m.start(), m.end()) for m in EMAIL.finditer(text, low, high))
-        at = text.find("@", high)
+    while at >= 0:  # from the sign backwards and forwards: linear in texts of any shape
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            found.append((0, start, m.end()))
+            free = m.end()
+        at = text.find("@", max(at + 1, free))
     if DIGIT.search(text):
         found.extend((1, m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 if len(p) < 10 else int(p[-4000:]) <= 255 and not p[:-4000].strip("0") for p in m[0].split(".")))
         for m in CARD.finditer(text):

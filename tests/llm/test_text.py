@@ -60,6 +60,7 @@ PII = [
     "card 4111 1111 1111 1111 or 4111-1111-1111-1112 12345678901234567890",
     "+1 (017) 555-7713, +49 30 1234567890123456, + 5, +12345",
     "x@y.z@w.q +1.2.3.4.5.6.7.8",
+    "a@@b.c d@e..f g@h.i_j@k.l %@x.y.z. @m.n o@p é@q.r s@t.u@v @" + "w" * 20000,
     None,
     "",
 ]
