@@ -551,7 +551,7 @@ def motor_walk(of):
 @query
 def corridor_path(of):
     ends = of("fix").groupBy("route_id").agg(F.min_by("lat", "seq").alias("start_lat"), F.min_by("lon", "seq").alias("start_lon"))
-    rows = ends.select(c("route_id").alias("request_id"), "start_lat", "start_lon", (c("start_lat") + 0.05).alias("end_lat"), (c("start_lon") + 0.06).alias("end_lon"))
+    rows = ends.select(c("route_id").alias("request_id"), "start_lat", "start_lon", (c("start_lat") + 0.03).alias("end_lat"), (c("start_lon") + 0.035).alias("end_lon"))
     return corridor.corridors(rows, of("edge")).select("request_id", "seq", r6(c("lat"), "lat"), r6(c("lon"), "lon"))
 
 
