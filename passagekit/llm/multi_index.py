@@ -204,6 +204,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     blocks = full.join(askers, "cell").select(
         "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("mi"), F.ceil(F.col("askers") / BLOCK).cast("int").alias("qj")
     )
+    blocks = cut(blocks, "vector-blocks")  # a table, so that a full cell's rows can be split in the joins
     own = F.xxhash64("id")
     left = stored.join(blocks, "cell").select(
         "cell", F.pmod(own, "mi").cast("int").alias("i"), F.explode(F.expr("sequence(0, qj - 1)")).alias("j"), F.lit(0).alias("query"), "id", "copies", "v", "cells"
