@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,23 +121,49 @@ def minimizers(words: np.ndarray, owner: np.ndarray, window: int = WINDOW, k: in
     return least, valid, whole & (kmers == top[: len(kmers)])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about CHUNK bytes of text: the rows, their bytes and the offsets of each row in these."""
     for batch in batches:
-        text = batch.column(column)
+        text = batch.column(1)
         sizes = np.diff(np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4).astype(np.int64))
         at, ends = 0, np.cumsum(sizes)
         while at < len(text):
             done = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
             part = batch.slice(at, to - at)
-            texts = part.column(column)
+            texts = part.column(1)
             offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
             yield part, data, offsets - offsets[0]
             at = to
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they are shuffled and kept several times."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [packer.compress(t.as_buffer()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc", "packed"])
+
+
+def _unpacked_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The same slices from packed texts in the second column."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts, size, at = [], 0, 0
+        for i, packed in enumerate(batch.column(1)):
+            texts.append(unpack(packed.as_buffer()))
+            size += len(texts[-1])
+            if size >= CHUNK or i == batch.num_rows - 1:
+                offsets = np.cumsum([0, *map(len, texts)])
+                yield batch.slice(at, len(texts)), np.frombuffer(b"".join(texts), np.uint8), offsets
+                texts, size, at = [], 0, i + 1
+
+
+def _words(packed: pa.Scalar) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed.as_buffer()).split()
+
+
 def _lists(rows: int, owner: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list for each of ``rows`` rows of the values whose owner it is; owners ascend."""
     offsets = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
@@ -147,7 +174,7 @@ def _surveyed(window: int, k: int):
     """Per document its words, digest and minimizers, those that repeat in the chunk apart from those still to ask about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in _chunks(batches, 1):
+        for part, data, offsets in _chunks(batches):
             rows, raw = part.num_rows, data.tobytes()
             split = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             digest = [hashlib.sha256(b" ".join(w)).digest() for w in split]
@@ -212,14 +239,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[again], pa.int64()), pa.array(h[again], pa.int64())], ["doc", "h"])
 
 
-EDGES = "doc long, text string, sure array<int>, sure_doc array<long>, sure_ref array<int>, w1 array<long>, w2 array<int>, start array<int>"
+EDGES = "doc long, packed binary, sure array<int>, sure_doc array<long>, sure_ref array<int>, w1 array<long>, w2 array<int>, start array<int>"
 
 
 def _edges(window: int, k: int):
     """Windows with a repeated minimizer: those that the chunk has earlier are sure, the others go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in _chunks(batches, 1):
+        for part, data, offsets in _unpacked_chunks(batches):
             rows = part.num_rows
             ids = part.column(0).to_numpy()
             words, owner = word_hashes(data, offsets)
@@ -278,10 +305,10 @@ def _span_digest(words: list[bytes], at: int, length: int) -> bytes:
 
 
 def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref_doc, ref_start, length, digest) of the spans asked of each source: columns ref_doc, text, spans."""
+    """(ref_doc, ref_start, length, digest) of the spans asked of each source: columns ref_doc, packed, spans."""
     for batch in batches:
         for i in range(batch.num_rows):
-            doc, words = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode().split()
+            doc, words = batch.column(0)[i].as_py(), _words(batch.column(1)[i])
             spans = batch.column(2)[i].as_py()
             out = [(doc, s["ref_start"], s["length"], _span_digest(words, s["ref_start"], s["length"])) for s in spans]
             types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -291,11 +318,11 @@ def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n_removed, kept) of documents with verified paths: columns doc, text, paths."""
+    """(doc, n_removed, kept) of documents with verified paths: columns doc, packed, paths."""
     for batch in batches:
         docs, counts, kepts = [], [], []
         for i in range(batch.num_rows):
-            words = batch.column(1)[i].as_py().encode().split()
+            words = _words(batch.column(1)[i])
             gone = np.zeros(len(words), bool)
             for p in batch.column(2)[i].as_py():
                 if _span_digest(words, p["start"], p["length"]) == p["digest"]:
@@ -328,8 +355,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shape = "doc long, n_words long, digest binary, sign long, known array<long>, asked array<long>, told array<long>"
     survey = cut(rows.mapInArrow(_surveyed(window, k), shape), "graph-survey")
     texts = survey.filter("told is null").select("doc", "n_words", "digest")
-    firsts = texts.groupBy("digest").agg(F.min("doc").alias("first"))
-    texts = texts.join(firsts, "digest").withColumn("copy", (F.col("doc") > F.col("first")) & (F.col("n_words") >= window))
+    # a table of the repeated digests alone: a hot one's rows can then be split in the join
+    firsts = cut(texts.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "graph-firsts")
+    later = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
+    texts = texts.join(firsts, "digest", "left").withColumn("copy", later & (F.col("n_words") >= window))
     texts = cut(texts.select("doc", "n_words", "digest", "copy"), "graph-texts")
     copies = texts.filter("copy").select("doc").distinct()
 
@@ -338,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = asked.unionByName(told).repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "doc long, h long")
     known = survey.select("doc", F.explode("known").alias("h"))
     wanted = marked.unionByName(known).groupBy("doc").agg(F.collect_list("h").alias("hs")).join(copies, "doc", "left_anti")
-    edges = cut(rows.join(wanted, "doc").select("doc", "text", "hs").mapInArrow(_edges(window, k), EDGES), "graph-edges")
+    edges = cut(rows.mapInArrow(_packed, "doc long, packed binary").join(wanted, "doc").select("doc", "packed", "hs").mapInArrow(_edges(window, k), EDGES), "graph-edges")
 
     sure = edges.select("doc", F.explode(F.arrays_zip("sure", "sure_doc", "sure_ref")).alias("x")).select(
         "doc", F.col("x.sure").alias("start"), F.col("x.sure_doc").alias("ref_doc"), F.col("x.sure_ref").alias("ref_start")
@@ -358,10 +387,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     paths = cut(paths, "graph-paths")
     spans = paths.select("ref_doc", "ref_start", "length").distinct().groupBy("ref_doc").agg(F.collect_list(F.struct("ref_start", "length")).alias("spans"))
-    sources = edges.select(F.col("doc").alias("ref_doc"), "text").dropDuplicates(["ref_doc"]).join(spans, "ref_doc")
-    digests = sources.select("ref_doc", "text", "spans").mapInArrow(_source_digests, "ref_doc long, ref_start int, length int, digest binary")
+    sources = edges.select(F.col("doc").alias("ref_doc"), "packed").dropDuplicates(["ref_doc"]).join(spans, "ref_doc")
+    digests = sources.select("ref_doc", "packed", "spans").mapInArrow(_source_digests, "ref_doc long, ref_start int, length int, digest binary")
     verified = paths.join(digests, ["ref_doc", "ref_start", "length"]).groupBy("doc").agg(F.collect_list(F.struct("start", "length", "digest")).alias("paths"))
-    removed = edges.select("doc", "text").join(verified, "doc").select("doc", "text", "paths").mapInArrow(_removed, "doc long, n_removed long, kept string")
+    removed = edges.select("doc", "packed").join(verified, "doc").select("doc", "packed", "paths").mapInArrow(_removed, "doc long, n_removed long, kept string")
 
     gone = removed.dropDuplicates(["doc"])
     out = texts.join(gone, "doc", "left")
