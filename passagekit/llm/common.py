@@ -1,4 +1,4 @@
-"""What the training-data operators share: scratch tables and size-checked broadcasts."""
+"""What the training-data operators share: scratch tables and text columns."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The largest side that is ever broadcast, in bytes; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -39,9 +35,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """``df`` marked for broadcast if ``rows`` rows of ``row_bytes`` fit; else as it is."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+def release(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote for ``df``, once nothing to come reads it."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

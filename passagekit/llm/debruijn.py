@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, release
 
 #: Words of a window, and of the k-mers that minimizers are chosen from.
 WINDOW, KMER = 20, 6
@@ -368,6 +368,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = survey.select("doc", F.explode("known").alias("h"))
     wanted = marked.unionByName(known).groupBy("doc").agg(F.collect_list("h").alias("hs")).join(copies, "doc", "left_anti")
     edges = cut(rows.mapInArrow(_packed, "doc long, packed binary").join(wanted, "doc").select("doc", "packed", "hs").mapInArrow(_edges(window, k), EDGES), "graph-edges")
+    release(survey)
 
     sure = edges.select("doc", F.explode(F.arrays_zip("sure", "sure_doc", "sure_ref")).alias("x")).select(
         "doc", F.col("x.sure").alias("start"), F.col("x.sure_doc").alias("ref_doc"), F.col("x.sure_ref").alias("ref_start")
