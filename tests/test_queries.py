@@ -12,7 +12,7 @@ SQL = registry.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("region", "nation", "supplier", "part", "orders", "events"):
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "events"):
         con.sql(f"create view {name} as select * from read_parquet('{SF}/{name}.parquet')")
     return con
 
