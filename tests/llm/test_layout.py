@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from passagekit.llm import mixing, multi_index, resharding
@@ -127,3 +128,25 @@ def test_traversal_is_multi_sequence():
     total = (one[:, :, None] + two[:, None, :]).reshape(20, -1)
     for k in range(20):
         assert np.allclose(total[k][seen[k]], np.sort(total[k])) and (grid.visits(x, 5)[k] == seen[k][:5]).all()
+
+
+@pytest.mark.parametrize("old, new", [(3, 4), (8, 6)])
+def test_rewrite_keeps_every_row_once(spark, tmp_path, old, new):
+    rows = [(None if i % 7 == 0 else i % 40, f"{i:04d} " + "x" * (i * 37 % 300), i * 31 % old) for i in range(400)] + [(5, "same", i % old) for i in range(20)]
+    docs = resharding.keyed(spark.createDataFrame(rows, "doc_id long, text string, old int").repartition(4))
+    path = str(tmp_path / "shards")
+    docs.drop(resharding.ROW).withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(path)
+    plan = resharding.reshard(docs, F.col("old"), new)
+    resharding.rewrite(docs, plan, path)
+    back = spark.read.parquet(path)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((r.doc_id, r.text, r.old) for r in back.collect()), key=key) == sorted(rows, key=key)
+    assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {r.shard: r["count"] for r in plan.groupBy("shard").count().collect()}
+    assert {r.shard for r in back.select("shard").distinct().collect()} == set(range(new))
+
+
+def test_rewrite_refuses_ids_that_name_no_row(spark, tmp_path):
+    for ids in ([1, None, 3], [1, 1, 3]):
+        docs = spark.createDataFrame([(i, "x" * 9, 0) for i in ids], "doc_id long, text string, old int")
+        with pytest.raises(ValueError):
+            resharding.rewrite(docs, resharding.reshard(docs, F.col("old"), 2), str(tmp_path / "refused"))
