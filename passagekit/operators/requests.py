@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from passagekit.operators.search import written
+
 from passagekit.functions.numbers import finite
 from passagekit.operators.alternatives import OBJECTIVES
 
@@ -97,7 +100,23 @@ def usable(files: DataFrame, departure_ms: int, enabled: list[str] | None = None
 
 
 def nearest_rank(samples: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Per group the mean, extremes and nearest-rank percentiles."""
-    lists = samples.groupBy(by).agg(F.sort_array(F.collect_list(value)).alias("all"), F.avg(value).alias("mean"))
-    rank = lambda p: F.get("all", F.greatest(F.lit(0), F.ceil(F.size("all") * p) - 1).cast("int"))
-    return lists.select(by, "mean", *[rank(p).alias(f"p{round(p * 100)}") for p in shares], F.array_min("all").alias("least"), F.array_max("all").alias("most"))
+    """Per group the mean, extremes and nearest-rank percentiles.
+
+    Equal values are counted first; running counts go block by block over the
+    values in order, so no task holds a whole group.
+    """
+    rows = samples.select(F.col(by).alias("_by"), F.col(value).alias("_value"))
+    stats = rows.groupBy("_by").agg(F.avg("_value").alias("mean"), F.min("_value").alias("least"), F.max("_value").alias("most"), F.count("_value").alias("_all"))
+    counts = rows.filter("_value is not null").groupBy("_by", "_value").agg(F.count("*").alias("_n"))
+    blocks = written(counts.repartitionByRange("_by", "_value").withColumn("_block", F.spark_partition_id()))
+    before = W.partitionBy("_by").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocks.groupBy("_by", "_block").agg(F.sum("_n").alias("_sum")).select(F.col("_by").alias("_of"), F.col("_block").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy("_by", "_block").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
+    placed = blocks.withColumn("_own", F.sum("_n").over(inside)).join(offsets, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at")))
+    placed = placed.select("_by", "_value", (F.col("_own") + F.col("_offset")).alias("_to"), "_n")
+    sizes = stats.select(F.col("_by").alias("_of"), "_all")
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("_all") * p))
+    hit = lambda p: F.when((F.col("_to") >= rank(p)) & (F.col("_to") - F.col("_n") < rank(p)), F.col("_value"))
+    names = [f"p{round(p * 100)}" for p in shares]
+    found = placed.join(sizes, F.col("_by").eqNullSafe(F.col("_of"))).groupBy(F.col("_by").alias("_of")).agg(*[F.max(hit(p)).alias(n) for p, n in zip(shares, names, strict=True)])
+    return stats.join(found, F.col("_by").eqNullSafe(F.col("_of")), "left").select(F.col("_by").alias(by), "mean", *names, "least", "most")
