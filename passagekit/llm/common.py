@@ -1,46 +1,126 @@
-"""What the training-data operators share: scratch tables and text columns."""
+"""What the training-data operators share: scratch tables, row keys, running sums and text columns."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Column by which a row is found again whatever its id; ``keyed`` adds it.
+ROW = "_row"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session without that setting (a test in local mode) gets a
-    temporary folder.
+    Only a session in local mode may go without that setting: it gets a
+    temporary folder.  On a cluster a missing setting is an error, since
+    executors would write where nobody else reads.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = sc._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else tempfile.mkdtemp(prefix="passagekit-")
+        root = root.get() if root.isDefined() else None
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="passagekit-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+_written: list[list[tuple[SparkSession, str]]] = []
+
+
+def cut(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has no lineage, so a lost executor costs a re-read and not a
-    re-computation of what came before.
+    re-computation of what came before.  The table is deleted when the session
+    ends, or at the end of a ``scratch`` block around the call unless ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder, system = _folder(spark, path)
+    system.deleteOnExit(folder)
+    if _written and not keep:
+        _written[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``cut`` writes inside the block are deleted at its end: for results that are written elsewhere by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _written.pop():
+            _delete(spark, path)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the table that ``cut`` wrote for ``df``, once nothing to come reads it."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, written once with a number for every row, so that a decision about a row finds it again."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+#: 2**63: row numbers are below it.
+_WIDE = "cast('9223372036854775808' as decimal(19,0))"
+
+
+def place(id_: Column, null: int) -> Column:
+    """One number that orders rows of ``keyed`` by their id, ``null`` for none, and then by their number."""
+    return (F.coalesce(id_.cast("long"), F.lit(null)).cast("decimal(19,0)") * F.expr(_WIDE) + F.col(ROW)).cast("decimal(38,0)")
+
+
+def row_of(place_: Column) -> Column:
+    """The row number in a ``place``."""
+    return F.pmod(place_, F.expr(_WIDE)).cast("long")
+
+
+def running_before(rows: DataFrame, group: list[str], levels: list[str], order: list[str], amount: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the sum of ``amount`` over the rows of the same group that come before.
+
+    Rows are in order of ``levels`` (none of them null), then of ``order``.
+    Windows go over the rows of one smallest part, and then over the parts'
+    own sums level by level, so none holds a whole group.
+    """
+    inside = W.partitionBy(*group, *levels).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    sums = rows.groupBy(*group, *levels).agg(F.sum(amount).alias("_sum"))
+    parts, offsets = [sums], None
+    for depth in range(len(levels) - 1, 0, -1):
+        parts.insert(0, parts[0].groupBy(*group, *levels[:depth]).agg(F.sum("_sum").alias("_sum")))
+    for depth, part in enumerate(parts, 1):
+        before = W.partitionBy(*group, *levels[: depth - 1]).orderBy(levels[depth - 1]).rowsBetween(W.unboundedPreceding, -1)
+        part = part.select(*group, *levels[:depth], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+        if offsets is not None:
+            part = part.join(offsets, [*group, *levels[: depth - 1]]).withColumn("_before", F.col("_before") + F.col("_above")).drop("_above")
+        offsets = part.withColumnRenamed("_before", "_above")
+    return rows.join(offsets, [*group, *levels]).withColumn(out, (F.col("_own") + F.col("_above")).cast("long")).drop("_own", "_above")
 
 
 def ascii_lower(text: Column) -> Column:

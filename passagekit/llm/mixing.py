@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import ROW, cut, documents, keyed, running_before
 
 BIG = "decimal(38,0)"
 #: Documents of one block of a leaf's pass, about, in which running sums are taken.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 256
 
 
 def share(children: DataFrame, parent: list[str]) -> DataFrame:
@@ -71,12 +71,14 @@ def mix(
     Null path parts are the name ``unknown``; texts without tokens weigh
     nothing and go with every pass that reaches them; rows that repeat are
     taken singly; a leaf without tokens gets no budget; no rows give no rows.
+    The row numbers of ``keyed`` are passed on.
     """
-    names = list(path)
+    names, row = list(path), [c for c in (ROW,) if c in docs.columns]
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         *[F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in path.items()],
         tokens.cast("long").alias("n_tokens"),
+        *row,
     )
     rows = cut(rows, "mix-rows")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
@@ -85,14 +87,11 @@ def mix(
     budgets = leaf_budgets(leaves, names, weights, int(whole * total), epochs).filter("tokens > 0")
     budgets = budgets.select(*names, "budget", F.expr("budget div tokens").alias("passes"), F.expr("budget % tokens").alias("need"))
     budgets = cut(budgets, "mix-leaves")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("passes").cast("string"), F.col("doc_id").cast("string")))
-    order = rows.join(budgets, names, "left").withColumn("key", key).withColumn("block", F.substring("key", 1, digits))
-    sums = order.groupBy(*names, "block").agg(F.sum("n_tokens").alias("held"))
-    so_far = W.partitionBy(*names).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*names, "block", F.coalesce(F.sum("held").over(so_far), F.lit(0)).alias("offset"))
-    inside = W.partitionBy(*names, "block").orderBy("key", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
-    order = order.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, [*names, "block"])
-    passes, left = F.coalesce(F.col("passes"), F.lit(0)), F.coalesce(F.col("need") - F.col("offset") - F.col("own"), F.lit(0))
+    key = F.coalesce(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("passes").cast("string"), F.col("doc_id").cast("string"))), F.lit(""))
+    order = rows.join(budgets, names, "left").withColumn("key", key)
+    order = order.withColumn("high", F.substring("key", 1, (digits + 1) // 2)).withColumn("block", F.substring("key", 1, digits))
+    order = running_before(order, names, ["high", "block"], ["key", "n_tokens", *row], "n_tokens", "before")
+    passes, left = F.coalesce(F.col("passes"), F.lit(0)), F.coalesce(F.col("need") - F.col("before"), F.lit(0))
     return order.select(
         "doc_id",
         *names,
@@ -100,9 +99,15 @@ def mix(
         F.coalesce("budget", F.lit(0)).cast("long").alias("budget"),
         (passes + (left > 0).cast("int")).cast("long").alias("copies"),
         (passes * F.col("n_tokens") + F.greatest(F.lit(0), F.least(left, F.col("n_tokens")))).cast("long").alias("taken"),
+        *row,
     )
 
 
+def token_prefix(text: Column, n: Column) -> Column:
+    """``text`` up to its ``n``-th word, with the spaces before and between them."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "")
+
+
 #: Production parameters of the query: four fifths of the corpus's tokens, at most four epochs, and integer weights.
 TOTAL, EPOCHS, SEED = 0.8, 4, 17
 #: Sources belong to four domains by the remainder of their number; weights by name, others 1.
@@ -123,7 +128,12 @@ def word_count(text: Column) -> Column:
 
 
 def source_mix(docs: DataFrame) -> DataFrame:
-    """The mix of ``documents`` (lang, source, text) with the parameters above."""
+    """The mix of ``documents`` (lang, source, text) with the parameters above.
+
+    The table names no domains: a source belongs to the domain of its number's
+    remainder, a rule of this query and not of ``mix``, whose tree is its
+    ``path`` and ``weights``.
+    """
     number = F.regexp_extract(F.col("source"), "([0-9]+)$", 1)
     domain = F.when(number != "", (number.cast("long") % 4).cast("string"))
     return mix(
@@ -137,5 +147,23 @@ def source_mix(docs: DataFrame) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them: each row in as many copies as epochs take it, the last one cut where the budget ends.
+
+    A leaf's words are its budget.  ``n_chars``, where it is a column, is that
+    of the text taken.  Repeated and null ids are rows like others; no rows
+    give no rows.
+    """
+    rows = keyed(docs)
+    plan = source_mix(rows).filter("copies > 0").select(ROW, "copies", "n_tokens", "taken")
+    both = rows.join(plan, ROW).withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
+    left = F.col("taken") - (F.col("copies") - 1) * F.col("n_tokens")
+    short = (F.col("_copy") == F.col("copies")) & (left < F.col("n_tokens"))
+    both = both.withColumn("text", F.when(short, token_prefix(F.col("text"), left)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return both.select(docs.columns)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(documents(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .mixing import DOMAIN_WEIGHTS, EPOCHS, LANG_WEIGHTS, SEED, TOTAL
 from .radix_dedup import OP3_SQL
-from .secret_scan import ACCESS, ASSIGN, EXAMPLE_OWNERS, HEX, LIVE_CHARACTERS, TOKEN
+from .secret_scan import ACCESS, ASSIGN, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, HEX, LIVE_CHARACTERS, TOKEN
 
 
 def _case(column: str, table: dict[str, int]) -> str:
@@ -76,8 +76,8 @@ OP9_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang) AS repository, coalesce(source, '') AS owner FROM documents),
 item AS ({_hits(0, ASSIGN, 2, 6)} UNION ALL {_hits(1, ACCESS, 1, 20)} UNION ALL {_hits(2, HEX, 1, 24)}
  UNION ALL SELECT * FROM ({_hits(3, TOKEN, 1, 20)}) t WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
-spread AS (SELECT value, count(DISTINCT owner) AS n FROM item GROUP BY value),
-judged AS (SELECT i.*, CASE WHEN n >= {EXAMPLE_OWNERS} THEN 'example' WHEN len(list_distinct(string_split(i.value, ''))) >= {LIVE_CHARACTERS} THEN 'live' ELSE 'weak' END AS status
+spread AS (SELECT value, count(DISTINCT owner) AS n, count(DISTINCT repository) AS m FROM item GROUP BY value),
+judged AS (SELECT i.*, CASE WHEN n >= {EXAMPLE_OWNERS} OR m >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN len(list_distinct(string_split(i.value, ''))) >= {LIVE_CHARACTERS} THEN 'live' ELSE 'weak' END AS status
  FROM item i JOIN spread s ON i.value = s.value),
 found AS (SELECT *, ['assign', 'access', 'hex', 'live'][rank + 1] || ':' || CAST(start_ AS BIGINT) || ':' || CAST(end_ AS BIGINT) AS span FROM judged j WHERE rank < 3
  OR (status = 'live' AND NOT EXISTS (SELECT 1 FROM judged b WHERE b.doc_id = j.doc_id AND b.rank < 3 AND b.start_ < j.end_ AND j.start_ < b.end_)))

@@ -5,7 +5,10 @@ bytes: the digit.  A group of one row is finished, and so is a group whose
 texts end inside the digit: its rows have gone through the same bytes from
 first to last, so they are equal without any digest.  Only the open groups'
 remaining bytes go on, and digits grow by a factor, so the number of levels
-is the logarithm of the longest shared prefix.
+is the logarithm of the longest shared prefix.  Digits of a fixed width would
+take one job for every width of the longest repeated text (thousands for a
+text of a megabyte); a grown digit is long only for texts that agree with
+another one in all bytes before it, and those bytes must be compared anyway.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, documents
+from .common import ROW, ascii_lower, cut, documents, keyed, place, row_of
 
 #: Bytes of the first digit, and how many times longer each next one is.
 FIRST_DIGIT, GROWTH = 128, 16
@@ -77,10 +80,21 @@ def exact_groups(
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry)
 
 
+#: Below every id: where null ids come in the order of rows.
+_LEAST = -(1 << 63)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: of equal texts one row, that with the largest id.
+
+    Rows are told apart by a number of their own, so ids may repeat, under
+    equal texts and under others, and may be null; of rows that repeat an id
+    and its text one stays.  A null id stays where no other has its text.
+    """
+    rows = keyed(docs)
+    placed = rows.select(place(F.col(id_col), _LEAST).alias("place"), F.col(text_col).alias("text"))
+    gone = exact_groups(placed, "place", "text").filter(~F.col("kept")).select(row_of(F.col("doc_id")).alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 Fixed patterns give the base findings.  Their values, and long mixed tokens
 that no pattern names, are candidates: each is hashed, and the hash is counted
 by distinct repository and owner over the whole corpus.  A value that many
-owners carry is a copied example; one that stays with its owner and looks
-random is live, and is reported even where no pattern names it.
+owners or many repositories carry is a copied example; one that stays with
+its owner and looks random is live, and is reported even where no pattern
+names it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, documents
@@ -26,34 +28,29 @@ TOKEN = "([A-Za-z0-9+/_-]+)"
 ACCESS_LONG, HEX_LONG, TOKEN_LONG = "(AKIA[A-Z0-9]{16,})", "([0-9a-f]{24,})", "([A-Za-z0-9+/_-]{20,})"
 
 KINDS = ("assign", "access", "hex", "live")
-#: A value of this many owners or more is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value of this many owners, or of this many repositories of whatever owners, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 4
 #: A live-looking value has at least so many distinct characters.
 LIVE_CHARACTERS = 10
 
-ITEM = "array<struct<start:int,rank:int,end:int,value:string>>"
+HIT = "array<struct<rank:int,pos:int,gap:int,length:int,value:string>>"
 
 
-def _located(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
-    """All matches as (start, rank, end, value): lengths of the texts between them add up to the starts."""
-    none = F.array().cast(ITEM)
+def _hits(text: Column, pattern: str, rank: int, group: int) -> Column:
+    """All matches in order, each with the length of the text between it and the one before; a running sum places them."""
+    none = F.array().cast(HIT)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-    zipped = F.arrays_zip(between.alias("gap"), hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        item = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
-        kept = F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(item))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
-
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    found = F.transform(
+        zipped,
+        lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("length"), x["value"].alias("value")),
+    )
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repository: Column, owner: Column) -> DataFrame:
-    """(row, doc_id, repository, owner, items) of every row; items: all base findings and long mixed tokens."""
+    """(row, doc_id, repository, owner, hits) of every row; hits: all matches of the base patterns and of long tokens."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -61,14 +58,26 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repository: Column,
         F.coalesce(owner, F.lit("")).alias("owner"),
     )
     text = F.col("text")
-    mixed = lambda v: v["value"].rlike("[0-9]") & v["value"].rlike("[A-Za-z]")
-    items = F.concat(
-        _located(text, ASSIGN, 0, 2, 6),
-        F.when(text.contains("AKIA"), _located(text, ACCESS_LONG, 1, 1, 20)).otherwise(F.array().cast(ITEM)),
-        _located(text, HEX_LONG, 2, 1, 24),
-        F.filter(_located(text, TOKEN_LONG, 3, 1, 20), mixed),
+    hits = F.concat(
+        _hits(text, ASSIGN, 0, 2),
+        F.when(text.contains("AKIA"), _hits(text, ACCESS_LONG, 1, 1)).otherwise(F.array().cast(HIT)),
+        _hits(text, HEX_LONG, 2, 1),
+        _hits(text, TOKEN_LONG, 3, 1),
     )
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", items.alias("items"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", hits.alias("hits"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(row, repository, owner, rank, start, end, value) of hits that count: base matches, and long tokens of letters and digits.
+
+    Windows go over one text's hits of one kind.
+    """
+    hits = found.filter(F.size("hits") > 0).select("row", "repository", "owner", F.inline("hits"))
+    so_far = W.partitionBy("row", "rank").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    hits = hits.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(so_far).cast("int")).withColumn("start", F.col("end") - F.col("length"))
+    least = F.when(F.col("rank") == 0, 6).when(F.col("rank") == 2, 24).otherwise(20)
+    mixed = (F.col("rank") < 3) | (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
+    return hits.filter((F.length("value") >= least) & mixed).select("row", "repository", "owner", "rank", "start", "end", "value")
 
 
 def find_secrets(
@@ -78,35 +87,38 @@ def find_secrets(
     id_col: str = "doc_id",
     text_col: str = "text",
     example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """(doc_id, findings) of every row of ``docs``, in order of start.
 
     findings: array of (start, end, kind, value, n_repositories, n_owners,
-    status); status is ``example`` (``example_owners`` or more owners carry
-    the value), ``live`` (fewer, and it looks random) or ``weak``.  Kind
-    ``live`` marks tokens that no base pattern covers and whose status is
-    live.  Null texts count as empty; null repositories and owners are one of
-    their own; rows that repeat are reported each; no rows give no rows.
+    status); status is ``example`` (``example_owners`` or more owners, or
+    ``example_repositories`` or more repositories carry the value), ``live``
+    (fewer, and it looks random) or ``weak``.  Kind ``live`` marks tokens that
+    no base pattern covers and whose status is live.  Null texts count as
+    empty; null repositories and owners are one of their own; rows that repeat
+    are reported each; no rows give no rows.
     """
     found = cut(candidates(docs, id_col, text_col, repository, owner), "secrets")
-    items = found.filter(F.size("items") > 0).select("row", "doc_id", "repository", "owner", F.inline("items"))
-    items = items.withColumn("hash", F.sha2("value", 256))
+    items = placed(found).withColumn("hash", F.sha2("value", 256))
     spread = items.groupBy("hash").agg(
         F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners")
     )
     looks = F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARACTERS
-    status = F.when(F.col("n_owners") >= example_owners, "example").when(looks, "live").otherwise("weak")
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
+    status = F.when(copied, "example").when(looks, "live").otherwise("weak")
+    # a token overlaps a base finding if one before it ends behind its start, or one after it starts before its end
+    inside, base = W.partitionBy("row").orderBy("start", "rank"), F.col("rank") < 3
+    reach = F.max(F.when(base, F.col("end"))).over(inside.rowsBetween(W.unboundedPreceding, -1))
+    next_ = F.min(F.when(base, F.col("start"))).over(inside.rowsBetween(1, W.unboundedFollowing))
+    covered = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(next_ < F.col("end"), F.lit(False))
+    judged = items.join(spread, "hash").withColumn("status", status).withColumn("covered", covered).filter(base | ((F.col("status") == "live") & ~F.col("covered")))
     finding = F.struct(
         "start", "rank", "end", F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1).alias("kind"), "value", "n_repositories", "n_owners", "status"
     )
-    judged = items.join(spread, "hash").withColumn("status", status).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(finding)).alias("all"))
-    base = F.filter("all", lambda x: x["rank"] < 3)
-    fresh = lambda x: (x["rank"] < 3) | (
-        (x["status"] == "live") & ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    )
-    judged = judged.withColumn("base", base).select("doc_id", F.filter("all", fresh).alias("findings"))
-    rest = found.filter(F.size("items") == 0).select("doc_id", F.array().cast(judged.schema["findings"].dataType).alias("findings"))
-    return judged.unionByName(rest)
+    judged = judged.groupBy("row").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
+    kind = judged.schema["findings"].dataType
+    return found.select("row", "doc_id").join(judged, "row", "left").select("doc_id", F.coalesce("findings", F.array().cast(kind)).alias("findings"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

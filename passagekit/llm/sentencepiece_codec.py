@@ -62,30 +62,62 @@ class CharacterMap:
 
     def __init__(self, blob: bytes):
         self.units, self.texts = (), b""
+        #: Bytes with which a known prefix can begin.
+        self.begins = np.zeros(256, bool)
         if blob:
             (size,) = struct.unpack_from("<I", blob)
             self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
             self.texts = blob[4 + size :]
+            root = self._child(self.units[0])
+            self.begins[[c for c in range(256) if root ^ c < len(self.units) and self.units[root ^ c] & 0x800000FF == c]] = True
 
-    def longest(self, data: bytes, at: int) -> tuple[int, bytes]:
-        """Bytes taken at ``at`` and what replaces them: the longest known prefix, else one character as it is."""
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """Bytes taken at ``at`` by the longest known prefix and what replaces them; null where none is known."""
         best, units = None, self.units
-        if units:
-            node = self._child(units[0])
-            for i in range(at, len(data)):
-                node ^= data[i]
-                if node >= len(units) or units[node] & 0x800000FF != data[i]:
-                    break
-                unit = units[node]
-                node ^= self._child(unit)
-                if unit >> 8 & 1:
-                    best = i + 1 - at, units[node] & 0x7FFFFFFF
+        node = self._child(units[0])
+        for i in range(at, len(data)):
+            node ^= data[i]
+            if node >= len(units) or units[node] & 0x800000FF != data[i]:
+                break
+            unit = units[node]
+            node ^= self._child(unit)
+            if unit >> 8 & 1:
+                best = i + 1 - at, units[node] & 0x7FFFFFFF
         if best:
             start = best[1]
             return best[0], self.texts[start : self.texts.index(b"\0", start)]
-        first = data[at]
-        size = 1 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-        return size, data[at : at + size]
+        return None
+
+    def walk(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The mapped bytes, the source byte of each, and where the replacement or character it belongs to begins.
+
+        Only places where a known prefix can begin are looked up; all bytes
+        between two replacements are copied as they are.
+        """
+        raw = np.frombuffer(data, np.uint8)
+        outs, origins, begins, done, size = [], [], [], 0, 0
+
+        def copy(to: int) -> None:
+            nonlocal size
+            if to > done:
+                outs.append(raw[done:to])
+                origins.append(np.arange(done, to))
+                begins.append(np.arange(size, size + to - done))
+                size += to - done
+
+        for at in np.flatnonzero(self.begins[raw]).tolist():
+            if at >= done and (got := self.longest(data, at)):
+                copy(at)
+                new = np.frombuffer(got[1], np.uint8)
+                outs.append(new)
+                origins.append(np.full(len(new), at))
+                begins.append(np.full(len(new), size))
+                size += len(new)
+                done = at + got[0]
+        copy(len(raw))
+        if not outs:
+            return raw, np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(outs), np.concatenate(origins), np.concatenate(begins)
 
     @staticmethod
     def _child(unit: int) -> int:
@@ -112,7 +144,6 @@ class Codec:
             raise ValueError("only BPE models with byte fallback are supported")
         self.map = CharacterMap(spec.get(2, b""))
         self.prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-        self.plain = not self.map.units and not self.squeeze and self.escape
         # bytes of normalised text that a piece stands for
         self.size = np.array([1 if t == 6 else 0 if t == 3 else len(p[1]) for p, t in zip(pieces, types, strict=True)], np.int64)
         normal = [t for t, kind_ in zip(self.texts, types, strict=True) if kind_ == 1]
@@ -128,45 +159,44 @@ class Codec:
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the source byte it came from."""
         data = text.encode()
-        if not data:
+        out, origin, begin = self.map.walk(data)
+        space, mark, start = out == 32, np.frombuffer(MARK.encode() if self.escape else b" ", np.uint8), 0
+        if self.squeeze:
+            # spaces at the head of a replacement go after a space and at the start
+            inner = np.flatnonzero(~space & (begin < np.arange(len(out))))
+            head = space.copy()
+            if len(inner):
+                past = np.zeros(len(out), bool)
+                past[inner] = True
+                ahead = np.maximum.accumulate(np.where(past, np.arange(len(out)), -1))
+                head &= ahead < begin
+            before = np.r_[True, space[:-1]][begin] if len(out) else space
+            kept = ~(head & before)
+            start = int(origin[kept][0]) if kept.any() else len(data)
+            out, origin, space = out[kept], origin[kept], space[kept]
+            if not len(out):
+                return "", np.array([len(data)], np.int64)
+        elif not data:
             return "", np.zeros(1, np.int64)
-        if self.plain:
-            source = np.arange(len(data), dtype=np.int64)
-            wide = np.where(np.frombuffer(data, np.uint8) == 32, len(MARK.encode()), 1)
-            mark = [0] * len(MARK.encode()) if self.prefix else []
-            return (MARK if self.prefix else "") + text.replace(" ", MARK), np.concatenate([mark, np.repeat(source, wide), [len(data)]]).astype(np.int64)
-        return self._mapped(data)
-
-    def _mapped(self, data: bytes) -> tuple[str, np.ndarray]:
-        at, out, origin = 0, bytearray(), []
-        space = MARK.encode() if self.escape else b" "
-
-        def write(chunk: bytes, source: int) -> None:
-            out.extend(chunk)
-            origin.extend([source] * len(chunk))
-
+        end = len(data)
         if self.squeeze:
-            while at < len(data) and (got := self.map.longest(data, at))[1] == b" ":
-                at += got[0]
-            if at == len(data):
-                return "", np.array([at], np.int64)
+            last = len(out)
+            while last and space[last - 1]:
+                last -= 1
+                end = int(origin[last])
+            out, origin, space = out[:last], origin[:last], space[:last]
+        wide = np.where(space, len(mark), 1)
+        written, source = np.repeat(out, wide), np.repeat(origin, wide)
+        if len(mark) > 1:
+            places = np.flatnonzero(space)
+            at = (np.cumsum(wide) - wide)[places]
+            for k in range(len(mark)):
+                written[at + k] = mark[k]
+        else:
+            written = written.copy()
         if self.prefix:
-            write(space, at)
-        after_space = self.squeeze
-        while at < len(data):
-            taken, new = self.map.longest(data, at)
-            while after_space and new.startswith(b" "):
-                new = new[1:]
-            if new:
-                write(new.replace(b" ", space), at)
-                after_space = self.squeeze and new.endswith(b" ")
-            at += taken
-        if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :]
-                at = origin[len(out)]
-                del origin[len(out) :]
-        return out.decode(errors="replace"), np.array([*origin, at], np.int64)
+            written, source = np.concatenate([mark, written]), np.concatenate([np.full(len(mark), start), source])
+        return written.tobytes().decode(errors="replace"), np.append(source, end).astype(np.int64)
 
     def ids(self, normal: str) -> np.ndarray:
         """Ids of a normalised text, with begin and end."""
@@ -237,7 +267,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     ids, begins and ends are packed as little-endian unsigned 32-bit integers,
     one for each token with begin and end; begins and ends are offsets into
-    the text's UTF-8 bytes.  decoded is what the ids decode to.  Null and
+    the text's UTF-8 bytes.  decoded is what the ids decode to.  Models must be
+    BPE with byte fallback and without user-defined symbols; others raise an
+    error.  Null and
     empty texts have the begin and end ids alone; a text of any length is one
     row; an empty table gives no rows.  The model's bytes travel with the
     tasks, so executors need no copy of the file.

@@ -2,10 +2,10 @@
 
 Fingerprints are cut into parts; two that differ in at most ``radius`` bits
 agree on all but ``radius`` parts, so each is filed under every choice of the
-other parts.  Inside such a bucket the fingerprints are stored as vertical bit
-planes: one query is compared with 64 of them per machine word, distances are
-carry-save counters held in bitwise planes, and a block is abandoned once all
-its counters have overflowed the radius.
+other parts.  Buckets of any size lie one after another in vertical bit
+planes: one query is compared with 64 fingerprints of its bucket per machine
+word, distances are carry-save counters held in bitwise planes, and a block
+of 64 is abandoned once all its counters have overflowed the radius.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .components import components
 RADIUS, PARTS, SHINGLE, SEED = 2, 4, 3, 42
 #: Rows of one block; a larger bucket is compared block against block.
 BLOCK = 2048
-#: Groups up to this size are compared by shifting, larger ones bit-sliced.
-SHIFTED = 24
+#: Blocks of 64 fingerprints that one pass of the comparison holds counters for.
+PASS = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -68,8 +68,14 @@ def planes(prints: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
-def near(queries: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, print) of all pairs at most ``radius`` bits apart.
+def _lanes(n: np.ndarray) -> np.ndarray:
+    """Words whose lowest ``n`` bits (0 to 64) are set."""
+    n = np.clip(n, 0, 64).astype(np.uint64)
+    return np.where(n == 64, ~np.uint64(0), (np.uint64(1) << (n & np.uint64(63))) - np.uint64(1))
+
+
+def near(queries: np.ndarray, prints: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (query, print) of all pairs at most ``radius`` bits apart, the print at ``first`` or later and before ``last`` of its query.
 
     The counters start at 2**bits - (radius + 1), so the carry out of the top
     plane marks a distance beyond the radius, for good.
@@ -77,30 +83,30 @@ def near(queries: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple
     store, bits = planes(prints), (radius + 1).bit_length()
     if radius + 1 == 1 << (bits - 1):
         bits -= 1
-    start = (1 << bits) - (radius + 1)
-    full, found = ~np.uint64(0), []
-    pad = np.zeros(store.shape[1] * 64, np.uint8)
-    pad[len(prints) :] = 1
-    beyond = np.packbits(pad, bitorder="little").view("<u8")
-    for at in range(0, len(queries), 256):
-        active = np.arange(at, min(at + 256, len(queries)))
-        counters = [np.full((len(active), store.shape[1]), full if start >> i & 1 else 0, np.uint64) for i in range(bits)]
-        over = np.repeat(beyond[None, :], len(active), axis=0)
+    start, full, found = (1 << bits) - (radius + 1), ~np.uint64(0), []
+    words = np.where(last > first, (last + 63) // 64 - first // 64, 0)
+    ends = np.cumsum(words)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PASS):
+        block = np.arange(at, min(at + PASS, int(ends[-1])))
+        query = np.searchsorted(ends, block, side="right")
+        word = block - (ends[query] - words[query]) + first[query] // 64
+        over = ~(_lanes(last[query] - 64 * word) & ~_lanes(first[query] - 64 * word))
+        counters = [np.full(len(block), full if start >> i & 1 else 0, np.uint64) for i in range(bits)]
+        value = queries[query]
         for b in range(64):
-            flip = np.where(queries[active] >> np.uint64(b) & np.uint64(1), full, np.uint64(0))
-            carry = store[b][None, :] ^ flip[:, None]
+            carry = store[b][word] ^ (np.uint64(0) - (value >> np.uint64(b) & np.uint64(1)))
             for i in range(bits):
                 counters[i], carry = counters[i] ^ carry, counters[i] & carry
             over |= carry
             if b % 8 == 7:
-                alive = (over != full).any(axis=1)
+                alive = over != full
                 if not alive.all():
-                    active, over, counters = active[alive], over[alive], [c[alive] for c in counters]
-                if not len(active):
+                    query, word, value, over, counters = query[alive], word[alive], value[alive], over[alive], [c[alive] for c in counters]
+                if not len(query):
                     break
-        if len(active):
-            q, p = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
-            found.append((active[q], p))
+        if len(query):
+            q, lane = np.nonzero(np.unpackbits((~over).view(np.uint8), bitorder="little").reshape(-1, 64))
+            found.append((query[q], word[q] * 64 + lane))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -126,48 +132,35 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def _compare(radius: int):
-    def block(prints: np.ndarray, ids: np.ndarray, second: np.ndarray, cross: bool):
-        if cross:
-            left, right = np.flatnonzero(~second), np.flatnonzero(second)
-            q, p = near(prints[left], prints[right], radius)
-            a, b = ids[left[q]], ids[right[p]]
-        else:
-            q, p = near(prints, prints, radius)
-            a, b = ids[q[q < p]], ids[p[q < p]]
-        kept = _forest(a, b)
-        return a[kept], b[kept]
+    """Links inside groups of rows sorted by (band, key, i, j, second)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            key = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0) | (np.diff(held[3]) != 0))
-            if len(key):
-                end = key[-1] + 1
-                yield from out([c[:end] for c in held])
+            change = np.flatnonzero(np.any([np.diff(c) != 0 for c in held[:4]], axis=0))
+            if len(change):
+                end = change[-1] + 1
+                yield out([c[:end] for c in held])
                 held = [c[end:] for c in held]
         if held is not None and len(held[0]):
-            yield from out(held)
+            yield out(held)
 
-    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        band, key, i, j, second, prints, ids = cols
+    def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+        _, _, i, j, second, prints, ids = cols
         prints = prints.astype(np.int64).view(np.uint64)
-        change = np.flatnonzero((np.diff(band) != 0) | (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        starts, ends = np.r_[0, change], np.r_[change, len(band)]
-        size = np.repeat(ends - starts, ends - starts)
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        links = []
-        few = (size <= SHIFTED) & (i == j)
-        for d in range(1, min(SHIFTED, len(band))):
-            same = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
-            hit = same[np.bitwise_count(prints[same] ^ prints[same + d]) <= radius]
-            links.append((ids[hit], ids[hit + d]))
-        for s, e in zip(starts, ends, strict=True):
-            if not few[s]:
-                links.append(block(prints[s:e], ids[s:e], second[s:e] != 0, i[s] != j[s]))
-        a, b = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (ids[:0], ids[:0])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        starts = np.flatnonzero(np.r_[True, np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)])
+        sizes = np.diff(np.r_[starts, len(ids)])
+        end = np.repeat(starts + sizes, sizes)
+        middle = np.repeat(starts + np.add.reduceat(1 - second, starts), sizes)  # where a group's second block begins
+        at = np.arange(len(ids))
+        # inside one block every later row; of two blocks the second one's rows
+        first = np.where(i == j, at + 1, np.where(second == 0, middle, end))
+        q, p = near(prints, prints, first, end, radius)
+        a, b = ids[q], ids[p]
+        kept = _forest(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a[kept], pa.int64()), pa.array(b[kept], pa.int64())], ["a", "b"])
 
     return run
 
@@ -175,7 +168,7 @@ def _compare(radius: int):
 def near_links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (print, id) within ``radius`` bits.
 
-    Large buckets give a spanning forest of their links, not all pairs.  The
+    Buckets give a spanning forest of their links, not all pairs.  The
     largest group a task holds is two blocks; a larger bucket's blocks meet
     pairwise in different tasks.
     """
@@ -203,7 +196,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, bloc
         "print",
         "id",
     )
-    grouped = dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    grouped = dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "second")
     return grouped.mapInArrow(_compare(radius), "a long, b long")
 
 

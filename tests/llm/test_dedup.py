@@ -71,11 +71,19 @@ def test_bit_sliced_comparison(radius):
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(300)], np.uint64)
     prints = np.concatenate([base, base ^ flips])
-    q, p = simhash.near(prints[:90], prints, radius)
-    want = np.argwhere(np.bitwise_count(prints[:90, None] ^ prints[None, :]) <= radius)
+    first, last = rng.integers(0, 300, 90), rng.integers(200, 601, 90)
+    q, p = simhash.near(prints[:90], prints, first, last, radius)
+    within = np.bitwise_count(prints[:90, None] ^ prints[None, :]) <= radius
+    at = np.arange(600)[None, :]
+    want = np.argwhere(within & (at >= first[:, None]) & (at < last[:, None]))
     assert sorted(zip(q.tolist(), p.tolist())) == [tuple(x) for x in want.tolist()]
 
 
+def test_small_buckets_share_planes(monkeypatch):
+    monkeypatch.setattr(simhash, "PASS", 7)
+    test_bit_sliced_comparison(2)
+
+
 @pytest.mark.parametrize("block", [4, 2048])
 def test_near_links_lose_no_component(spark, block):
     rng = np.random.default_rng(4)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -37,13 +38,34 @@ def test_character_map(rule):
     own = codec.Codec.__new__(codec.Codec)
     own.map = codec.CharacterMap(dict(codec._fields(norm.serialized_normalizer_spec())).get(2, b""))
     own.prefix = own.squeeze = own.escape = True
-    own.plain = False
     for text in [*TEXTS, "ﬁ ﬀ ① Ａ", "  ｶﾞ  x ", "½ ™ ĳ", "​ a ­"]:
         out, source = own.normalise(text)
         assert out == norm.normalize(text)
         assert len(source) == len(out.encode()) + 1 and (source[1:] >= source[:-1]).all() and source[-1] <= len(text.encode())
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_encode_frame_with_a_map(spark, tmp_path, rule):
+    """The query's operator on a model that has a character map: the given model with one put in."""
+    norm = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+    spec = norm.serialized_normalizer_spec()
+    size, n = b"", len(spec)
+    while n > 127:
+        size, n = size + bytes([n & 127 | 128]), n >> 7
+    with open(codec.default_model(), "rb") as f:
+        proto = f.read() + b"\x1a" + size + bytes([n]) + spec
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto)
+    whole = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    texts = [*TEXTS, "ﬁ ﬀ ① Ａ", "  ｶﾞ  x ", "½ ™ ĳ", "Ａｂ　ｃ" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in codec.encode(docs, str(path)).collect():
+        ids = whole.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        assert bytes(r.ids) == b"".join(x.to_bytes(4, "little") for x in ids) and r.decoded == whole.decode(ids)
+        begins, ends = np.frombuffer(bytes(r.begins), "<u4"), np.frombuffer(bytes(r.ends), "<u4")
+        assert (begins <= ends).all() and (not len(ends) or ends.max() <= len(texts[r.doc_id].encode()))
+
+
 def test_encode_frame(docs, rows, empty):
     whole = sentencepiece.SentencePieceProcessor(model_file=codec.default_model())
     got = {r.doc_id: r for r in codec.encode(docs, codec.default_model()).collect()}
