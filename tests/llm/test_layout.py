@@ -113,12 +113,31 @@ def test_near_vectors(spark):
     degree = dict(zip(ids, hit.sum(1).tolist()))
     assert all(got[i].n_links <= degree[i] for i in ids)
     assert sum(got[i].n_links for i in ids) >= 0.95 * sum(degree.values())
+    measured = multi_index.recall(frame, multi_index.near_vectors(frame)).first()
+    asked = [i for i in ids if i % 20 == 0]
+    assert (measured.queries, measured.links) == (len(asked), sum(degree[i] for i in asked)) and measured.recall >= 0.9
     for i in range(2000, 2006):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert all(got[i].kept == (got[i].component_id == i) for i in ids)
     assert multi_index.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_other_lengths_and_doubles(spark):
+    """Every length has links of its own; doubles are not rounded; null and repeated ids, one number, huge numbers."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(50)]
+    rows += [(100, [1.0, 2.0, 3.0]), (101, [2.0, 4.0, 6.0]), (102, [-1.0, 5.0, 0.0]), (110, [3.0]), (111, [4.0]), (112, [-1.0])]
+    rows += [(120, [1e300, 1e300]), (121, [1e-300, 1.1e-300]), (None, [1.0, 1.0]), (130, [0.5, 0.1, 0.2, 0.3]), (130, [0.5, 0.1, 0.2, 0.3])]
+    t = math.acos(0.9)
+    rows += [(140, [1.0, 0.0, 0.0, 0.0, 0.0]), (141, [math.cos(t - 1e-12), math.sin(t - 1e-12), 0.0, 0.0, 0.0]), (142, [math.cos(t + 1e-12), 0.0, math.sin(t + 1e-12), 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_vectors(frame).collect()}
+    assert (got[100], got[101], got[102]) == ((1, 100), (1, 100), (0, 102))
+    assert (got[110], got[111], got[112]) == ((1, 110), (1, 110), (0, 112))
+    assert (got[120], got[121], got[None], got[130]) == ((1, 120), (1, 120), (0, None), (1, 130))
+    assert (got[140], got[141], got[142]) == ((1, 140), (1, 140), (0, 142))
+
+
 def test_traversal_is_multi_sequence():
     rng = np.random.default_rng(8)
     grid = multi_index.Grid(rng.normal(size=(9, 4)), rng.normal(size=(7, 4)))
