@@ -29,6 +29,16 @@ BLOCK = 2048
 PASS = 1 << 15
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """In how many of ``hashes`` (unsigned 64-bit) each bit is set, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def signed(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes, as a signed integer: bits set in over half of them."""
+    return int(np.packbits(counts * 2 > n).view(">i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit SimHash of one text as a signed integer; no words: 0."""
     words = (text or "").encode().lower().split()
@@ -43,9 +53,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     for at in range(0, n, 16384):  # a very long text in pieces: memory stays bounded
         s, e = starts[at : min(at + 16384, n)].tolist(), ends[k - 1 + at : k - 1 + min(at + 16384, n)].tolist()
         raw = b"".join([digest(joined[a:b], seed) for a, b in zip(s, e, strict=True)])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n).view(">i8")[0])
+        counts += majority(np.frombuffer(raw, ">u8"))
+    return signed(counts, n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
