@@ -1,13 +1,15 @@
 """Substring deduplication by De Bruijn compaction.
 
-The edges of the graph are windows of consecutive words; an edge that occurs
-twice is a repeat.  Windows are grouped by their minimizer, the least hash of
-the shorter k-mers inside, so an unrepeated minimizer rules out all of its
-windows before any of them is shuffled.  The remaining edges find their first
-occurrence; runs of edges that follow one another both here and at the first
-occurrence are nonbranching paths, and are compacted to one row.  The words
-at both ends of a path's coordinates are compared by digest before any word
-is removed.
+Windows of consecutive words are the edges of a graph whose nodes are the
+words that a window shares with the next one.  Only repeated edges enter it:
+windows are sieved by their minimizer, the least hash of the shorter k-mers
+inside, so an unrepeated minimizer rules out all of its windows before any of
+them is shuffled.  Every repeated edge knows its first occurrence.  Nodes with
+one edge in and one out do not branch; edges that follow one another through
+such nodes are compacted to paths, first along the documents of their first
+occurrences, then by joins at the nodes with doubling pointers.  A document's
+later occurrences become runs along paths, and the words at both ends of a
+run's source coordinates are compared by digest before any word is removed.
 """
 
 from __future__ import annotations
@@ -212,38 +214,56 @@ def _surveyed(window: int, k: int):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Whole groups of rows sorted by the first ``keys`` columns, many groups at a time."""
-    held = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:keys]], axis=0))
-        if len(change):
-            end = change[-1] + 1
-            yield [c[:end] for c in held]
-            held = [c[end:] for c in held]
-    if held is not None and len(held[0]):
-        yield held
-
-
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, h) of askers whose minimizer another text has too: columns h, doc, sign, told."""
-    for h, doc, sign, told in _grouped(batches, 1):
+    """(doc, h) of askers whose minimizer another text has too: columns h, doc, sign, told, sorted by h.
+
+    A minimizer's rows are at most one for each chunk of the corpus that has
+    it, and go by in a stream: what is held are askers of one sign alone.
+    """
+    open_, known, mark, pending = None, False, None, []
+    for batch in batches:
+        h, doc, sign, told = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(h):
+            continue
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sizes = np.diff(np.r_[first, len(h)])
-        asks = told == 0
+        sizes, asks = np.diff(np.r_[first, len(h)]), told == 0
         low = np.minimum.reduceat(np.where(asks, sign, np.iinfo(np.int64).max), first)
         high = np.maximum.reduceat(np.where(asks, sign, np.iinfo(np.int64).min), first)
-        again = np.repeat((low < high) | np.logical_or.reduceat(~asks, first), sizes) & asks
-        yield pa.RecordBatch.from_arrays([pa.array(doc[again], pa.int64()), pa.array(h[again], pa.int64())], ["doc", "h"])
-
-
-EDGES = "doc long, packed binary, sure array<int>, sure_doc array<long>, sure_ref array<int>, w1 array<long>, w2 array<int>, start array<int>"
+        again = (low < high) | np.logical_or.reduceat(~asks, first)
+        docs, hs = [], []
+        if h[0] != open_:
+            known, mark, pending = False, None, []
+        elif known or again[0] or (mark is not None and low[0] != mark):
+            again[0] = True
+            docs.append(np.array(pending, np.int64))
+            hs.append(np.full(len(pending), open_, np.int64))
+            pending = []
+        told_now = np.repeat(again, sizes) & asks
+        docs.append(doc[told_now])
+        hs.append(h[told_now])
+        if len(first) > 1:
+            known, mark, pending = False, None, []
+        open_, known = h[-1], bool(again[-1])
+        if not known:
+            last = slice(first[-1], len(h))
+            pending.extend(doc[last][asks[last]].tolist())
+            mark = low[-1] if asks[last].any() else mark
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(hs), pa.int64())], ["doc", "h"])
+
+
+EDGES = (
+    "doc long, packed binary, start array<int>, ref_doc array<long>, ref_start array<int>, length array<int>, "
+    "w1 array<long>, w2 array<int>, at array<int>, n array<int>, node array<long>, next array<long>"
+)
 
 
 def _edges(window: int, k: int):
-    """Windows with a repeated minimizer: those that the chunk has earlier are sure, the others go on."""
+    """Windows with a repeated minimizer.
+
+    Those that the chunk has earlier are runs beside their place there; the
+    others are edges to ask about, each with its number in the chunk and the
+    nodes it leaves and enters.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in _unpacked_chunks(batches):
@@ -260,6 +280,7 @@ def _edges(window: int, k: int):
             at = at[np.isin(least[at] ^ salt[owner[at]], wanted)]
             w1 = grams(words, owner, window)[0][at].view(np.int64)
             w2 = (grams(words, owner, window, _OTHER)[0][at] >> _U(32)).astype(np.uint32).view(np.int32)
+            nodes = grams(words, owner, window - 1)[0].view(np.int64)
             doc = owner[at]
             start = (at - np.searchsorted(owner, doc)).astype(np.int32)
             order = np.lexsort((start, ids[doc], w2, w1))
@@ -269,35 +290,68 @@ def _edges(window: int, k: int):
             # repeated rows of one id: the same place is not an earlier one
             later = (ids[doc[order]] != ids[doc[head]]) | (start[order] != start[head])
             sure, refs = order[later], head[later]
-            by = np.argsort(doc[sure], kind="stable")
+            by = np.lexsort((start[sure], doc[sure]))
             sure, refs = sure[by], refs[by]
-            ask = np.sort(order[new])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    _lists(rows, doc[sure], start[sure], pa.int32()),
-                    _lists(rows, doc[sure], ids[doc[refs]], pa.int64()),
-                    _lists(rows, doc[sure], start[refs], pa.int32()),
-                    _lists(rows, doc[ask], w1[ask], pa.int64()),
-                    _lists(rows, doc[ask], w2[ask], pa.int32()),
-                    _lists(rows, doc[ask], start[ask], pa.int32()),
-                ],
-                [x.split()[0] for x in EDGES.split(", ")],
-            )
+            step = lambda x, d: np.r_[True, x[1:] != x[:-1] + d] if len(x) else np.empty(0, bool)
+            begin = np.flatnonzero(step(doc[sure], 0) | step(start[sure], 1) | step(doc[refs], 0) | step(start[refs], 1))
+            length = (np.diff(np.r_[begin, len(sure)]) + window - 1).astype(np.int32)
+            sure, refs = sure[begin], refs[begin]
+            heads = np.flatnonzero(new)
+            count = np.diff(np.r_[heads, len(order)]).astype(np.int32)
+            asked = order[heads]
+            by = np.argsort(asked)
+            ask, count = asked[by], count[by]
+            lists = [(sure, start[sure], pa.int32()), (sure, ids[doc[refs]], pa.int64()), (sure, start[refs], pa.int32()), (sure, length, pa.int32())]
+            lists += [(ask, w1[ask], pa.int64()), (ask, w2[ask], pa.int32()), (ask, start[ask], pa.int32()), (ask, count, pa.int32())]
+            lists += [(ask, nodes[at[ask]], pa.int64()), (ask, nodes[at[ask] + 1], pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[_lists(rows, doc[i], v, t) for i, v, t in lists]], [x.split()[0] for x in EDGES.split(", ")])
 
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, start, ref_doc, ref_start) of windows that are not the first of their kind: columns w1, w2, doc, start, sorted."""
-    for w1, w2, doc, start in _grouped(batches, 2):
-        new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (doc != doc[head]) | (start != start[head])
-        columns = (doc[later], start[later], doc[head[later]], start[head[later]])
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "start", "ref_doc", "ref_start"])
+#: A place is one number: the document times this, plus the word.
+_PLACE = 1 << 31
+
+
+def graph(open_: DataFrame) -> DataFrame:
+    """Repeated edges (w1, w2, n, first, ref_doc, ref_start, path, offset) from rows (w1, w2, doc, at, n, node, next).
+
+    ``first`` is the place of the first occurrence, ref_doc and ref_start its
+    document and word.  Edges are counted with partial sums, so a window that
+    every chunk has costs a row a task.  Edges of one path have offsets in
+    order; paths end at nodes that branch.
+    """
+    place = (F.col("doc").cast("decimal(29,0)") * _PLACE + F.col("at")).cast("decimal(29,0)")
+    edges = open_.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(place).alias("first"), F.first("node").alias("node"), F.first("next").alias("next"))
+    edges = edges.filter("n > 1").withColumn("ref_start", F.pmod(F.col("first"), F.lit(_PLACE)).cast("int"))
+    edges = cut(edges.withColumn("ref_doc", F.expr(f"(first - ref_start) div {_PLACE}")), "graph-repeated")
+
+    sides = edges.select("node", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("next").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    plain = sides.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out = 1 and into = 1").select("node", F.lit(True).alias("plain"))
+    plain = cut(plain, "graph-plain-nodes")
+    along = W.partitionBy("ref_doc").orderBy("ref_start")
+    goes_on = F.coalesce((F.lag("ref_start").over(along) + 1 == F.col("ref_start")) & F.col("plain"), F.lit(False))
+    steps = edges.join(plain, "node", "left").withColumn("begins", F.when(~goes_on, F.col("first")))
+    steps = steps.withColumn("piece", F.last("begins", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    steps = cut(steps.select("w1", "w2", "n", "first", "ref_doc", "ref_start", "piece", "node", "next"), "graph-steps")
+
+    # pieces whose end and beginning meet in a node that does not branch
+    pieces = steps.groupBy("piece").agg(F.min_by("node", "ref_start").alias("node"), F.max_by("next", "ref_start").alias("next"), F.count("*").alias("length"))
+    pieces = cut(pieces, "graph-pieces")
+    ends = pieces.select(F.col("next").alias("node"), F.col("piece").alias("up"), F.col("length").alias("offset")).join(plain, "node").drop("plain")
+    linked = cut(pieces.select("piece", "node").join(ends, "node").filter(F.col("piece") != F.col("up")).select("piece", "up", "offset"), "graph-links")
+    reach, most, paths = 1, linked.count(), None
+    while reach <= most:
+        above = linked.select(F.col("piece").alias("up"), F.col("up").alias("upper"), F.col("offset").alias("more"))
+        doubled = linked.join(above, "up", "left").select("piece", F.coalesce("upper", "up").alias("up"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"))
+        linked, reach = cut(doubled, "graph-links"), reach * 2
+    # a ring has no first piece: its pieces stay paths of their own
+    paths = linked.join(linked.select(F.col("piece").alias("up")), "up", "left_anti").select("piece", F.col("up").alias("path"), F.col("offset").alias("base"))
+    begin = F.pmod(F.col("piece"), F.lit(_PLACE)).cast("int")
+    return steps.join(paths, "piece", "left").select(
+        "w1", "w2", "n", "first", "ref_doc", "ref_start", F.coalesce("path", "piece").alias("path"),
+        (F.coalesce("base", F.lit(0)) + F.col("ref_start") - begin).cast("int").alias("offset"),
+    )
 
 
 def _span_digest(words: list[bytes], at: int, length: int) -> bytes:
@@ -362,31 +416,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = cut(texts.select("doc", "n_words", "digest", "copy"), "graph-texts")
     copies = texts.filter("copy").select("doc").distinct()
 
-    asked = survey.filter("told is null").select(F.explode("asked").alias("h"), "doc", "sign", F.lit(0).alias("told"))
+    own = survey.filter("told is null").select("doc", "sign", "known", "asked").join(copies, "doc", "left_anti")
+    asked = own.select(F.explode("asked").alias("h"), "doc", "sign", F.lit(0).alias("told"))
     told = survey.filter("told is not null").select(F.explode("told").alias("h"), F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("sign"), F.lit(1).alias("told"))
     marked = asked.unionByName(told).repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "doc long, h long")
-    known = survey.select("doc", F.explode("known").alias("h"))
-    wanted = marked.unionByName(known).groupBy("doc").agg(F.collect_list("h").alias("hs")).join(copies, "doc", "left_anti")
+    known = own.select("doc", F.explode("known").alias("h"))
+    wanted = marked.unionByName(known).groupBy("doc").agg(F.collect_list("h").alias("hs"))
     edges = cut(rows.mapInArrow(_packed, "doc long, packed binary").join(wanted, "doc").select("doc", "packed", "hs").mapInArrow(_edges(window, k), EDGES), "graph-edges")
     release(survey)
 
-    sure = edges.select("doc", F.explode(F.arrays_zip("sure", "sure_doc", "sure_ref")).alias("x")).select(
-        "doc", F.col("x.sure").alias("start"), F.col("x.sure_doc").alias("ref_doc"), F.col("x.sure_ref").alias("ref_start")
-    )
-    open_ = edges.select("doc", F.explode(F.arrays_zip("w1", "w2", "start")).alias("x")).select("x.w1", "x.w2", "doc", "x.start")
-    order = ["w1", "w2", "doc", "start"]
-    later = open_.repartition("w1", "w2").sortWithinPartitions(*order).mapInArrow(_later, "doc long, start int, ref_doc long, ref_start int")
-
-    diagonal = W.partitionBy("doc", "ref_doc", "shift").orderBy("start")
-    paths = (
-        later.unionByName(sure)
-        .withColumn("shift", F.col("start") - F.col("ref_start"))
-        .withColumn("path", F.col("start") - F.row_number().over(diagonal))
-        .groupBy("doc", "ref_doc", "shift", "path")
-        .agg(F.min("start").alias("start"), F.max("start").alias("end"))
-        .select("doc", "start", "ref_doc", (F.col("start") - F.col("shift")).alias("ref_start"), (F.col("end") - F.col("start") + window).alias("length"))
+    sure = edges.select("doc", F.inline(F.arrays_zip("start", "ref_doc", "ref_start", "length")))
+    open_ = edges.select("doc", F.inline(F.arrays_zip("w1", "w2", "at", "n", "node", "next")))
+    place = (F.col("doc").cast("decimal(29,0)") * _PLACE + F.col("at")).cast("decimal(29,0)")
+    known_edges = graph(open_).select("w1", "w2", "first", "ref_doc", "ref_start", "path", "offset")
+    later = open_.select("w1", "w2", "doc", "at").join(known_edges, ["w1", "w2"]).filter(place != F.col("first"))
+    # a run: the same distance to the path's edges and to their first occurrences
+    along = W.partitionBy("doc", "path", "shift", "ref_doc", "ref_shift").orderBy("at")
+    runs = (
+        later.select("doc", "at", "path", (F.col("at") - F.col("offset")).alias("shift"), "ref_doc", (F.col("at") - F.col("ref_start")).alias("ref_shift"))
+        .withColumn("run", F.col("at") - F.row_number().over(along))
+        .groupBy("doc", "path", "shift", "ref_doc", "ref_shift", "run")
+        .agg(F.min("at").alias("start"), F.max("at").alias("end"))
+        .select("doc", "start", "ref_doc", (F.col("start") - F.col("ref_shift")).alias("ref_start"), (F.col("end") - F.col("start") + window).alias("length"))
     )
-    paths = cut(paths, "graph-paths")
+    paths = cut(runs.unionByName(sure), "graph-paths")
     spans = paths.select("ref_doc", "ref_start", "length").distinct().groupBy("ref_doc").agg(F.collect_list(F.struct("ref_start", "length")).alias("spans"))
     sources = edges.select(F.col("doc").alias("ref_doc"), "packed").dropDuplicates(["ref_doc"]).join(spans, "ref_doc")
     digests = sources.select("ref_doc", "packed", "spans").mapInArrow(_source_digests, "ref_doc long, ref_start int, length int, digest binary")

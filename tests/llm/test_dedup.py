@@ -1,6 +1,8 @@
 import hashlib
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -137,6 +139,65 @@ def test_remove_repeats(docs, rows, empty, chunk, monkeypatch):
     assert debruijn.remove_repeats(empty).count() == 0
 
 
+def plain_paths(edges):
+    """Maximal paths of edges (node, next) through nodes with one edge in and one out; rings as they are."""
+    out, into = {}, {}
+    for e, (a, b) in edges.items():
+        out.setdefault(a, []).append(e)
+        into.setdefault(b, []).append(e)
+    plain = {v for v in out if len(out[v]) == 1 and len(into.get(v, [])) == 1}
+    paths, seen = [], set()
+    for e, (a, _) in edges.items():
+        if a not in plain:
+            path = [e]
+            while (v := edges[path[-1]][1]) in plain:
+                path.append(out[v][0])
+            paths.append(path)
+            seen.update(path)
+    return paths, edges.keys() - seen
+
+
+def test_graph_is_compacted(spark):
+    rng = random.Random(8)
+    words = [chr(97 + i) for i in range(26)]
+    passages = ["".join(rng.sample(words, 12)) for _ in range(8)]
+    texts = ["".join(rng.choice(passages)[rng.randint(0, 5) : rng.randint(6, 12)] for _ in range(6)) for _ in range(40)] + ["0123456789"[i : i + 6] for i in range(5)]
+    texts += ["uvw" * 4]  # a ring, once more below
+    number = {}
+    of = lambda x: number.setdefault(x, len(number))
+    rows, places = [], {}
+    for doc, t in enumerate(texts):
+        for at in range(len(t) - 2):
+            w = t[at : at + 3]
+            rows.append((of(w), 0, doc, at, 1, of(w[:2]), of(w[1:])))
+            places.setdefault(of(w), []).append((doc, at))
+    got = debruijn.graph(spark.createDataFrame(rows, "w1 long, w2 int, doc long, at int, n int, node long, next long").repartition(3)).collect()
+    ends = {r[0]: (r[5], r[6]) for r in rows}
+    repeated = {e: ends[e] for e, p in places.items() if len(p) > 1}
+    assert {r.w1: (r.n, (r.ref_doc, r.ref_start)) for r in got} == {e: (len(places[e]), min(places[e])) for e in repeated}
+    paths, rings = plain_paths(repeated)
+    found = {}
+    for r in got:
+        found.setdefault(r.path, []).append((r.offset, r.w1))
+    found = [[e for _, e in sorted(p)] for p in found.values() if all(o == i for i, (o, _) in enumerate(sorted(p)))]
+    assert sorted(p for p in found if not set(p) & rings) == sorted(paths) and max(map(len, paths)) > 5 and rings
+    assert sum(map(len, found)) == len(repeated)
+
+
+def test_minimizers_in_a_stream():
+    """Groups that go on from batch to batch; the answer does not depend on where batches end."""
+    rng = random.Random(3)
+    rows = sorted((rng.randint(0, 30), rng.random() < 0.1, doc, rng.randint(0, 3) if h % 2 else 7) for doc, h in enumerate([rng.randint(0, 9) for _ in range(300)]))
+    table = pa.table({"h": [r[0] for r in rows], "doc": [r[2] for r in rows], "sign": [r[3] for r in rows], "told": pa.array([int(r[1]) for r in rows], pa.int32())})
+    groups = {}
+    for h, told, _, sign in rows:
+        groups.setdefault(h, set()).update({None, 0} if told else {sign + 1})
+    want = sorted((doc, h) for h, told, doc, _ in rows if not told and len(groups[h]) > 1)
+    for size in (1, 2, 7, 300):
+        out = [b for b in debruijn._repeated(iter(table.to_batches(max_chunksize=size)))]
+        assert sorted((r["doc"], r["h"]) for b in out for r in b.to_pylist()) == want
+
+
 def test_word_hashes_in_pieces(monkeypatch):
     texts = [b"one two  three", b"", b"\tfour", b"five\nsix ", b"seven" * 50, b"one"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
