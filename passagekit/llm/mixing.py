@@ -155,10 +155,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     give no rows.
     """
     rows = keyed(docs)
-    plan = source_mix(rows).filter("copies > 0").select(ROW, "copies", "n_tokens", "taken")
-    both = rows.join(plan, ROW).withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
-    left = F.col("taken") - (F.col("copies") - 1) * F.col("n_tokens")
-    short = (F.col("_copy") == F.col("copies")) & (left < F.col("n_tokens"))
+    plan = source_mix(rows).filter("copies > 0").select(ROW, *[F.col(c).alias("_" + c) for c in ("copies", "n_tokens", "taken")])
+    both = rows.join(plan, ROW).withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
+    left = F.col("_taken") - (F.col("_copies") - 1) * F.col("_n_tokens")
+    short = (F.col("_copy") == F.col("_copies")) & (left < F.col("_n_tokens"))
     both = both.withColumn("text", F.when(short, token_prefix(F.col("text"), left)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

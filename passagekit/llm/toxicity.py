@@ -90,7 +90,7 @@ def counterfactual(found: set[str], here: set[int], features: Featurer) -> list[
         rest = features(found - terms)
         old, new = rest | features(terms), rest | features({SWAPS[t] for t in terms})
         return [(old - new, new - old)]
-    group = IDENTITY[len(found) % len(IDENTITY)]
+    group = IDENTITY[sum(map(len, found)) % len(IDENTITY)]
     first, second = here | features({group[0]}), here | features({group[1]})
     return [(first - second, second - first), (first - here, set())]
 

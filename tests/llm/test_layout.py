@@ -1,10 +1,11 @@
 import math
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagekit.llm import mixing, multi_index, resharding
+from passagekit.llm import common, mixing, multi_index, resharding
 
 
 def test_min_cost_flow_is_least():
@@ -36,6 +37,56 @@ def test_reshard_moves_little(spark):
     assert abs(moved - total / 2) < 100 and max(abs(sum(r.n for r in got if r.shard == s) - total / 8) for s in range(8)) < 60
 
 
+def test_reshard_of_documents_moves_no_more_than_the_flow(spark):
+    """The query on whole tables: placement, slots and sizes by hand, and bytes moved against the flow's optimum."""
+    got = resharding.op10_flow_reshard(spark, "/root/testdata/sf0.01").collect()
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    assert all(r["size"] == len(rows[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(rows[r.doc_id].encode()) for r in got)
+    old, new, slots = [0] * 8, [0] * 8, {}
+    for r in got:
+        old[r.old_shard] += r["size"]
+        new[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    total, longest = sum(old), max(r["size"] for r in got)
+    assert max(new) - min(new) <= longest
+    capacity = [total * (i + 1) // 8 - total * i // 8 for i in range(8)]
+    best = sum(n for (i, j), n in resharding.min_cost_flow(old, capacity, [[int(i != j) for j in range(8)] for i in range(8)]).items() if i != j)
+    moved = sum(r["size"] for r in got if r.shard != r.old_shard)
+    assert abs(moved - best) <= 8 * longest
+
+
+def test_reshard_odd_rows(spark):
+    rows = [(None, "a")] * 3 + [(1, "same"), (1, "same"), (2, None), (3, "é" * 50)]
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, shard int, slot string")
+    got = resharding.reshard(docs, F.lit(None).cast("int"), 3).collect()
+    assert sorted((r.doc_id or 0, r["size"]) for r in got) == sorted((i or 0, len((t or "").encode()) + 1) for i, t in rows)
+    assert {r.old_shard for r in got} == {0} and all(0 <= r.shard < 3 for r in got)
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_running_before(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(g), int(a), int(b), int(k), int(n)) for k, (g, a, b, n) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 4, 500), rng.integers(0, 5, 500), rng.integers(0, 50, 500)))]
+    frame = spark.createDataFrame(rows, "g int, a int, b int, k int, n long").repartition(5)
+    got = {r.k: r.before for r in common.running_before(frame, ["g"], ["a", "b"], ["k"], "n", "before").collect()}
+    assert got == {k: sum(r[4] for r in rows if r[0] == g and r[1:4] < (a, b, k)) for g, a, b, k, _ in rows}
+
+
+def test_mix_odd_rows(spark):
+    """Repeated rows and ids, ties, a leaf without words, and columns of inner names."""
+    rows = [(1, "a b c", "en", "src1")] * 3 + [(None, "d e", "en", "src1"), (2, None, "en", "src2"), (3, "f  g\th i", None, None), (3, "j", None, None)]
+    docs = spark.createDataFrame([(*r, 9, "k", "b") for r in rows], "doc_id long, text string, lang string, source string, budget int, key string, block string")
+    got = mixing.source_mix(docs).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got) == sum(r.budget for r in {(r.domain, r.lang, r.source): r for r in got}.values())
+    texts = mixing.mixed(docs)
+    assert texts.columns == docs.columns and sum(len((r.text or "").split()) for r in texts.collect()) == sum(r.taken for r in got)
+    cut_ = spark.createDataFrame([("  a b\tc  d ", n) for n in range(6)], "t string, n int").select(mixing.token_prefix(F.col("t"), F.col("n"))).collect()
+    assert [r[0] for r in cut_] == ["", "  a", "  a b", "  a b\tc", "  a b\tc  d", "  a b\tc  d "]
+
+
 def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     docs = spark.createDataFrame([(i, "abc") for i in range(60)], "doc_id long, text string")
     plan = resharding.reshard(docs, (F.col("doc_id") % 3).cast("int"), 3)

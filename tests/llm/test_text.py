@@ -1,6 +1,10 @@
+import collections
+import functools
 import hashlib
+import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -215,6 +219,29 @@ def test_secrets(spark, empty):
     assert secret_scan.find_secrets(empty, F.col("source"), F.col("source")).count() == 0
 
 
+def test_secret_scan_odd_rows(spark):
+    """Null owners are one owner, repeated rows and ids are reported each, inner names do not matter; many hits of one text, and shared repositories of one owner."""
+    many = " ".join(f"token={k:06d}" for k in range(20_000))
+    value = "k3yQ9zLm2Xv7Rt5Wn8Bc"
+    rows = [(1, many, None, None)] + [(2, "x token=abcdef", None, None)] * 2 + [(None, "y token=abcdef", "o", "r")] + [(10 + i, f"use {value} here", "o1", f"r{i}") for i in range(5)]
+    docs = spark.createDataFrame([(*r, "h", 1, "e") for r in rows], "doc_id long, text string, owner string, repo string, hits string, row int, end string")
+    start = time.perf_counter()
+    found = [(r.doc_id, [(f.kind, f.start, f.end, f.status, f.n_owners) for f in r.findings]) for r in secret_scan.find_secrets(docs, F.col("repo"), F.col("owner")).collect()]
+    assert time.perf_counter() - start < 60
+    by = dict(found)
+    assert len(found) == len(rows) and [f[:3] for f in by[1]] == [("assign", 13 * k, 13 * k + 12) for k in range(20_000)]
+    assert [f for i, f in found if i == 2] == [[("assign", 2, 14, "weak", 2)]] * 2 and by[None] == [("assign", 2, 14, "weak", 2)]
+    assert all(by[10 + i] == [] for i in range(5))  # five repositories of one owner carry it: an example, and no base finding
+    apart = secret_scan.find_secrets(docs, F.col("owner"), F.col("owner")).filter("doc_id >= 10").collect()
+    assert all([(f.kind, f.status) for f in r.findings] == [("live", "live")] for r in apart)
+
+
+def test_codec_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", b"x"), (1, "a b", b"y"), (None, "a b", b"z"), (2, None, None)], "doc_id long, text string, ids binary")
+    got = sorted((r.doc_id or 0, r.n_tokens, bytes(r.ids)) for r in codec.encode(docs, codec.default_model()).collect())
+    assert [g[0] for g in got] == [0, 1, 1, 2] and got[0][1:] == got[1][1:] == got[2][1:] and got[3][1] == 2
+
+
 def test_toxicity(spark, empty):
     bad, plain = ["grumbleface", "vexword"], ["river", "stone", "cloud", "bread", "road", "table"]
     rows, labels = [], []
@@ -239,3 +266,94 @@ def test_toxicity(spark, empty):
     assert toxicity.judged(empty, marks).count() == 0
     assert toxicity.judged(docs, marks.filter("toxic = 0")).filter("predicted = 1").count() == 0
     assert toxicity.keep_clean(docs, marks).columns == docs.columns
+
+
+def plain_model(texts, labels):
+    """The classifier refitted without Spark: the same features, choice and penalties, by dense matrices."""
+    known = {i: labels[i] for i in texts if labels.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5}
+    parts = lambda w: {"=" + w} | {f"^{w[:n]}" for n in (4, 5, 6) if len(w) > n} | {f"${w[-n:]}" for n in (4, 5) if len(w) > n}
+    parts = functools.lru_cache(None)(parts)
+    feature = lambda ws: set().union(*map(parts, ws))
+    found = {i: set(toxicity.words(texts[i])) for i in known}
+    here = {i: feature(w) for i, w in found.items()}
+    n, n1 = len(known), sum(known.values())
+    count, toxic = collections.Counter(), collections.Counter()
+    for i, fs in here.items():
+        count.update(fs)
+        if known[i]:
+            toxic.update(fs)
+    kept = set()
+    for f, c in count.items():
+        rate = c / n
+        if toxicity.LEAST_ROWS <= c < n and abs(toxic[f] / n1 - (c - toxic[f]) / (n - n1)) / (rate * (1 - rate) * (1 / n1 + 1 / (n - n1))) ** 0.5 >= toxicity.LEAST_Z:
+            kept.add(f)
+    column = {f: k for k, f in enumerate(sorted(kept | feature(toxicity.SWAPS)))}
+    row = lambda fs: np.bincount([column[f] for f in fs if f in column], minlength=len(column)).astype(float)
+    x, y, changes = np.array([row(here[i]) for i in known]), np.array([known[i] for i in known], float), []
+    for i, ws in found.items():
+        terms = ws & toxicity.SWAPS.keys()
+        if terms:
+            changes.append(row(feature((ws - terms) | {toxicity.SWAPS[t] for t in terms})) - row(here[i]))
+        else:
+            group = toxicity.IDENTITY[sum(map(len, ws)) % len(toxicity.IDENTITY)]
+            one, two = here[i] | feature({group[0]}), here[i] | feature({group[1]})
+            changes += [row(two) - row(one), row(here[i]) - row(one)]
+    d = np.array(changes)
+    w, b = np.zeros(len(column)), np.log(y.mean() / (1 - y.mean()))
+    m1, m2 = np.zeros(len(column) + 1), np.zeros(len(column) + 1)
+    for step in range(1, toxicity.STEPS + 1):
+        miss = (1 / (1 + np.exp(-(b + x @ w))) - y) * np.where(y > 0, toxicity.TOXIC_WEIGHT, 1) / n
+        grad = np.append(x.T @ miss + toxicity.RIDGE * w + toxicity.COUNTERFACTUAL * d.T @ (d @ w) / len(d), miss.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    weight = {f: w[k] for f, k in column.items()}
+    return lambda text: 1 / (1 + np.exp(-(b + sum(weight.get(f, 0.0) for f in feature(set(toxicity.words(text)))))))
+
+
+def test_toxicity_query_against_plain_refit(spark):
+    """op7 on whole tables: every score is that of a fit without Spark, and held-out toxic documents score higher."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    score = plain_model(texts, labels)
+    got = {r.doc_id: r for r in toxicity.op7_toxicity(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        assert abs(got[i].score - score(t)) < 0.02 and got[i].predicted == (got[i].score >= 0.5)
+    held = [i for i in got if got[i].held_out and labels.get(i) in (0, 1)]
+    assert held and all(zlib.crc32(str(i).encode()) % 5 == 0 for i in held)
+    wins = [(got[a].score > got[b].score) + 0.5 * (got[a].score == got[b].score) for a in held if labels[a] for b in held if not labels[b]]
+    assert sum(wins) / len(wins) > 0.8
+
+
+def test_toxicity_without_the_penalty_moves_with_identity_terms(spark, monkeypatch):
+    """The gap between groups, and clean mentions called toxic, grow when the counterfactual penalty is off."""
+    rng = random.Random(6)
+    plain, rows, labels = ["river", "stone", "cloud", "bread", "road", "table"], [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = rng.sample(plain, rng.randint(2, 6)) + (["vexword"] if toxic and i % 8 else []) + (["women"] if toxic or i % 20 == 1 else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [f"women {a} and {b}" for a in plain for b in plain]
+
+    def measured(strength):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", strength)
+        score = toxicity.Scorer(*toxicity.train(docs, marks))
+        gap = max(abs(score(t) - score(t.replace("women", "men"))) for t in neutral)
+        return gap, sum(score(t) >= 0.5 for t in neutral) / len(neutral)
+
+    (with_gap, with_false), (bare_gap, bare_false) = measured(toxicity.COUNTERFACTUAL), measured(0.0)
+    assert with_gap < bare_gap / 3 and with_false < bare_false, (with_gap, with_false, bare_gap, bare_false)
+
+
+def test_toxicity_odd_rows(spark):
+    """Repeated rows score alike, other columns of inner names do not matter, one label has its share as score."""
+    docs = spark.createDataFrame([(1, "a b", 0, 9.0), (1, "a b", 1, 8.0), (None, "a", 1, 7.0), (2, None, 1, 6.0)], "doc_id long, text string, label int, score double")
+    one = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, toxic int")
+    got = sorted((r.doc_id or 0, r.held_out, r.predicted) for r in toxicity.judged(docs, one).collect())
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 2)]
+    assert got == sorted([(1, held[0], 1)] * 2 + [(0, True, 1), (2, held[1], 1)])
+    assert toxicity.judged(docs, one.limit(0)).filter("predicted = 1").isEmpty()
