@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 TO_SI = {"speed": 0.514444, "depth": 1.0, "distance": 1852.001}
 KNOTS_FROM_SI = 1.94384
 SYMBOL = {"speed": "kn", "depth": "m", "distance": "nmi"}
-FORMULA = r"^value\s*([*/+-])\s*([\d.]+)$"
 
 
 @dataclass(frozen=True)
@@ -24,9 +23,12 @@ class Preference:
 
 def apply_formula(formula: Column, value: Column) -> Column:
     """``value OP number``; any other text leaves the value as it is."""
-    op, number = F.regexp_extract(formula, FORMULA, 1), F.regexp_extract(formula, FORMULA, 2).try_cast("double")
+    rest = F.ltrim(F.substring(formula, 6, 1000))
+    op, digits = F.substring(rest, 1, 1), F.ltrim(F.substring(rest, 2, 1000))
+    number = F.when(F.startswith(formula, F.lit("value")) & (F.translate(digits, "0123456789.", "") == ""), digits.try_cast("double"))
     return (
-        F.when(op == "*", value * number)
+        F.when(number.isNull(), value)
+        .when(op == "*", value * number)
         .when(op == "/", value / number)
         .when(op == "+", value + number)
         .when(op == "-", value - number)

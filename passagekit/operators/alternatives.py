@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagekit.functions.geo import distance_nm
+from passagekit.operators.scratch import written
 
 OBJECTIVES = ("fastest", "leastMotoring", "allMotoring", "bestWeather")
 #: Hours a maneuver and a maneuver without headway cost in the ranking; the most attempts.
@@ -70,6 +71,68 @@ def rank(alternatives: DataFrame, objective: str, wanted: int) -> DataFrame:
     return best.filter(F.col("place") < wanted)
 
 
+def geometry_keys(points: DataFrame, places: int = 5) -> DataFrame:
+    """(route_id, geometry): a route's points in order, rounded to ``places``, as one text; a route is one row."""
+    text = F.format_string(f"%.{places}f,%.{places}f", "lat", "lon")
+    rows = points.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", text.alias("text")))).alias("all"))
+    return rows.select("route_id", F.array_join(F.transform("all", lambda x: x["text"]), ";").alias("geometry"))
+
+
+def durations(points: DataFrame) -> DataFrame:
+    """(route_id, hours) from a route's first point to its last; never negative."""
+    hours = (F.max_by("t_ms", "seq") - F.min_by("t_ms", "seq")) / 3_600_000.0
+    return points.groupBy("route_id").agg(F.greatest(F.lit(0.0), hours).alias("hours"))
+
+
+def expanded(outcomes: DataFrame) -> DataFrame:
+    """(request_id, attempt, route_id, warning) of outcomes (request_id, attempt, routes, warning).
+
+    An outcome of several routes becomes one of each, numbered from 0; one
+    without routes (null) stays as it is.
+    """
+    shared = outcomes.filter("routes is not null").select("request_id", F.posexplode("routes").alias("attempt", "route_id"), "warning")
+    return shared.unionByName(outcomes.filter("routes is null").select("request_id", "attempt", F.lit(None).cast(shared.schema["route_id"].dataType).alias("route_id"), "warning"))
+
+
+#: The most arrivals that are compared, the earliest; the least separation worth another route, nm.
+MOST_ARRIVALS, LEAST_SEPARATION_NM = 2000, 0.25
+
+
+def diverse(points: DataFrame, primary: DataFrame, wanted: int) -> DataFrame:
+    """(request_id, place, route_id, separation_nm): of each request's arrivals the ones farthest from those chosen before.
+
+    Points: (request_id, route_id, seq from 0, lat, lon, t_ms); primary:
+    (request_id, route_id), chosen first.  Arrivals of the same geometry count
+    once, and only the earliest few are compared.  Every round takes, for all
+    requests, the arrival whose nearest chosen route is farthest, until that
+    is nearer than the least separation.
+    """
+    keys = geometry_keys(points, 6)
+    ends = points.groupBy("request_id", "route_id").agg(F.max("t_ms").alias("end_ms")).join(keys, "route_id")
+    ends = ends.join(primary.select("route_id", F.lit(0).alias("first")), "route_id", "left").fillna(1, ["first"])
+    once = W.partitionBy("request_id", "geometry").orderBy("first", "end_ms", "route_id")
+    early = W.partitionBy("request_id").orderBy("first", "end_ms", "route_id")
+    some = ends.withColumn("n", F.row_number().over(once)).filter("n = 1").withColumn("n", F.row_number().over(early)).filter(F.col("n") <= MOST_ARRIVALS + 1)
+    left = written(some.filter("first = 1").select("request_id", "route_id"))
+    chosen = primary.select("request_id", F.lit(0).alias("place"), "route_id", F.lit(None).cast("double").alias("separation_nm"))
+    latest, near = chosen, None
+    lines = written(points.select("route_id", "seq", "lat", "lon"))
+    for place in range(1, wanted):
+        pairs = left.join(latest.select("request_id", F.col("route_id").alias("b")), "request_id").select(F.col("route_id").alias("a"), "b")
+        apart = separations(lines, pairs).select(F.col("a").alias("route_id"), "separation_nm")
+        apart = left.join(apart, "route_id")
+        near = apart if near is None else apart.unionByName(near.select(apart.columns)).groupBy("route_id", "request_id").agg(F.min("separation_nm").alias("separation_nm"))
+        near = written(near)
+        best = near.filter(F.col("separation_nm") >= LEAST_SEPARATION_NM).groupBy("request_id").agg(F.max_by(F.struct("route_id", "separation_nm"), F.struct("separation_nm", -F.col("route_id"))).alias("b"))
+        latest = written(best.select("request_id", F.lit(place).alias("place"), "b.route_id", "b.separation_nm"))
+        if latest.isEmpty():
+            break
+        chosen = chosen.unionByName(latest)
+        near = near.join(latest.select("route_id"), "route_id", "left_anti")
+        left = near.select("request_id", "route_id")
+    return chosen
+
+
 def separations(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, separation_nm): mean distance of routes at up to 12 matching places between their ends.
 

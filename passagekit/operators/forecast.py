@@ -179,9 +179,9 @@ def combination(files: DataFrame, now_ms: int, departure_ms: int | None = None)
     """
     if departure_ms is None:
         fits = F.col("end_ms") >= now_ms
-        why = F.concat(F.lit("past: forecast period ended "), F.floor((now_ms - F.col("end_ms")) / 3600000 + 0.5).cast("string"), F.lit("h ago"))
+        why = F.concat(F.lit("ended hours ago: "), F.floor((now_ms - F.col("end_ms")) / 3600000 + 0.5).cast("string"))
     else:
-        fits, why = F.lit(departure_ms).between(F.col("start_ms"), F.col("end_ms")), F.lit("does not cover the set departure time")
+        fits, why = F.lit(departure_ms).between(F.col("start_ms"), F.col("end_ms")), F.lit("departure outside its period")
     known = ranked(files.withColumn("own_type", F.col("type")).withColumn("type", F.when(fits, "in").otherwise("out")))
     scope = known.filter("type = 'in'")
     rows, columns = _degree_cells(F.col("lat_min"), F.col("lat_max"), F.col("lon_min"), F.col("lon_max"))
@@ -196,7 +196,7 @@ def combination(files: DataFrame, now_ms: int, departure_ms: int | None = None)
     )
     held = inner.join(outer, ["cy", "cx"]).filter(holds).groupBy("path").agg(F.min_by("o_path", "o_rank").alias("by"))
     out = known.join(held, "path", "left")
-    reason = F.when(F.col("type") == "out", why).when(F.col("by").isNotNull(), F.concat(F.lit("redundant: fully covered by "), "by")).otherwise("")
+    reason = F.when(F.col("type") == "out", why).when(F.col("by").isNotNull(), F.concat(F.lit("covered by "), "by")).otherwise("")
     return out.select("path", ((F.col("type") == "in") & F.col("by").isNull()).alias("recommended"), reason.alias("reason"))
 
 
@@ -208,3 +208,28 @@ def expired(files: DataFrame, now_ms: int) -> DataFrame:
 def freshest(files: DataFrame) -> DataFrame:
     """The one current file with the newest modification time."""
     return files.filter("type = 'current'").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+
+
+def currents_at(points: DataFrame, files: DataFrame, cells: DataFrame) -> DataFrame:
+    """(id, u, v) of points (id, lat, lon, t_ms): the freshest current file, its nearest frame, bilinear; outside it and without one 0."""
+    best = files.join(F.broadcast(freshest(files)), "path")  # one row
+    inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
+    box = best.select("path", "lat_min", "lat_max", "lon_min", "lon_max")
+    met = points.join(F.broadcast(box), inside).select("id", "path", "lat", "lon", "t_ms")
+    placed = nearest_frame(met.select("id", "path", "t_ms"), frames(best)).join(met.select("id", "lat", "lon"), "id")
+    found = bilinear(with_grid(placed, best), cells, ["u", "v"])
+    return points.select("id").join(found, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("u", "v")])
+
+
+#: Fixed value: a current of a smaller square is land or fill and is not shown.
+NO_CURRENT = 1e-4
+
+
+def current_grid(files: DataFrame, cells: DataFrame, t_ms: int) -> DataFrame:
+    """(lat, lon, u, v) of the nodes of the freshest current file at its frame nearest to ``t_ms``, where there is a current."""
+    best = files.join(F.broadcast(freshest(files)), "path")  # one row
+    frame = nearest_frame(best.select(F.col("path").alias("id"), "path", F.lit(t_ms).cast("long").alias("t_ms")), frames(best)).drop("id")
+    nodes = cells.join(F.broadcast(frame), ["path", "frame"]).join(F.broadcast(best.select("path", "lat_min", "lat_step", "lon_min", "lon_step")), "path")
+    nodes = nodes.filter(F.col("u") * F.col("u") + F.col("v") * F.col("v") >= NO_CURRENT)
+    at = lambda low, step, k: half_up(F.col(low) + F.col(k) * F.col(step), 4)
+    return nodes.select(at("lat_min", "lat_step", "i").alias("lat"), at("lon_min", "lon_step", "j").alias("lon"), "u", "v")

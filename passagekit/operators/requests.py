@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from passagekit.operators.search import written
+from passagekit.operators.scratch import written
 
 from passagekit.functions.numbers import finite
 from passagekit.operators.alternatives import OBJECTIVES
@@ -30,21 +30,19 @@ def validation_error() -> Column:
         missing = missing | p.isNull() | F.isnan(p)
     missing = missing | c("departure").isNull() | c("departure").try_cast("timestamp").isNull()
     outside = lambda name, low, high: c(name).isNotNull() & (~finite(c(name).cast("double")) | (c(name) < low) | (c(name) > high))
-    out = F.when(missing, "Required: start {lat,lon}, end {lat,lon}, departureTime (ISO 8601)")
-    out = out.when(outside("max_hours_per_day", 0, 24), "options.maxHoursPerDay must be between 0 and 24")
+    out = F.when(missing, "incomplete: places and departure")
+    out = out.when(outside("max_hours_per_day", 0, 24), "out of range: max_hours_per_day")
     for name, most in BOUNDS.items():
-        out = out.when(outside(name, 0, most), f"options.{name} must be between 0 and {most}")
-    out = out.when(c("objective").isNotNull() & ~c("objective").isin(*OBJECTIVES), f"options.objective must be one of {', '.join(OBJECTIVES)}")
-    out = out.when(outside("alternative_count", 1, 10) | (c("alternative_count") % 1 != 0), "options.alternativeCount must be an integer between 1 and 10")
-    return out.when((c("objective") == "allMotoring") & ~F.coalesce(c("motor_kn") > 0, F.lit(False)), "options.motorSpeedKn must be greater than 0 for allMotoring")
+        out = out.when(outside(name, 0, most), f"out of range: {name}")
+    out = out.when(c("objective").isNotNull() & ~c("objective").isin(*OBJECTIVES), "unknown: objective")
+    out = out.when(outside("alternative_count", 1, 10) | (c("alternative_count") % 1 != 0), "out of range: alternative_count")
+    return out.when((c("objective") == "allMotoring") & ~F.coalesce(c("motor_kn") > 0, F.lit(False)), "needed by the objective: motor_kn")
 
 
 def readiness(has_polar: Column, has_forecast: Column, has_shoreline: Column) -> tuple[Column, Column]:
-    """Whether a passage can be planned, and what is missing."""
-    lacks = F.concat_ws(
-        ", ", F.when(~has_polar, "an active Polar Performance polar"), F.when(~has_forecast, "forecast coverage"), F.when(~has_shoreline, "the shoreline index")
-    )
-    return lacks == "", F.when(lacks != "", F.concat(F.lit("Wayfinder needs "), lacks, F.lit(" before it can plan a passage.")))
+    """Whether a passage can be planned, and which parts are missing."""
+    lacks = F.concat_ws(", ", F.when(~has_polar, "polar"), F.when(~has_forecast, "forecast"), F.when(~has_shoreline, "shoreline"))
+    return lacks == "", F.when(lacks != "", F.concat(F.lit("missing: "), lacks))
 
 
 def safe_file_name(name: Column) -> Column:
@@ -66,20 +64,25 @@ def dominant_reason(safety: Column, coverage: Column, land: Column, wind: Column
 
 
 def download_plan(areas: DataFrame) -> DataFrame:
-    """(area_id, cycle_ms, hour, key) of forecast slices of areas (area_id, lat_min, lat_max, lon_min, lon_max, departure_ms, hours, now_ms).
+    """(area_id, cycle_ms, hour, key, rejected) of forecast slices of areas (area_id, lat_min, lat_max, lon_min, lon_max, departure_ms, now_ms).
 
     The cycle is the last six-hourly one at least eight hours old; slices go
-    every three hours from the one at or before the departure.
+    every three hours from the one at or before the departure to the last hour
+    of the model, however short the passage.  An area whose departure is more
+    than three hours before the cycle, or beyond the last hour, is one row
+    without an hour that says so.
     """
     cycle = F.floor((F.col("now_ms") - CYCLE_DELAY_MS) / CYCLE_MS) * CYCLE_MS
     rows = areas.withColumn("cycle_ms", cycle.cast("long"))
     lead = F.greatest(F.lit(0.0), (F.col("departure_ms") - F.col("cycle_ms")) / 3_600_000.0)
     low = (F.floor(lead / SLICE_HOURS) * SLICE_HOURS).cast("int")
-    high = F.least(F.lit(LAST_HOUR), (F.ceil((lead + F.col("hours")) / SLICE_HOURS) * SLICE_HOURS).cast("int"))
+    early = F.col("departure_ms") < F.col("cycle_ms") - SLICE_HOURS * 3_600_000
+    rows = rows.withColumn("rejected", F.when(early, "before the cycle").when(lead > LAST_HOUR, "beyond the horizon"))
     box = F.concat_ws("_", *[(f(F.col(c) + pad)).cast("int").cast("string") for f, c, pad in ((F.floor, "lat_min", -1), (F.ceil, "lat_max", 1), (F.floor, "lon_min", -1), (F.ceil, "lon_max", 1))])
-    rows = rows.withColumn("hour", F.explode(F.sequence(low, F.greatest(low, high), F.lit(SLICE_HOURS))))
+    rows = rows.withColumn("hour", F.explode_outer(F.when(F.col("rejected").isNull(), F.sequence(low, F.lit(LAST_HOUR), F.lit(SLICE_HOURS)))))
     stamp = F.date_format(F.timestamp_millis("cycle_ms"), "yyyyMMddHH")
-    return rows.select("area_id", "cycle_ms", "hour", F.concat_ws("-", stamp, box, F.lpad(F.col("hour").cast("string"), 3, "0")).alias("key"))
+    key = F.when(F.col("rejected").isNull(), F.concat_ws("-", stamp, box, F.lpad(F.col("hour").cast("string"), 3, "0")))
+    return rows.select("area_id", "cycle_ms", "hour", key.alias("key"), "rejected")
 
 
 def stale_ids(wanted: DataFrame, valid: DataFrame) -> DataFrame:
@@ -99,6 +102,44 @@ def usable(files: DataFrame, departure_ms: int, enabled: list[str] | None = None
     return rows if enabled is None else rows.filter(F.col("path").isin(enabled) | F.col("path").startswith("auto-"))
 
 
+#: Where a vessel's draft is kept, in order, besides a configured place.
+DRAFT_PATHS = ("design.draft.current", "design.draft.maximum", "design.draft.minimum")
+
+
+def vessel_draft(values: DataFrame, configured: DataFrame, standard: bool = True) -> DataFrame:
+    """(vessel_id, path, draft_m): of each vessel the first positive finite number among its own place and the standard ones.
+
+    Values: (vessel_id, path, value); configured: (vessel_id, path), null or
+    empty for none.  A place that is named twice counts once, where it is
+    first; vessels without a number have no row.
+    """
+    listed = F.concat(F.array("path"), F.array(*map(F.lit, DRAFT_PATHS)) if standard else F.array().cast("array<string>"))
+    paths = F.array_distinct(F.filter(listed, lambda p: p.isNotNull() & (p != "")))
+    asked = configured.select("vessel_id", F.posexplode(paths).alias("place", "path"))
+    good = values.filter(finite(F.col("value").cast("double")) & (F.col("value") > 0))
+    best = asked.join(good, ["vessel_id", "path"]).groupBy("vessel_id").agg(F.min_by(F.struct("path", "value"), "place").alias("b"))
+    return best.select("vessel_id", "b.path", F.col("b.value").cast("double").alias("draft_m"))
+
+
+def departure_error(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, error) of requests (request_id, departure_ms): whether the forecast reaches the departure and begins before it."""
+    span = files.agg(F.min("start_ms").alias("_first"), F.max("end_ms").alias("_last"))
+    error = F.when(F.col("_last").isNull() | (F.col("departure_ms") > F.col("_last")), "forecast ends before").when(F.col("departure_ms") < F.col("_first"), "forecast starts after")
+    return requests.join(F.broadcast(span)).select("request_id", error.alias("error"))  # span is one row
+
+
+def progress(fractions: DataFrame) -> DataFrame:
+    """(request_id, percent) of parts (request_id, fraction): their mean, each held between 0 and 1; none: all done."""
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction")))
+    return fractions.groupBy("request_id").agg((F.coalesce(F.avg(held), F.lit(1.0)) * 100).alias("percent"))
+
+
+def step_summary(steps: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, least, most, total) of numbers kept for every step of a search."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields])
+    return steps.select(F.inline(pairs)).groupBy("field").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.sum("x").alias("total"))
+
+
 def nearest_rank(samples: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Per group the mean, extremes and nearest-rank percentiles.
 

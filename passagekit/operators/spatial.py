@@ -152,6 +152,34 @@ def within_offshore(segments: DataFrame, edges: DataFrame, maximum_nm: float) ->
     return samples.join(near, "sample", "left").groupBy("id").agg(F.bool_and(good).alias("within"))
 
 
+def segments_on_land(segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of segments that cross an edge, or begin or end on land."""
+    ends = F.array(*[F.struct(F.struct("id", F.lit(n).alias("end")).alias("at"), F.col(f"lat{n}").alias("lat"), F.col(f"lon{n}").alias("lon")) for n in (1, 2)])
+    spots = segments.select(F.inline(ends)).select(F.col("at").alias("id"), "lat", "lon")
+    inside = points_on_land(spots, edges).select(F.col("id.id").alias("id"))
+    return crossing_segments(segments, edges).unionByName(inside).distinct()
+
+
+def with_boundary(edges: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float, poly_id: int = -1) -> DataFrame:
+    """``edges`` and the four sides of the box they are known in, as a polygon of its own."""
+    corners = [(lat_min, lon_min), (lat_min, lon_max), (lat_max, lon_max), (lat_max, lon_min)]
+    sides = [(poly_id, 0, k, *a, *b) for k, (a, b) in enumerate(zip(corners, corners[1:] + corners[:1]))]
+    box = edges.sparkSession.createDataFrame(sides, "poly_id long, ring_id int, idx int, lat1 double, lon1 double, lat2 double, lon2 double")
+    return edges.select("poly_id", "ring_id", "idx", "lat1", "lon1", "lat2", "lon2").unionByName(box)
+
+
+#: Degrees that a route's box is wider than the route, and the box of the map.
+PADDING_DEG, MAP_BOX = 0.5, (-85.0, 85.0, -180.0, 180.0)
+
+
+def route_boxes(points: DataFrame) -> DataFrame:
+    """(route_id, lat_min, lat_max, lon_min, lon_max) of points (route_id, lat, lon), padded and inside the map."""
+    low = lambda c, end: F.greatest(F.lit(end), F.min(c) - PADDING_DEG)
+    high = lambda c, end: F.least(F.lit(end), F.max(c) + PADDING_DEG)
+    a, b, c, d = MAP_BOX
+    return points.groupBy("route_id").agg(low("lat", a).alias("lat_min"), high("lat", b).alias("lat_max"), low("lon", c).alias("lon_min"), high("lon", d).alias("lon_max"))
+
+
 def polygons_in_box(edges: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> DataFrame:
     """(poly_id) of polygons whose box has a one-degree cell in common with the box, and overlaps it."""
     box = edges.groupBy("poly_id").agg(

@@ -123,7 +123,8 @@ PIECES = f"""(SELECT id, (lon1 + (lon2 - lon1) * ((k - 1) / n) - 10.0) / 0.1 AS
 PIXELS = f"""(SELECT id, x, y FROM (SELECT *, unnest(range(CAST(floor(least(y0, y1)) AS BIGINT), CAST(floor(greatest(y0, y1)) AS BIGINT) + 1)) AS y FROM
  (SELECT *, unnest(range(CAST(floor(least(x0, x1)) AS BIGINT), CAST(floor(greatest(x0, x1)) AS BIGINT) + 1)) AS x FROM {PIECES} p) p1) p2
  WHERE greatest(0, least((x - x0) / (x1 - x0), (x + 1 - x0) / (x1 - x0)), least((y - y0) / (y1 - y0), (y + 1 - y0) / (y1 - y0)))
-     < least(1, greatest((x - x0) / (x1 - x0), (x + 1 - x0) / (x1 - x0)), greatest((y - y0) / (y1 - y0), (y + 1 - y0) / (y1 - y0))) GROUP BY ALL)"""
+     < least(1, greatest((x - x0) / (x1 - x0), (x + 1 - x0) / (x1 - x0)), greatest((y - y0) / (y1 - y0), (y + 1 - y0) / (y1 - y0)))
+ UNION SELECT id, CAST(floor(x0) AS BIGINT), CAST(floor(y0) AS BIGINT) FROM {PIECES} p3 UNION SELECT id, CAST(floor(x1) AS BIGINT), CAST(floor(y1) AS BIGINT) FROM {PIECES} p4)"""
 LEAST_DEPTH = f"(SELECT id, CASE WHEN count(*) = count({M}) THEN min({M}) END AS depth_m FROM {PIXELS} q LEFT JOIN {DEPTH} d ON q.x = d.x AND q.y = d.y GROUP BY id)"
 
 CHUNKS = f"""(SELECT route_id, seq, day, (least(t_ms, dep + (day + 1) * 86400000) - greatest(p_t, dep + day * 86400000)) / 3600000.0 AS hours FROM
@@ -189,7 +190,8 @@ DEST_LON = f"{half_turn('lon + degrees(atan2(sin(radians(h)) * sin(d) * cos(radi
 
 ALT = duck("alternative")
 DISTINCT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, geometry ORDER BY attempt) AS n FROM {ALT} a) b WHERE n = 1)"
-TIME = "duration_hours + maneuvers * 0.05 + low_headway * 0.25"
+PENALTY = "(maneuvers * 0.05e0 + low_headway * 0.25e0)"
+TIME = f"duration_hours + {PENALTY}"
 
 
 def ranked(keys: str) -> str:
@@ -199,7 +201,7 @@ def ranked(keys: str) -> str:
 
 ENDS = f"(SELECT route_id, min_by(lat, seq) AS start_lat, min_by(lon, seq) AS start_lon, max_by(lat, seq) AS end_lat, max_by(lon, seq) AS end_lon FROM {FIX} f GROUP BY route_id)"
 NODE = f"""(SELECT f.route_id AS request_id, event_id AS parent_id, lat, lon, heading, tws, wind_from, start_lat, start_lon, end_lat, end_lon, h_idx AS heading_idx, h_idx * 10.0 AS h
- FROM {FIX} f JOIN {ENDS} e ON f.route_id = e.route_id CROSS JOIN (SELECT unnest(range(0, 36)) AS h_idx) hh WHERE seq BETWEEN 1 AND 12)"""
+ FROM {FIX} f JOIN {ENDS} e ON f.route_id = e.route_id CROSS JOIN (SELECT unnest(range(0, 36)) AS h_idx) hh)"""
 CANDIDATE = f"""(SELECT *, {DEST_LAT} AS lat_, {DEST_LON} AS lon_ FROM (SELECT *, speed / {R} AS d FROM
  (SELECT *, {polar('twa', 'tws')} AS speed FROM (SELECT *, {fold('h', 'wind_from')} AS twa FROM {NODE} n
   WHERE {fold('h', brg('lat', 'lon', 'end_lat', 'end_lon'))} <= 100 AND {fold('h', 'heading')} <= 120) n1) n2 WHERE speed >= 0.3) n3)"""
@@ -211,12 +213,31 @@ def combination(fits: str, why: str) -> str:
     known = f"(SELECT *, row_number() OVER (PARTITION BY {fits} ORDER BY reference_ms DESC, {STEP}, lat_step, mtime DESC, path) AS rank, {fits} AS fits FROM {FILE} a)"
     return f"""WITH k AS {known}, held AS (SELECT b.path, min_by(a.path, a.rank) AS by_ FROM k a JOIN k b ON a.fits AND b.fits AND a.rank < b.rank AND a.start_ms <= b.start_ms
  AND a.end_ms >= b.end_ms AND a.lat_min <= b.lat_min AND a.lat_max >= b.lat_max AND a.lon_min <= b.lon_min AND a.lon_max >= b.lon_max GROUP BY b.path)
-SELECT k.path, fits AND by_ IS NULL AS recommended, CASE WHEN NOT fits THEN {why} WHEN by_ IS NOT NULL THEN 'redundant: fully covered by ' || by_ ELSE '' END AS reason
+SELECT k.path, fits AND by_ IS NULL AS recommended, CASE WHEN NOT fits THEN {why} WHEN by_ IS NOT NULL THEN 'covered by ' || by_ ELSE '' END AS reason
 FROM k LEFT JOIN held ON k.path = held.path"""
 
 
+def allowed(minimum: float, narrow: float, established: str) -> str:
+    """(id, allowed) of legs that keep ``minimum`` from the shore; ``established``: (event_id, est) of the state before each leg."""
+    begin = "free" if narrow <= 0 else "whole"
+    return f"""(WITH a AS (SELECT s.*, est, {hav('lat1', 'lon1', 'start_lat', 'start_lon')} AS s1, {hav('lat2', 'lon2', 'start_lat', 'start_lon')} AS s2,
+ {hav('lat1', 'lon1', 'end_lat', 'end_lon')} AS e1, {hav('lat2', 'lon2', 'end_lat', 'end_lon')} AS e2 FROM {SEGMENT} s JOIN {FIX} f ON s.id = f.event_id JOIN {ENDS} e ON f.route_id = e.route_id JOIN {established} t ON s.id = t.event_id),
+ b AS (SELECT *, CASE WHEN est IS NULL THEN CASE WHEN (s1 <= {minimum} AND s2 <= {minimum}) OR (e1 <= {minimum} AND e2 <= {minimum}) THEN 'free' WHEN s1 <= {minimum} THEN 'second' WHEN e2 <= {minimum} THEN 'first' ELSE 'whole' END
+  WHEN NOT est THEN CASE WHEN {narrow} > 0 AND s1 <= {narrow} THEN 'second' ELSE '{begin}' END ELSE CASE WHEN e1 <= {minimum} AND e2 <= {minimum} THEN 'free' WHEN e2 <= {minimum} THEN 'first' ELSE 'whole' END END AS what FROM a),
+ p AS (SELECT id, CASE WHEN what = 'second' THEN lat2 ELSE lat1 END AS lat1, CASE WHEN what = 'second' THEN lon2 ELSE lon1 END AS lon1, CASE WHEN what = 'first' THEN lat1 ELSE lat2 END AS lat2,
+  CASE WHEN what = 'first' THEN lon1 ELSE lon2 END AS lon2 FROM b)
+ SELECT b.id, what = 'free' OR shore_nm IS NULL OR shore_nm >= CASE WHEN est = FALSE THEN {narrow} ELSE {minimum} END AS allowed FROM b LEFT JOIN {shore('p', minimum)} d ON b.id = d.id)"""
+
+
+ALLOWED = allowed(3.0, 0.05, f"(SELECT event_id, cleared AS est FROM {FIX} f)")
+OFFSHORE = f"""(WITH s AS (SELECT *, id * 1000 + k AS sid FROM {samples(60.0)} s), p AS (SELECT sid AS id, lat AS lat1, lon AS lon1, lat AS lat2, lon AS lon2 FROM s)
+SELECT s.id, bool_and(coalesce(limit_nm > 0 AND shore_nm <= limit_nm, FALSE)) AS within FROM s LEFT JOIN {shore('p', 60.0)} d ON s.sid = d.id GROUP BY s.id)"""
 ISSUES = f"""
-WITH pt AS (SELECT *, {STORED_TWA} AS twa FROM {LEG} g), pr AS (SELECT *, {fold('heading', 'p_from')} AS twa0 FROM pt WHERE p_lat IS NOT NULL),
+WITH shore_ AS (SELECT route_id, seq, event_id, coalesce(cleared, CASE WHEN shore_nm IS NULL OR shore_nm >= 1 THEN TRUE END) AS flag FROM {FIX} f
+ LEFT JOIN {shore(f"(SELECT event_id AS id, lat AS lat1, lon AS lon1, lat AS lat2, lon AS lon2 FROM {FIX} f)", 1.0)} d ON f.event_id = d.id),
+state_ AS (SELECT *, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY seq), FALSE) AS reached FROM shore_),
+before_ AS (SELECT event_id, lag(reached) OVER (PARTITION BY route_id ORDER BY seq) AS est FROM state_),
+pt AS (SELECT *, {STORED_TWA} AS twa FROM {LEG} g), pr AS (SELECT *, {fold('heading', 'p_from')} AS twa0 FROM pt WHERE p_lat IS NOT NULL),
 sp AS (SELECT *, {polar('twa0', 'p_tws')} AS predicted FROM pr WHERE speed > 0 AND coalesce(propulsion, '') <> 'motor'),
 hit AS (
  SELECT route_id, seq, 'twa-mismatch' AS code, 'error' AS severity FROM pr WHERE abs({TWA} - twa) > 1
@@ -233,22 +254,13 @@ hit AS (
  UNION ALL SELECT route_id, seq, 'avoid-region-crossing', 'error' FROM pt WHERE event_id IN (SELECT id FROM {REGION_SEGMENT} o)
  UNION ALL SELECT route_id, seq, 'night-sailing', 'error' FROM {LIGHT} l WHERE NOT in_daylight
  UNION ALL SELECT route_id, first_excess, 'daily-hours-exceeded', 'error' FROM {BUDGET} b WHERE first_excess IS NOT NULL
- UNION ALL SELECT route_id, seq, 'depth-coverage-missing', 'error' FROM pr JOIN {LEAST_DEPTH} d ON pr.event_id = d.id WHERE depth_m IS NULL
- UNION ALL SELECT route_id, seq, 'minimum-depth-violated', 'error' FROM pr JOIN {LEAST_DEPTH} d ON pr.event_id = d.id WHERE depth_m < 5
+ UNION ALL SELECT route_id, seq, CASE WHEN NOT allowed THEN 'shore-clearance-violated' WHEN NOT within THEN 'offshore-limit-violated' WHEN depth_m IS NULL THEN 'depth-coverage-missing' ELSE 'minimum-depth-violated' END, 'error'
+   FROM pr JOIN {allowed(1.0, 0.0, '(SELECT * FROM before_)')} a ON pr.event_id = a.id JOIN {OFFSHORE} o ON pr.event_id = o.id LEFT JOIN {LEAST_DEPTH} d ON pr.event_id = d.id
+   WHERE NOT allowed OR NOT within OR depth_m IS NULL OR depth_m < 5
  UNION ALL SELECT route_id, seq, 'low-forecast-confidence', 'warning' FROM {LEAD} l WHERE lead_hours > 96
- UNION ALL SELECT route_id, max(seq), 'shore-clearance-not-established', 'warning' FROM pt GROUP BY route_id
-   HAVING NOT coalesce(max_by(cleared, seq) FILTER (WHERE cleared IS NOT NULL), FALSE))
-SELECT route_id, code, severity, min(seq) AS seq FROM hit GROUP BY route_id, code, severity"""
-
-ALLOW = f"""(SELECT s.*, cleared AS est, e.start_lat, e.start_lon, e.end_lat, e.end_lon, {hav('lat1', 'lon1', 'start_lat', 'start_lon')} AS s1, {hav('lat2', 'lon2', 'start_lat', 'start_lon')} AS s2,
- {hav('lat1', 'lon1', 'end_lat', 'end_lon')} AS e1, {hav('lat2', 'lon2', 'end_lat', 'end_lon')} AS e2 FROM {SEGMENT} s JOIN {FIX} f ON s.id = f.event_id JOIN {ENDS} e ON f.route_id = e.route_id)"""
-ALLOWED = f"""(WITH a AS {ALLOW}, b AS (SELECT *, CASE WHEN est IS NULL THEN CASE WHEN (s1 <= 3 AND s2 <= 3) OR (e1 <= 3 AND e2 <= 3) THEN 'free' WHEN s1 <= 3 THEN 'second' WHEN e2 <= 3 THEN 'first' ELSE 'whole' END
-  WHEN NOT est THEN CASE WHEN s1 <= 0.05 THEN 'second' ELSE 'whole' END ELSE CASE WHEN e1 <= 3 AND e2 <= 3 THEN 'free' WHEN e2 <= 3 THEN 'first' ELSE 'whole' END END AS what FROM a),
- p AS (SELECT id, CASE WHEN what = 'second' THEN lat2 ELSE lat1 END AS lat1, CASE WHEN what = 'second' THEN lon2 ELSE lon1 END AS lon1, CASE WHEN what = 'first' THEN lat1 ELSE lat2 END AS lat2,
-  CASE WHEN what = 'first' THEN lon1 ELSE lon2 END AS lon2 FROM b)
- SELECT b.id, what = 'free' OR shore_nm IS NULL OR shore_nm >= CASE WHEN est = FALSE THEN 0.05 ELSE 3 END AS allowed FROM b LEFT JOIN {shore('p', 3.0)} d ON b.id = d.id)"""
-OFFSHORE = f"""(WITH s AS (SELECT *, id * 1000 + k AS sid FROM {samples(60.0)} s), p AS (SELECT sid AS id, lat AS lat1, lon AS lon1, lat AS lat2, lon AS lon2 FROM s)
-SELECT s.id, bool_and(coalesce(limit_nm > 0 AND shore_nm <= limit_nm, FALSE)) AS within FROM s LEFT JOIN {shore('p', 60.0)} d ON s.sid = d.id GROUP BY s.id)"""
+ UNION ALL SELECT route_id, max(seq), 'shore-clearance-not-established', 'warning' FROM state_ GROUP BY route_id HAVING NOT max_by(reached, seq))
+SELECT route_id, code, severity, min(seq) AS seq, replace(code, '-', ' ') || ': point ' || min(seq) AS message FROM hit GROUP BY route_id, code, severity"""
+
 TIMED = f"""(SELECT route_id, seq, lat, lon, run_nm, {BASE_MS} + run_nm / 6.0 * 3600000.0 AS t FROM (SELECT *, sum(nm) OVER (PARTITION BY route_id ORDER BY seq) AS run_nm FROM
  (SELECT *, coalesce(leg_nm, 0) AS nm FROM {LEG} g) a) b)"""
 STATE = f"(SELECT route_id, seq, coalesce(last_value(cleared IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY seq), FALSE) AS cleared FROM {FIX} f)"
@@ -259,6 +271,13 @@ p AS (SELECT y0 + i * dy AS lat, x0 + j * dx AS lon, {NOW} AS t_ms FROM (SELECT
 f AS (SELECT p.lat || ',' || p.lon AS id, p.lat, p.lon, t_ms, min_by(path, rank) AS path FROM p JOIN (SELECT * FROM {RANKED} r WHERE type = 'wind') w
  ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max AND t_ms BETWEEN start_ms AND end_ms GROUP BY ALL),
 n AS (SELECT id, f.path, lat, lon, min_by(frame, (abs(valid_ms - t_ms), valid_ms)) AS frame FROM f JOIN {VALID} v ON f.path = v.path GROUP BY ALL)"""
+#: The newest current file and its frame nearest to a time.
+FRESH = f"(SELECT * FROM {FILE} f WHERE type = 'current' ORDER BY mtime DESC, path DESC LIMIT 1)"
+FLOW = f"""(SELECT path, frame, i, j, (k % 41 - 20) / 2.0 AS u, (k * 3 % 37 - 18) / 2.0 AS v FROM (SELECT *, seq * 7 + frame * 5 + i * 3 + j * 11 AS k FROM
+ (SELECT *, unnest(range(0, CAST(round((lon_max - lon_min) / lon_step) AS BIGINT) + 1)) AS j FROM
+  (SELECT *, unnest(range(0, CAST(round((lat_max - lat_min) / lat_step) AS BIGINT) + 1)) AS i FROM (SELECT *, unnest(range(0, n_times)) AS frame FROM {FRESH} q) q1) q2) q3) q4)"""
+IN_FLOW = f"""(SELECT id, path, lat, lon, min_by(frame, (abs(start_ms + frame * step_ms - t_ms), frame)) AS frame FROM
+ (SELECT event_id AS id, w.path, f.lat, f.lon, f.t_ms, start_ms, step_ms, unnest(range(0, n_times)) AS frame FROM {FIX} f JOIN {FRESH} w ON f.lat BETWEEN lat_min AND lat_max AND f.lon BETWEEN lon_min AND lon_max) x GROUP BY ALL)"""
 
 SQL = {
     "leg_kinematics": f"SELECT route_id, seq, {r6('leg_nm')} AS leg_nm, {r6(brg('p_lat', 'p_lon', 'lat', 'lon'))} AS course, {r6(TWA)} AS twa, {r6(fold('wind_from', 'p_from'))} AS wind_shift FROM {LEG} g WHERE p_lat IS NOT NULL",
@@ -297,8 +316,8 @@ f AS (SELECT p.lat || ',' || p.lon AS id, p.lat, p.lon, t_ms, min_by(path, rank)
 n AS (SELECT id, f.path, lat, lon, min_by(frame, (abs(valid_ms - t_ms), valid_ms)) AS frame FROM f JOIN {VALID} v ON f.path = v.path GROUP BY ALL)
 SELECT floor(lat * 10000 + 0.5) / 10000 AS lat, floor(lon * 10000 + 0.5) / 10000 AS lon, floor(sum(weight * u) * 100 + 0.5) / 100 AS u, floor(sum(weight * v) * 100 + 0.5) / 100 AS v
 FROM {corners('n')} k JOIN {CELL} c ON k.path = c.path AND k.frame = c.frame AND k.i = c.i AND k.j = c.j JOIN f ON f.id = k.id GROUP BY k.id, lat, lon""",
-    "combination_now": combination(f"(end_ms >= {NOW})", f"'past: forecast period ended ' || CAST(CAST(floor(({NOW} - end_ms) / 3600000 + 0.5) AS BIGINT) AS VARCHAR) || 'h ago'"),
-    "combination_departure": combination(f"({DEPARTURE} BETWEEN start_ms AND end_ms)", "'does not cover the set departure time'"),
+    "combination_now": combination(f"(end_ms >= {NOW})", f"'ended hours ago: ' || CAST(CAST(floor(({NOW} - end_ms) / 3600000 + 0.5) AS BIGINT) AS VARCHAR)"),
+    "combination_departure": combination(f"({DEPARTURE} BETWEEN start_ms AND end_ms)", "'departure outside its period'"),
     "expired_files": f"SELECT path, end_ms FROM {FILE} f WHERE end_ms < {NOW}",
     "freshest_current": f"SELECT path, mtime FROM {FILE} f WHERE type = 'current' ORDER BY mtime DESC, path DESC LIMIT 1",
     "edge_cells": f"""SELECT (r + 900) * 3600 + (c % 3600 + 3600) % 3600 AS cell, count(*) AS edges, count(DISTINCT poly_id) AS polygons FROM
@@ -346,7 +365,7 @@ FROM ({ISSUES}) i GROUP BY route_id) n ON f.route_id = n.route_id""",
     "rank_least_motoring": ranked(f"motor_hours, {TIME}, distance_nm"),
     "rank_best_weather": ranked(
         "(wave_avg IS NULL), (CASE WHEN wave_avg IS NULL THEN 0 ELSE wave_avg * 100 + coalesce(wave_p95, wave_avg) * 30 END + wind_avg * 2 + wind_p95), "
-        "maneuvers * 0.05 + low_headway * 0.25, duration_hours, distance_nm"
+        f"{PENALTY}, duration_hours, distance_nm"
     ),
     "route_separation": f"""WITH f AS (SELECT route_id, seq, lat, lon FROM {FIX} f), n AS (SELECT route_id, count(*) AS n FROM f GROUP BY route_id),
 p AS (SELECT x.route_id AS a, y.route_id AS b, x.n AS na, y.n AS nb, least(12, greatest(2, least(x.n, y.n))) AS s FROM n x JOIN n y ON y.route_id = x.route_id + 1),
@@ -362,21 +381,22 @@ JOIN f fa ON fa.route_id = k.a AND fa.seq = floor(k.k / (s - 1) * (na - 1) + 0.5
     "shore_allowance": f"SELECT id AS event_id, allowed FROM {ALLOWED} a",
     "constraint_violations": f"""SELECT CASE WHEN NOT allowed THEN 'too-close-to-shore' WHEN NOT within THEN 'too-far-offshore' WHEN depth_m IS NULL THEN 'depth-unavailable' WHEN depth_m < 5 THEN 'too-shallow'
  ELSE 'none' END AS violation, count(*) AS legs FROM {ALLOWED} a JOIN {OFFSHORE} o ON a.id = o.id LEFT JOIN {LEAST_DEPTH} d ON a.id = d.id GROUP BY ALL""",
-    "request_validation": f"""SELECT CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 'Required: start {{lat,lon}}, end {{lat,lon}}, departureTime (ISO 8601)'
- WHEN o_orderkey % 29 > 24 THEN 'options.maxHoursPerDay must be between 0 and 24' {' '.join(f"WHEN o_orderkey % {n} = 1 AND NOT ({str(name == 'motor_kn').upper()} AND o_orderkey % 14 = 0) THEN 'options.{name} must be between 0 and {most}'" for name, most, n in LIMITS)}
- WHEN o_orderkey % 19 = 0 THEN 'options.objective must be one of fastest, leastMotoring, allMotoring, bestWeather' WHEN o_orderkey % 11 = 0 THEN 'options.alternativeCount must be an integer between 1 and 10'
- WHEN o_orderkey % 14 = 0 THEN 'options.motorSpeedKn must be greater than 0 for allMotoring' ELSE 'ok' END AS answer, count(*) AS n FROM orders GROUP BY ALL""",
-    "capability_readiness": """SELECT c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS ready, CASE WHEN NOT (c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0) THEN 'Wayfinder needs '
- || array_to_string(list_filter([CASE WHEN c_custkey % 2 <> 0 THEN 'an active Polar Performance polar' END, CASE WHEN c_custkey % 3 = 0 THEN 'forecast coverage' END,
- CASE WHEN c_custkey % 5 = 0 THEN 'the shoreline index' END], lambda x: x IS NOT NULL), ', ') || ' before it can plan a passage.' END AS reason, count(*) AS n FROM customer GROUP BY ALL""",
+    "request_validation": f"""SELECT CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 'incomplete: places and departure'
+ WHEN o_orderkey % 29 > 24 THEN 'out of range: max_hours_per_day' {' '.join(f"WHEN o_orderkey % {n} = 1 AND NOT ({str(name == 'motor_kn').upper()} AND o_orderkey % 14 = 0) THEN 'out of range: {name}'" for name, most, n in LIMITS)}
+ WHEN o_orderkey % 19 = 0 THEN 'unknown: objective' WHEN o_orderkey % 11 = 0 THEN 'out of range: alternative_count'
+ WHEN o_orderkey % 14 = 0 THEN 'needed by the objective: motor_kn' ELSE 'ok' END AS answer, count(*) AS n FROM orders GROUP BY ALL""",
+    "capability_readiness": """SELECT c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS ready, CASE WHEN NOT (c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0) THEN 'missing: '
+ || array_to_string(list_filter([CASE WHEN c_custkey % 2 <> 0 THEN 'polar' END, CASE WHEN c_custkey % 3 = 0 THEN 'forecast' END,
+ CASE WHEN c_custkey % 5 = 0 THEN 'shoreline' END], lambda x: x IS NOT NULL), ', ') END AS reason, count(*) AS n FROM customer GROUP BY ALL""",
     "file_names": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '.grib2' WHEN 1 THEN p_name || '.GRB' ELSE NULL END AS name FROM part",
     "stop_reasons": """SELECT CASE WHEN greatest(a, b, c, d) = 0 THEN NULL WHEN a >= b AND a >= c AND a >= d THEN 'safety' WHEN b >= c AND b >= d THEN 'grib_exhausted' WHEN c >= d THEN 'land' ELSE 'wind' END AS reason,
  CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN 'late; shallow' WHEN k % 2 = 0 THEN 'late' WHEN k % 3 <> 0 THEN 'shallow' END AS warning, count(*) AS n FROM
  (SELECT o_orderkey AS k, o_orderkey % 4 AS a, o_orderkey * 3 % 5 AS b, o_orderkey * 7 % 6 AS c, o_orderkey * 5 % 7 AS d FROM orders) x GROUP BY ALL""",
-    "download_plan": f"""SELECT path AS area_id, cycle_ms, CAST(hour_ AS INT) AS hour, strftime(make_timestamp(cycle_ms * 1000), '%Y%m%d%H') || '-' || CAST(CAST(floor(lat_min - 1) AS INT) AS VARCHAR) || '_' || CAST(CAST(ceil(lat_max + 1) AS INT) AS VARCHAR)
- || '_' || CAST(CAST(floor(lon_min - 1) AS INT) AS VARCHAR) || '_' || CAST(CAST(ceil(lon_max + 1) AS INT) AS VARCHAR) || '-' || lpad(CAST(hour_ AS VARCHAR), 3, '0') AS key FROM
- (SELECT *, unnest(range(CAST(floor(lead_ / 3) * 3 AS BIGINT), CAST(least(384, ceil((lead_ + n_times * 4) / 3) * 3) AS BIGINT) + 1, 3)) AS hour_ FROM
-  (SELECT *, greatest(0, (start_ms + 360000000 - cycle_ms) / 3600000.0) AS lead_ FROM (SELECT *, (start_ms + 5000000 - 28800000) // 21600000 * 21600000 AS cycle_ms FROM {FILE} f) a) b) c""",
+    "download_plan": f"""WITH a AS (SELECT *, start_ms + (seq * 37 % 500 - 40) * 3600000 AS dep, (start_ms + 5000000 - 28800000) // 21600000 * 21600000 AS cycle_ms FROM {FILE} f),
+b AS (SELECT *, greatest(0, (dep - cycle_ms) / 3600000.0) AS lead_, CASE WHEN dep < cycle_ms - 10800000 THEN 'before the cycle' WHEN dep > cycle_ms + 384 * 3600000 THEN 'beyond the horizon' END AS rejected FROM a)
+SELECT path AS area_id, cycle_ms, CAST(hour_ AS INT) AS hour, strftime(make_timestamp(cycle_ms * 1000), '%Y%m%d%H') || '-' || CAST(CAST(floor(lat_min - 1) AS INT) AS VARCHAR) || '_' || CAST(CAST(ceil(lat_max + 1) AS INT) AS VARCHAR)
+ || '_' || CAST(CAST(floor(lon_min - 1) AS INT) AS VARCHAR) || '_' || CAST(CAST(ceil(lon_max + 1) AS INT) AS VARCHAR) || '-' || lpad(CAST(hour_ AS VARCHAR), 3, '0') AS key, rejected FROM
+ (SELECT *, unnest(range(CAST(floor(lead_ / 3) * 3 AS BIGINT), 385, 3)) AS hour_ FROM b WHERE rejected IS NULL UNION ALL SELECT *, NULL FROM b WHERE rejected IS NOT NULL) c""",
     "stale_regions": "SELECT DISTINCT o_custkey % 40 AS id FROM orders WHERE o_custkey % 40 NOT IN (SELECT n_nationkey FROM nation)",
     "reusable_files": f"SELECT path, mtime, seq % 3 <> 0 AS reuse FROM {FILE} f",
     "nearest_rank": f"""SELECT event_type, {r6('avg(value)')} AS mean, {r6('max(CASE WHEN n = greatest(1, ceil(m * 0.5)) THEN value END)')} AS p50, {r6('max(CASE WHEN n = greatest(1, ceil(m * 0.95)) THEN value END)')} AS p95,
@@ -390,7 +410,7 @@ walk AS (SELECT route_id, seq0 AS seq, 0 AS k, CAST(NULL AS DOUBLE) AS after_nm
  SELECT w.route_id, w.nxt, w.k + 1, [5.0, 10.0, 20.0, 40.0][w.k + 1] FROM (SELECT walk.route_id, walk.k, (SELECT min(r.seq) FROM r WHERE r.route_id = walk.route_id AND r.seq > walk.seq AND r.seq < r.last_
    AND r.sailed >= [5.0, 10.0, 20.0, 40.0][walk.k + 1]) AS nxt FROM walk WHERE walk.k < 4) w WHERE nxt IS NOT NULL)
 SELECT route_id, seq, after_nm FROM walk WHERE k > 0""",
-    "motor_walk": f"""WITH RECURSIVE f AS (SELECT route_id, seq, u, v, lead(leg_nm) OVER w AS nm, lead({brg('p_lat', 'p_lon', 'lat', 'lon')}) OVER w AS course FROM {LEG} g WHERE seq < 30 WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+    "motor_walk": f"""WITH RECURSIVE f AS (SELECT route_id, seq, u, v, lead(leg_nm) OVER w AS nm, lead({brg('p_lat', 'p_lon', 'lat', 'lon')}) OVER w AS course FROM {LEG} g WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
 walk AS (SELECT route_id, seq, CAST({BASE_MS} AS DOUBLE) AS t FROM f WHERE seq = 0 UNION ALL
  SELECT route_id, seq + 1, t + nm / greatest(0.3, 6 + ((u / 10 + k / 10) * sin(radians(course)) + (v / 10 - k / 20) * cos(radians(course))) * 1.94384) * 3600000 FROM
   (SELECT w.route_id, w.seq, t, nm, course, u, v, CASE WHEN t - {BASE_MS} <= 0 THEN 0 ELSE least(5, ceil((t - {BASE_MS}) / 21600000 - 0.5)) END AS k FROM walk w JOIN f ON w.route_id = f.route_id AND w.seq = f.seq WHERE nm IS NOT NULL) x)
@@ -399,4 +419,33 @@ SELECT route_id, seq, {r6(f'(t - {BASE_MS}) / 3.6e6')} AS hours FROM walk""",
 SELECT floor(n.lat * 10000 + 0.5) / 10000 AS lat, floor(n.lon * 10000 + 0.5) / 10000 AS lon,
  floor(sum(weight * swh) FILTER (WHERE swh >= 0 AND swh < 100) / nullif(sum(weight) FILTER (WHERE swh >= 0 AND swh < 100), 0) * 1000 + 0.5) / 1000 AS wave
 FROM n JOIN {corners('n')} k ON n.id = k.id LEFT JOIN {CELL} c ON k.path = c.path AND k.frame = c.frame AND k.i = c.i AND k.j = c.j GROUP BY n.id, n.lat, n.lon""",
+    "current_grid": f"""WITH w AS {FRESH}, t AS (SELECT path, min_by(frame, (abs(start_ms + frame * step_ms - {NOW}), frame)) AS frame FROM (SELECT *, unnest(range(0, n_times)) AS frame FROM w) x GROUP BY path)
+SELECT floor((lat_min + i * lat_step) * 10000 + 0.5) / 10000 AS lat, floor((lon_min + j * lon_step) * 10000 + 0.5) / 10000 AS lon, {r6('u')} AS u, {r6('v')} AS v
+FROM {FLOW} c JOIN t ON c.path = t.path AND c.frame = t.frame JOIN w ON w.path = c.path WHERE u * u + v * v >= 0.0001""",
+    "currents_at": f"""SELECT event_id, {r6('coalesce(s.u, 0)')} AS u, {r6('coalesce(s.v, 0)')} AS v FROM {FIX} f LEFT JOIN
+ (SELECT k.id, sum(weight * u) AS u, sum(weight * v) AS v FROM {corners(IN_FLOW).replace("WHERE type = 'wind'", "WHERE type = 'current'")} k JOIN {FLOW} c ON k.path = c.path AND k.frame = c.frame AND k.i = c.i AND k.j = c.j GROUP BY k.id) s ON event_id = s.id""",
+    "geometry_keys": f"""SELECT route_id, length(g) AS size, sha256(g) AS geometry_sha256 FROM (SELECT route_id, string_agg(printf('%.5f,%.5f', lat, lon), ';' ORDER BY seq) AS g FROM {FIX} f GROUP BY route_id) x""",
+    "route_hours": f"SELECT route_id, {r6('greatest(0, (max_by(t_ms, seq) - min_by(t_ms, seq)) / 3600000.0)')} AS hours FROM {FIX} f GROUP BY route_id",
+    "shared_outcomes": """WITH a AS (SELECT o_custkey AS request_id, year(o_orderdate) AS y, o_orderkey, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) - 1 AS n,
+ count(*) OVER (PARTITION BY o_custkey, year(o_orderdate)) AS m FROM orders)
+SELECT request_id, CASE WHEN m > 1 THEN n ELSE y - 1990 END AS attempt, CASE WHEN m > 1 THEN o_orderkey END AS route_id, CASE WHEN y % 2 = 0 THEN 'late' END AS warning FROM a""",
+    "search_progress": f"SELECT o_custkey AS request_id, {r6('avg(greatest(0.0, least(1.0, (o_orderkey % 23 - 3) / 16.0))) * 100')} AS percent FROM orders GROUP BY o_custkey",
+    "step_summary": " UNION ALL ".join(
+        f"SELECT '{name}' AS field, {r6(f'min({x}) * 1e0')} AS least, {r6(f'max({x}) * 1e0')} AS most, round(sum({x}) * 1e0, 2) AS total FROM events"
+        for name, x in (("frontier", "event_id % 97"), ("candidates", "event_id % 1013"), ("total_ms", "value"))
+    ),
+    "departure_error": f"""WITH s AS (SELECT min(start_ms) AS a, max(end_ms) AS b FROM {WIND} w), o AS (SELECT {BASE_MS} + (o_orderkey % 1200 - 200) * 3600000 AS dep FROM orders)
+SELECT CASE WHEN dep > b THEN 'forecast ends before' WHEN dep < a THEN 'forecast starts after' ELSE 'none' END AS answer, count(*) AS n FROM o, s GROUP BY ALL""",
+    "vessel_draft": """WITH n AS (SELECT * FROM (VALUES (0, 'design.draft.current'), (1, 'design.draft.maximum'), (2, 'design.draft.minimum'), (3, 'steering.draft')) AS x(n, path)),
+v AS (SELECT s_suppkey AS vessel_id, path, n, s_suppkey * 7 + n * 3 AS k FROM supplier, n),
+g AS (SELECT vessel_id, path, k % 30 / 10.0 AS draft, CASE WHEN vessel_id % 3 = 1 AND n = 3 OR vessel_id % 3 = 2 AND n = 1 THEN -1 WHEN n = 3 THEN 99 ELSE n END AS place FROM v WHERE k % 4 <> 0 AND k % 5 <> 0 AND k % 30 > 0)
+SELECT vessel_id, min_by(path, place) AS path, round(min_by(draft, place), 6) + 0.0 AS draft_m FROM g WHERE place < 99 GROUP BY vessel_id""",
+    "segments_on_land": f"""WITH land AS {ON_LAND}, back AS (SELECT event_id, lag(event_id) OVER (PARTITION BY route_id ORDER BY seq) AS prev FROM {FIX} f)
+SELECT DISTINCT event_id FROM (SELECT id AS event_id FROM {CROSSING} c UNION ALL SELECT b.event_id FROM back b JOIN land l ON b.event_id = l.event_id OR b.prev = l.event_id WHERE prev IS NOT NULL) x""",
+    "bounded_polygons": f"""SELECT poly_id, count(*) AS edges, {r6('sum(lat1)')} AS lat_sum, {r6('max(lon2)')} AS lon_max FROM (SELECT poly_id, lat1, lon2 FROM {EDGE} e
+ UNION ALL SELECT * FROM (VALUES (-1, 54.0, 22.0), (-1, 54.0, 22.0), (-1, 60.0, 9.0), (-1, 60.0, 9.0)) AS b(poly_id, lat1, lon2)) x GROUP BY poly_id""",
+    "route_boxes": f"""SELECT route_id, {r6('greatest(-85, min(lat) - 0.5)')} AS lat_min, {r6('least(85, max(lat) + 0.5)')} AS lat_max, {r6('greatest(-180, min(lon) - 0.5)')} AS lon_min, {r6('least(180, max(lon) + 0.5)')} AS lon_max
+FROM {FIX} f GROUP BY route_id""",
+    "region_index": f"""SELECT 'area-' || poly_id || CASE WHEN ring_id > 0 THEN '__' || ring_id ELSE '' END AS key, 'area-' || poly_id AS region, count(*) AS points, {r6('sum(lon)')} AS lon_sum, {r6('sum(lat)')} AS lat_sum
+FROM {duck('ring')} r GROUP BY ALL""",
 }

@@ -51,10 +51,10 @@ def files(of: Callable[[str], DataFrame]) -> DataFrame:
     return of("forecast_file").filter("type = 'wind'")
 
 
-def cells(of: Callable[[str], DataFrame]) -> DataFrame:
-    """(path, frame, i, j, u, v, swh) of all files: rasters by arithmetic on the file, frame and place."""
+def cells(of: Callable[[str], DataFrame], kind: str = "wind") -> DataFrame:
+    """(path, frame, i, j, u, v, swh) of all files of a kind: rasters by arithmetic on the file, frame and place."""
     axis = lambda low, high, step: F.sequence(F.lit(0), F.round((c(high) - c(low)) / c(step)).cast("int"))
-    rows = files(of).select("path", "seq", "n_times", F.explode(axis("lat_min", "lat_max", "lat_step")).alias("i"), axis("lon_min", "lon_max", "lon_step").alias("js"))
+    rows = of("forecast_file").filter(c("type") == kind).select("path", "seq", "n_times", F.explode(axis("lat_min", "lat_max", "lat_step")).alias("i"), axis("lon_min", "lon_max", "lon_step").alias("js"))
     rows = rows.select("path", "seq", "n_times", "i", F.explode("js").alias("j"))
     rows = rows.select("path", "seq", "i", "j", F.explode(F.sequence(F.lit(0), c("n_times") - 1)).alias("frame"))
     k = c("seq") * 7 + c("frame") * 5 + c("i") * 3 + c("j") * 11
@@ -323,7 +323,7 @@ def route_metrics(of):
     return rows.select(*[c(x).cast("long").alias(x) if x in whole else r6(c(x), x) for x in rows.columns])
 
 
-CONTEXT = quality.Context(POLAR, horizon_hours=96.0, daylight_only=True, max_hours_per_day=8.0, minimum_depth_m=5.0, minimum_shore_nm=1.0)
+CONTEXT = quality.Context(POLAR, horizon_hours=96.0, daylight_only=True, max_hours_per_day=8.0, minimum_depth_m=5.0, minimum_shore_nm=1.0, maximum_offshore_nm=60.0)
 
 
 def _issues(of):
@@ -377,13 +377,13 @@ def _frontier(of) -> DataFrame:
     ends = fix.groupBy("route_id").agg(
         F.min_by("lat", "seq").alias("start_lat"), F.min_by("lon", "seq").alias("start_lon"), F.max_by("lat", "seq").alias("end_lat"), F.max_by("lon", "seq").alias("end_lon")
     )
-    rows = fix.filter("seq between 1 and 12").join(ends, "route_id")
+    rows = fix.join(ends, "route_id")
     return rows.select(c("route_id").alias("request_id"), c("event_id").alias("node_id"), "lat", "lon", "u", "v", "heading", "start_lat", "start_lon", "end_lat", "end_lon")
 
 
 def _candidates(of) -> DataFrame:
     frontier = _frontier(of)
-    return isochrone.candidates(frontier, isochrone.headings(frontier.sparkSession, OPTIONS), POLAR, OPTIONS, 1.0)
+    return isochrone.candidates(frontier, isochrone.headings(OPTIONS), POLAR, OPTIONS, 1.0)
 
 
 @query
@@ -433,7 +433,7 @@ def isochrone_route(of):
 def geojson_export(of):
     from passagekit.sources.geojson import routes_geojson
 
-    return routes_geojson(points(of)).select("route_id", "distance_m", F.length("feature").alias("size"))
+    return routes_geojson(points(of)).select("route_id", "distance_m", F.sha2("feature", 256).alias("feature_sha256"))
 
 
 def _clearance_segments(of) -> DataFrame:
@@ -496,9 +496,9 @@ def stop_reasons(of):
 @query
 def download_plan(of):
     areas = of("forecast_file").select(
-        c("path").alias("area_id"), "lat_min", "lat_max", "lon_min", "lon_max", (c("start_ms") + 100 * 3_600_000).alias("departure_ms"), (c("n_times") * 4).alias("hours"), (c("start_ms") + 5_000_000).alias("now_ms")
+        c("path").alias("area_id"), "lat_min", "lat_max", "lon_min", "lon_max", (c("start_ms") + (c("seq") * 37 % 500 - 40) * 3_600_000).alias("departure_ms"), (c("start_ms") + 5_000_000).alias("now_ms")
     )
-    return requests.download_plan(areas).select("area_id", "cycle_ms", "hour", "key")
+    return requests.download_plan(areas).select("area_id", "cycle_ms", "hour", "key", "rejected")
 
 
 @query
@@ -541,7 +541,7 @@ def hand_offs(of):
 
 @query
 def motor_walk(of):
-    fix = of("fix").filter("seq < 30")
+    fix = of("fix")
     currents = fix.select("route_id", "seq", "u", "v", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     currents = currents.select("route_id", "seq", (F.lit(BASE_MS) + c("k") * 6 * 3_600_000).alias("valid_ms"), (c("u") / 10 + c("k") / 10).alias("u"), (c("v") / 10 - c("k") / 20).alias("v"))
     rows = corridor.motor_walk(fix.select("route_id", "seq", "lat", "lon", F.lit(BASE_MS).alias("t_ms")), currents, 6.0)
@@ -569,4 +569,93 @@ def wave_grid(of):
 def polygons_export(of):
     from passagekit.sources.geojson import polygons_geojson
 
-    return polygons_geojson(of("edge")).select("poly_id", F.length("feature").alias("size"))
+    return polygons_geojson(of("edge")).select("poly_id", F.sha2("feature", 256).alias("feature_sha256"))
+
+
+@query
+def current_grid(of):
+    rows = forecast.current_grid(of("forecast_file"), cells(of, "current"), NOW_MS)
+    return rows.select("lat", "lon", r6(c("u"), "u"), r6(c("v"), "v"))
+
+
+@query
+def currents_at(of):
+    rows = forecast.currents_at(spots(of), of("forecast_file"), cells(of, "current"))
+    return rows.select(c("id").alias("event_id"), r6(c("u"), "u"), r6(c("v"), "v"))
+
+
+@query
+def geometry_keys(of):
+    rows = alternatives.geometry_keys(of("fix"))
+    return rows.select("route_id", F.length("geometry").alias("size"), F.sha2("geometry", 256).alias("geometry_sha256"))
+
+
+@query
+def route_hours(of):
+    return alternatives.durations(of("fix")).select("route_id", r6(c("hours"), "hours"))
+
+
+@query
+def shared_outcomes(of):
+    """A customer's orders of a year are the routes of one attempt; those of a single order had none."""
+    rows = of("orders").groupBy(c("o_custkey").alias("request_id"), F.year("o_orderdate").alias("year")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("routes"))
+    rows = rows.select("request_id", (c("year") - 1990).alias("attempt"), F.when(F.size("routes") > 1, c("routes")).alias("routes"), F.when(c("year") % 2 == 0, "late").alias("warning"))
+    return alternatives.expanded(rows).select("request_id", "attempt", "route_id", "warning")
+
+
+@query
+def search_progress(of):
+    rows = of("orders").select(c("o_custkey").alias("request_id"), ((c("o_orderkey") % 23 - 3) / 16.0).alias("fraction"))
+    return requests.progress(rows).select("request_id", r6(c("percent"), "percent"))
+
+
+@query
+def step_summary(of):
+    rows = of("events").select((c("event_id") % 97).alias("frontier"), (c("event_id") % 1013).alias("candidates"), c("value").alias("total_ms"))
+    rows = requests.step_summary(rows, ["frontier", "candidates", "total_ms"])
+    return rows.select("field", r6(c("least"), "least"), r6(c("most"), "most"), F.round("total", 2).alias("total"))
+
+
+@query
+def departure_error(of):
+    k = c("o_orderkey")
+    rows = of("orders").select(k.alias("request_id"), (F.lit(BASE_MS) + (k % 1200 - 200) * 3_600_000).alias("departure_ms"))
+    return requests.departure_error(files(of), rows).groupBy(F.coalesce("error", F.lit("none")).alias("answer")).agg(F.count("*").alias("n"))
+
+
+@query
+def vessel_draft(of):
+    """A supplier is a vessel; it has a number at some of the places, and names one of them or another."""
+    k = c("s_suppkey")
+    names = F.array(*map(F.lit, (*requests.DRAFT_PATHS, "steering.draft")))
+    values = of("supplier").select(k.alias("vessel_id"), F.posexplode(names).alias("n", "path"))
+    values = values.select("vessel_id", "path", F.when((k_ := c("vessel_id") * 7 + c("n") * 3) % 4 == 0, None).when(k_ % 5 == 0, -1.0).otherwise(k_ % 30 / 10.0).alias("value"))
+    configured = of("supplier").select(k.alias("vessel_id"), F.when(k % 3 == 0, "").when(k % 3 == 1, "steering.draft").otherwise("design.draft.maximum").alias("path"))
+    return requests.vessel_draft(values, configured).select("vessel_id", "path", r6(c("draft_m"), "draft_m"))
+
+
+@query
+def segments_on_land(of):
+    return spatial.segments_on_land(segments(of), of("edge")).select(c("id").alias("event_id"))
+
+
+@query
+def bounded_polygons(of):
+    rows = spatial.with_boundary(of("edge"), 54.0, 60.0, 9.0, 22.0)
+    return rows.groupBy("poly_id").agg(F.count("*").alias("edges"), r6(F.sum("lat1"), "lat_sum"), r6(F.max("lon2"), "lon_max"))
+
+
+@query
+def route_boxes(of):
+    rows = spatial.route_boxes(of("fix"))
+    return rows.select("route_id", *[r6(c(x), x) for x in ("lat_min", "lat_max", "lon_min", "lon_max")])
+
+
+@query
+def region_index(of):
+    from passagekit.sources.geojson import region_index as index
+
+    rings = of("ring").select(F.concat(F.lit("area-"), c("poly_id").cast("string"), F.when(c("ring_id") > 0, F.concat(F.lit("__"), c("ring_id").cast("string"))).otherwise("")).alias("key"), "idx", c("lat").alias("lat1"), c("lon").alias("lon1"))
+    rows = index(rings).withColumn("line", F.flatten(F.from_json("rings", "array<array<array<double>>>")))
+    total = lambda k: F.aggregate("line", F.lit(0.0), lambda acc, p: acc + p[k])
+    return rows.select("key", "region", F.size("line").alias("points"), r6(total(0), "lon_sum"), r6(total(1), "lat_sum"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagekit.functions.numbers import half_up
@@ -41,6 +41,18 @@ def polygons_geojson(edges: DataFrame) -> DataFrame:
     return shapes.select("poly_id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), empty.alias("properties"))).alias("feature"))
 
 
+def region_of(key: Column) -> Column:
+    """The region that a ring's key belongs to: what stands before the number."""
+    return F.substring_index(key, "__", 1)
+
+
+def region_index(rings: DataFrame) -> DataFrame:
+    """(key, region, rings): each ring of edges (key, idx, lat1, lon1) as a list of one line of [lon, lat]."""
+    line = F.sort_array(F.collect_list(F.struct("idx", F.array("lon1", "lat1").alias("at"))))
+    rows = rings.groupBy("key").agg(line.alias("all"))
+    return rows.select("key", region_of(F.col("key")).alias("region"), F.to_json(F.array(F.transform("all", lambda x: x["at"]))).alias("rings"))
+
+
 def region_rings(features: DataFrame) -> DataFrame:
     """(region_id, ring_id, idx, lat1, lon1, lat2, lon2) from rows (region_id, feature) of Polygon and MultiPolygon features."""
     parsed = features.select("region_id", F.from_json("feature", "struct<geometry:struct<type:string,coordinates:string>>")["geometry"].alias("g"))
