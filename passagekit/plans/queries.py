@@ -550,9 +550,10 @@ def motor_walk(of):
 
 @query
 def corridor_path(of):
-    ends = of("fix").groupBy("route_id").agg(F.min_by("lat", "seq").alias("start_lat"), F.min_by("lon", "seq").alias("start_lon"))
-    rows = ends.select(c("route_id").alias("request_id"), "start_lat", "start_lon", (c("start_lat") + 0.03).alias("end_lat"), (c("start_lon") + 0.035).alias("end_lon"))
-    return corridor.corridors(rows, of("edge")).select("request_id", "seq", r6(c("lat"), "lat"), r6(c("lon"), "lon"))
+    """From each route's first point to its last, around land and regions."""
+    ends = of("fix").groupBy("route_id").agg(*[by(x, "seq").alias(f"{n}_{x}") for n, by in (("start", F.min_by), ("end", F.max_by)) for x in ("lat", "lon")])
+    rows = corridor.corridors(ends.withColumnRenamed("route_id", "request_id"), of("edge"), of("region_edge").withColumn("ring_id", F.lit(0)), minimum_shore_nm=0.2)
+    return rows.select("request_id", "seq", r6(c("lat"), "lat"), r6(c("lon"), "lon"), r6(c("cost_nm"), "cost_nm"), "cleared", "problem")
 
 
 @query

@@ -66,33 +66,38 @@ def test_grib2(spark, folder):
     assert cells[1, 0] == pytest.approx(-4.5, abs=0.06) and len(cells) == 6
 
 
-def streamed(spark, frame, tmp_path, job, mode="append"):
-    frame.write.parquet(str(tmp_path / "in"))
+def streamed(spark, frames, tmp_path, job, mode="append"):
+    """Rows of a stream that is given ``frames`` one after another, each processed before the next is there."""
+    folder = str(tmp_path / "in")
+    frames[0].limit(0).write.parquet(folder)
     name = f"live_{abs(hash(str(tmp_path)))}"
-    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(frames[0].schema).parquet(folder)
     query = job(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "check")).start()
-    query.processAllAvailable()
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        query.processAllAvailable()
     query.stop()
     return spark.table(name).collect()
 
 
 def test_live_conditions(spark, tmp_path):
     rows = [(1, T0 + i * HOUR // 2, float(i)) for i in range(10)] + [(1, T0 + 40 * HOUR, 5.0)]
-    frame = spark.createDataFrame(rows, "route_id long, t_ms long, tws double").withColumn("ts", F.timestamp_millis("t_ms")).repartitionByRange(2, "t_ms").sortWithinPartitions("t_ms")
-    got = sorted(streamed(spark, frame, tmp_path, lambda s: live.conditions(s)), key=lambda r: r.start)
+    frame = spark.createDataFrame(rows, "route_id long, t_ms long, tws double").withColumn("ts", F.timestamp_millis("t_ms"))
+    got = sorted(streamed(spark, [frame.filter(F.col("t_ms") < T0 + 20 * HOUR), frame.filter(F.col("t_ms") >= T0 + 20 * HOUR)], tmp_path, lambda s: live.conditions(s)), key=lambda r: r.start)
     assert [(r.n, r.wind_avg, r.wind_max) for r in got] == [(2, 0.5, 1), (2, 2.5, 3), (2, 4.5, 5), (2, 6.5, 7), (2, 8.5, 9)]
 
 
 def test_live_sessions(spark, tmp_path):
     rows = [(1, T0 + h * HOUR) for h in (0, 1, 2, 20, 21, 80)]
-    frame = spark.createDataFrame(rows, "route_id long, t_ms long").withColumn("ts", F.timestamp_millis("t_ms")).repartitionByRange(3, "t_ms")
-    assert sorted(r.n for r in streamed(spark, frame, tmp_path, live.passages)) == [2, 3]
+    frame = spark.createDataFrame(rows, "route_id long, t_ms long").withColumn("ts", F.timestamp_millis("t_ms"))
+    parts = [frame.filter(F.col("t_ms").between(T0 + a * HOUR, T0 + b * HOUR)) for a, b in ((0, 2), (20, 21), (80, 80))]
+    assert sorted(r.n for r in streamed(spark, parts, tmp_path, live.passages)) == [2, 3]
 
 
 def test_live_budget(spark, tmp_path):
     rows = [(7, T0, 5.0), (7, T0 + 5 * HOUR, 5.0), (7, T0 + 23 * HOUR, 0.0), (7, T0 + 26 * HOUR, 5.0)]
     frame = spark.createDataFrame(rows, "route_id long, t_ms long, speed double").coalesce(1)
-    got = streamed(spark, frame, tmp_path, lambda s: live.day_budget(s, 4.0))
+    got = streamed(spark, [frame], tmp_path, lambda s: live.day_budget(s, 4.0))
     assert [(r.day, r.hours_today, r.allowed) for r in sorted(got, key=lambda r: (r.t_ms, r.day))] == [(0, 0, True), (0, 5, False), (0, 5, False), (0, 6, False), (1, 2, True)]
 
 
@@ -107,7 +112,8 @@ def test_corridor_goes_round_land(spark):
     direct = 7.72
     assert direct * 1.05 < path[-1].cost_nm < direct * 2.25 + 10
     boxed = edges(spark, ring([(9.9, 49.9), (10.1, 49.9), (10.1, 50.1), (9.9, 50.1)]))
-    assert corridor.corridors(spark.createDataFrame([(1, 50.0, 10.0, 50.0, 10.2)], line), boxed).count() == 0
+    none = corridor.corridors(spark.createDataFrame([(1, 50.0, 10.0, 50.0, 10.2)], line), boxed).collect()
+    assert [r.seq for r in none] == [None] and none[0].problem
 
 
 def test_hand_offs(spark):
