@@ -7,11 +7,14 @@ Cells: (path, frame, i, j, values), row 0 in the south.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagekit.functions.numbers import half_up
+from passagekit.operators.scratch import written
 
 #: The mean step of a file with fewer than two times; bounds of a valid wave height.
 NO_STEP = 9007199254740991
@@ -30,32 +33,62 @@ def ranked(files: DataFrame) -> DataFrame:
     return files.withColumn("rank", F.row_number().over(order))
 
 
+def priority() -> Column:
+    """The order of ``ranked`` as one value, for minima without a window over all files."""
+    return F.struct(
+        (-F.col("reference_ms")).alias("run"), mean_step(F.col("start_ms"), F.col("end_ms"), F.col("n_times")).alias("step"), F.col("lat_step").alias("grid"),
+        (-F.col("mtime")).alias("age"), F.col("path").alias("name"),
+    )
+
+
 def _degree_cells(low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Column) -> tuple[Column, Column]:
     whole = lambda x: F.floor(x).cast("long")
     return F.sequence(whole(low_lat), whole(high_lat)), F.sequence(whole(low_lon), whole(high_lon))
 
 
-def covering(points: DataFrame, files: DataFrame) -> DataFrame:
-    """Pairs of points (id, lat, lon, t_ms) and the files that cover them in space and time.
+DAY_MS = 86_400_000
+
 
-    A file is filed under the one-degree cells of its box, so the join is on
-    cells and not on ranges.
+def covering(points: DataFrame, files: DataFrame, how: str = "inner") -> DataFrame:
+    """Pairs of points (id, lat, lon, t_ms) and the files that cover them in space and time; ``left`` keeps points that none covers.
+
+    A file is filed under the one-degree cells of its box and the days of its
+    period, so the join is on cells and days and not on ranges, and a point
+    meets the files of its day alone.
     """
     rows, columns = _degree_cells(F.col("lat_min"), F.col("lat_max"), F.col("lon_min"), F.col("lon_max"))
-    filed = files.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns))
-    at = points.withColumn("cy", F.floor("lat")).withColumn("cx", F.floor("lon"))
+    day = lambda t: F.floor(F.col(t) / DAY_MS).cast("long")
+    filed = files.withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(columns)).withColumn("_day", F.explode(F.sequence(day("start_ms"), day("end_ms"))))
+    at = points.withColumn("cy", F.floor("lat")).withColumn("cx", F.floor("lon")).withColumn("day", day("t_ms"))
     inside = (
-        F.col("lat").between(F.col("lat_min"), F.col("lat_max"))
+        (F.col("cy") == F.col("_cy")) & (F.col("cx") == F.col("_cx")) & (F.col("day") == F.col("_day"))
+        & F.col("lat").between(F.col("lat_min"), F.col("lat_max"))
         & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
         & F.col("t_ms").between(F.col("start_ms"), F.col("end_ms"))
-    )
-    return at.join(filed, ["cy", "cx"]).filter(inside).drop("cy", "cx")
+    )
+    return at.join(filed, inside, how).drop("cy", "cx", "day", "_cy", "_cx", "_day")
 
 
 def select_file(points: DataFrame, files: DataFrame) -> DataFrame:
     """(id, path): the file of best rank that covers each point; an empty path where none does."""
-    best = covering(points.select("id", "lat", "lon", "t_ms"), ranked(files)).groupBy("id").agg(F.min_by("path", "rank").alias("path"))
-    return points.select("id").join(best, "id", "left").select("id", F.coalesce("path", F.lit("")).alias("path"))
+    met = covering(points.select("id", "lat", "lon", "t_ms"), files, "left")
+    best = met.groupBy("id").agg(F.min_by("path", F.when(F.col("path").isNotNull(), priority())).alias("path"))
+    return best.select("id", F.coalesce("path", F.lit("")).alias("path"))
+
+
+def placed(points: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, lat, lon, path, frame, and the file's grid) of points (id, lat, lon, t_ms): the best file and its frame nearest in time, the earlier of two; nulls where none covers.
+
+    For files with an even time step: one join and one aggregation.
+    """
+    n = lambda a, b, s: (F.round((F.col(b) - F.col(a)) / F.col(s)) + 1).cast("int")
+    grid = F.struct("path", "start_ms", "step_ms", "n_times", "lat_min", "lat_step", n("lat_min", "lat_max", "lat_step").alias("n_lat"), "lon_min", "lon_step", n("lon_min", "lon_max", "lon_step").alias("n_lon"))
+    met = covering(points.select("id", "lat", "lon", "t_ms"), files, "left")
+    known = F.col("path").isNotNull()
+    best = met.groupBy("id", "lat", "lon", "t_ms").agg(F.min_by(F.when(known, grid), F.when(known, priority())).alias("f"))
+    frame = F.greatest(F.lit(0), F.least(F.col("f.n_times") - 1, F.ceil((F.col("t_ms") - F.col("f.start_ms")) / F.col("f.step_ms") - 0.5)))
+    kept = [F.col(f"f.{c}") for c in ("path", "lat_min", "lat_step", "n_lat", "lon_min", "lon_step", "n_lon")]
+    return best.select("id", "lat", "lon", F.when(F.col("f").isNotNull(), frame.cast("int")).alias("frame"), *kept)
 
 
 def frames(files: DataFrame) -> DataFrame:
@@ -136,13 +169,30 @@ def with_grid(points: DataFrame, files: DataFrame) -> DataFrame:
     return points.join(grids, "path")
 
 
-def sample(points: DataFrame, files: DataFrame, cells: DataFrame, values: list[str]) -> DataFrame:
+#: Cells as a table, or as what gives those of the frames (path, frame) that are asked for.
+Cells = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _cells(cells: Cells, at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points and the cells of their frames alone."""
+    if isinstance(cells, DataFrame):
+        return at, cells
+    at = written(at)
+    return at, cells(at.filter("path is not null").select("path", "frame").distinct())
+
+
+def sample(points: DataFrame, files: DataFrame, cells: Cells, values: list[str]) -> DataFrame:
     """(id, path, frame, values) of points (id, lat, lon, t_ms): best file, nearest frame, bilinear; 0 and an empty path where none covers."""
-    chosen = points.join(select_file(points, files), "id")
-    placed = nearest_frame(chosen.filter("path <> ''").select("id", "path", "t_ms"), frames(files)).join(points.select("id", "lat", "lon"), "id")
-    found = bilinear(with_grid(placed, files), cells, values)
-    out = chosen.select("id", "path").join(placed.select("id", "frame"), "id", "left").join(found, "id", "left")
-    return out.select("id", "path", "frame", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
+    at, cells = _cells(cells, placed(points, files))
+    met = corners(at).join(cells.select("path", "frame", "i", "j", *values), ["path", "frame", "i", "j"], "left")
+    found = met.groupBy("id", "path", "frame").agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values])
+    return found.select("id", F.coalesce("path", F.lit("")).alias("path"), "frame", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
+
+
+def sample_wave(points: DataFrame, files: DataFrame, cells: Cells, value: str = "swh") -> DataFrame:
+    """(id, lat, lon, value) of points that a file covers: the wave height by the corners that have one, null where none has."""
+    at, cells = _cells(cells, placed(points, files).filter("path is not null"))
+    return at.select("id", "lat", "lon").join(bilinear_masked(at, cells, value), "id", "left")
 
 
 def grid_bounds(files: DataFrame) -> DataFrame:
@@ -163,13 +213,19 @@ def overlay_points(files: DataFrame, t_ms: int) -> DataFrame:
     return grid.select(F.concat_ws(",", "lat", "lon").alias("id"), "lat", "lon", F.lit(t_ms).cast("long").alias("t_ms"))
 
 
-def wind_grid(files: DataFrame, cells: DataFrame, t_ms: int) -> DataFrame:
+def wind_grid(files: DataFrame, cells: Cells, t_ms: int) -> DataFrame:
     """(lat, lon, u, v) over the covered part of the grid, rounded for display."""
     points = overlay_points(files, t_ms)
     found = sample(points, files, cells, ["u", "v"]).filter("path <> ''").join(points.select("id", "lat", "lon"), "id")
     return found.select(half_up(F.col("lat"), 4).alias("lat"), half_up(F.col("lon"), 4).alias("lon"), half_up(F.col("u"), 2).alias("u"), half_up(F.col("v"), 2).alias("v"))
 
 
+def wave_grid(files: DataFrame, cells: Cells, t_ms: int) -> DataFrame:
+    """(lat, lon, wave) over the covered part of the grid, rounded for display."""
+    rows = sample_wave(overlay_points(files, t_ms), files, cells)
+    return rows.select(half_up(F.col("lat"), 4).alias("lat"), half_up(F.col("lon"), 4).alias("lon"), half_up(F.col("swh"), 3).alias("wave"))
+
+
 def combination(files: DataFrame, now_ms: int, departure_ms: int | None = None) -> DataFrame:
     """(path, recommended, reason): which files to use.
 

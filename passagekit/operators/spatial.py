@@ -61,13 +61,24 @@ def clear_segments(segments: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _crossings(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(id, keys, n): edges of each ring that a ray to the east crosses; edges are filed by rows of latitude."""
+    """(id, keys, n): edges of each ring that a ray to the east crosses.
+
+    A point meets the areas (the first key) whose box has its one-degree cell,
+    and of each area the edges filed under its row of latitude.
+    """
+    area = keys[0]
+    low, high = (lambda c: F.min(F.least(f"{c}1", f"{c}2"))), (lambda c: F.max(F.greatest(f"{c}1", f"{c}2")))
+    box = edges.groupBy(area).agg(low("lat").alias("a"), high("lat").alias("b"), low("lon").alias("c"), high("lon").alias("d"))
+    cell = lambda c: F.floor(F.col(c) / POLY_CELL)
+    boxes = box.withColumn("_y", F.explode(F.sequence(cell("a"), cell("b")))).withColumn("_x", F.explode(F.sequence(cell("c"), cell("d"))))
+    near = points.select("id", "lat", "lon", cell("lat").alias("_y"), cell("lon").alias("_x")).join(boxes, ["_y", "_x"])
+    near = near.filter(F.col("lat").between(F.col("a"), F.col("b")) & F.col("lon").between(F.col("c"), F.col("d")))
     row = lambda c: F.floor(F.col(c) / EDGE_CELL)
     filed = edges.withColumn("_r", F.explode(F.sequence(F.least(row("lat1"), row("lat2")), F.greatest(row("lat1"), row("lat2")))))
-    at = points.select("id", F.col("lat"), F.col("lon"), row("lat").alias("_r"))
+    at = near.select("id", area, "lat", "lon", row("lat").alias("_r"))
     astride = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
     where = (F.col("lon2") - F.col("lon1")) * (F.col("lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1")) + F.col("lon1")
-    return at.join(filed, "_r").filter(astride & (F.col("lon") < where)).groupBy("id", *keys).agg(F.count("*").alias("n"))
+    return at.join(filed, [area, "_r"]).filter(astride & (F.col("lon") < where)).groupBy("id", *keys).agg(F.count("*").alias("n"))
 
 
 def points_on_land(points: DataFrame, edges: DataFrame) -> DataFrame:

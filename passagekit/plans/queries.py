@@ -51,17 +51,26 @@ def files(of: Callable[[str], DataFrame]) -> DataFrame:
     return of("forecast_file").filter("type = 'wind'")
 
 
-def cells(of: Callable[[str], DataFrame], kind: str = "wind") -> DataFrame:
-    """(path, frame, i, j, u, v, swh) of all files of a kind: rasters by arithmetic on the file, frame and place."""
+def cells(of: Callable[[str], DataFrame], kind: str = "wind", wanted: DataFrame | None = None) -> DataFrame:
+    """(path, frame, i, j, u, v, swh) of all files of a kind, or of the ``wanted`` frames: rasters by arithmetic on the file, frame and place."""
     axis = lambda low, high, step: F.sequence(F.lit(0), F.round((c(high) - c(low)) / c(step)).cast("int"))
-    rows = of("forecast_file").filter(c("type") == kind).select("path", "seq", "n_times", F.explode(axis("lat_min", "lat_max", "lat_step")).alias("i"), axis("lon_min", "lon_max", "lon_step").alias("js"))
-    rows = rows.select("path", "seq", "n_times", "i", F.explode("js").alias("j"))
-    rows = rows.select("path", "seq", "i", "j", F.explode(F.sequence(F.lit(0), c("n_times") - 1)).alias("frame"))
+    rows = of("forecast_file").filter(c("type") == kind)
+    if wanted is None:
+        rows = rows.withColumn("frame", F.explode(F.sequence(F.lit(0), c("n_times") - 1)))
+    else:
+        rows = rows.join(wanted, "path")
+    rows = rows.select("path", "seq", "frame", F.explode(axis("lat_min", "lat_max", "lat_step")).alias("i"), axis("lon_min", "lon_max", "lon_step").alias("js"))
+    rows = rows.select("path", "seq", "frame", "i", F.explode("js").alias("j"))
     k = c("seq") * 7 + c("frame") * 5 + c("i") * 3 + c("j") * 11
     swh = F.when(k % 17 == 0, 9999.0).otherwise((k % 40) / 10.0)
     return rows.select("path", "frame", "i", "j", ((k % 41 - 20) / 2.0).alias("u"), ((k * 3 % 37 - 18) / 2.0).alias("v"), swh.alias("swh"))
 
 
+def stored(of: Callable[[str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The wind cells of the frames asked for."""
+    return lambda wanted: cells(of, "wind", wanted)
+
+
 @query
 def leg_kinematics(of):
     rows = legs.kinematics(of("fix"))
@@ -179,15 +188,13 @@ def departure_axis(of):
 
 @query
 def bilinear_wind(of):
-    rows = forecast.sample(spots(of), files(of), cells(of), ["u", "v"])
+    rows = forecast.sample(spots(of), files(of), stored(of), ["u", "v"])
     return rows.select(c("id").alias("event_id"), "path", r6(c("u"), "u"), r6(c("v"), "v"))
 
 
 @query
 def masked_wave(of):
-    chosen = spots(of).join(forecast.select_file(spots(of), files(of)), "id").filter("path <> ''")
-    placed = forecast.nearest_frame(chosen.select("id", "path", "t_ms"), forecast.frames(files(of))).join(spots(of).select("id", "lat", "lon"), "id")
-    rows = forecast.bilinear_masked(forecast.with_grid(placed, files(of)), cells(of), "swh")
+    rows = forecast.sample_wave(spots(of), files(of), stored(of))
     return rows.select(c("id").alias("event_id"), r6(c("swh"), "wave_m"))
 
 
@@ -198,7 +205,7 @@ def grid_bounds(of):
 
 @query
 def wind_grid(of):
-    return forecast.wind_grid(files(of), cells(of), NOW_MS)
+    return forecast.wind_grid(files(of), stored(of), NOW_MS)
 
 
 @query
@@ -558,12 +565,7 @@ def corridor_path(of):
 
 @query
 def wave_grid(of):
-    grid = forecast.overlay_points(files(of), NOW_MS)
-    chosen = grid.join(forecast.select_file(grid, files(of)), "id").filter("path <> ''")
-    placed = forecast.nearest_frame(chosen.select("id", "path", "t_ms"), forecast.frames(files(of))).join(grid.select("id", "lat", "lon"), "id")
-    found = forecast.bilinear_masked(forecast.with_grid(placed, files(of)), cells(of), "swh")
-    rows = placed.select("id", "lat", "lon").join(found, "id", "left")
-    return rows.select(half_up(c("lat"), 4).alias("lat"), half_up(c("lon"), 4).alias("lon"), half_up(c("swh"), 3).alias("wave"))
+    return forecast.wave_grid(files(of), stored(of), NOW_MS)
 
 
 @query
