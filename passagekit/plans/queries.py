@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW_MS = BASE_MS + 4 * 86_400_000
 RASTER = depth.Raster(54.0, 10.0, 0.1, nodata=-9999.0, elevation=True)
 OPTIONS = isochrone.Options(heading_step=10.0, sector_size=5.0)
+#: The whole search takes wider steps in courses and sectors, and hours of one.
+SEARCH_OPTIONS, SEARCH_HOURS = isochrone.Options(heading_step=15.0, sector_size=10.0), 1
 
 
 def query(f: Callable) -> Callable:
@@ -416,24 +418,45 @@ def iso_closest(of):
 
 
 def _requests(of) -> DataFrame:
-    ends = of("fix").groupBy("route_id").agg(F.min_by("lat", "seq").alias("start_lat"), F.min_by("lon", "seq").alias("start_lon"))
-    return ends.select(c("route_id").alias("request_id"), "start_lat", "start_lon", (c("start_lat") + 0.25).alias("end_lat"), (c("start_lon") + 0.3).alias("end_lon"))
+    """Each route's first and last point."""
+    ends = of("fix").groupBy("route_id").agg(*[by(x, "seq").alias(f"{n}_{x}") for n, by in (("start", F.min_by), ("end", F.max_by)) for x in ("lat", "lon")])
+    return ends.withColumnRenamed("route_id", "request_id")
+
+
+#: Steps of an hour that the routes' search may take: four days, more than any forecast file lasts.
+SEARCH_STEPS = 96
 
 
 @query
 def isochrone_route(of):
+    """Sailing between each route's ends in the forecast from BASE_MS on; requests without an arrival end where they came nearest, with a reason."""
     from passagekit.operators.search import backtrack, search
 
-    wind = lambda rows, step: rows.withColumn("u", (c("request_id") % 7 - 3) + 0.5 * step + 0.25).withColumn("v", (c("request_id") % 5 + 3.0))
     land = of("edge")
+    node = F.struct("request_id", "node_id")
+
+    def wind(rows: DataFrame, step: int) -> DataFrame:
+        spots_ = rows.withColumn("id", node).withColumn("t_ms", F.lit(BASE_MS + SEARCH_HOURS * step * 3_600_000).cast("long"))
+        found = forecast.sample(spots_, files(of), stored(of), ["u", "v"]).filter("path <> ''").select("id", "u", "v")
+        return rows.withColumn("id", node).join(found, "id").drop("id")
 
     def allowed(rows: DataFrame) -> DataFrame:
         keyed = rows.withColumn("id", F.struct("request_id", "parent_id", "heading_idx"))
         return keyed.join(spatial.crossing_segments(keyed.select("id", c("p_lat").alias("lat1"), c("p_lon").alias("lon1"), c("lat").alias("lat2"), c("lon").alias("lon2")), land), "id", "left_anti").drop("id")
 
-    steps = 5
-    nodes, ends = search(_requests(of), wind, POLAR, OPTIONS, steps, 1.0, allowed)
-    return backtrack(nodes, ends, steps).select("request_id", "seq", r6(c("lat"), "lat"), r6(c("lon"), "lon"), r6(c("speed"), "speed"))
+    nodes, ends, stopped = search(_requests(of), wind, POLAR, SEARCH_OPTIONS, SEARCH_STEPS, SEARCH_HOURS, allowed)
+    arrived = backtrack(nodes, ends, SEARCH_HOURS).withColumn("reason", F.lit(None).cast("string"))
+    partial = backtrack(nodes, stopped, SEARCH_HOURS).join(stopped.select("request_id", "reason"), "request_id")
+    rows = arrived.unionByName(partial)
+    return rows.select("request_id", "seq", r6(c("lat"), "lat"), r6(c("lon"), "lon"), r6(c("speed"), "speed"), r6(c("hours"), "hours"), "reason")
+
+
+@query
+def diverse_routes(of):
+    """Routes whose number has the same remainder are the arrivals of one request; the one with the smallest number is chosen first."""
+    rows = of("fix").select((c("route_id") % 10).alias("request_id"), "route_id", "seq", "lat", "lon", "t_ms")
+    primary = rows.groupBy("request_id").agg(F.min("route_id").alias("route_id"))
+    return alternatives.diverse(rows, primary, 4).select("request_id", "place", "route_id", r6(c("separation_nm"), "separation_nm"))
 
 
 @query
