@@ -15,8 +15,35 @@ def signed(value, size):
     return ((1 << (size * 8 - 1)) | -value if value < 0 else value).to_bytes(size, "big")
 
 
-def message(discipline, category, number, hours, values, bits=12, decimal=1, missing=()):
-    """A GRIB2 message of a regular grid, rows from north to south, with simple packing."""
+def bits_of(numbers, width):
+    return np.packbits([int(b) for n in numbers for b in format(int(n), f"0{width}b")]).tobytes() if width else b""
+
+
+def complex_packing(whole, order, decimal, missing):
+    """Sections 5 and 7 of complex packing (with differences of an ``order``) of whole numbers, null for missing ones."""
+    known = [v for v in whole if v is not None]
+    extra, numbers = b"", whole
+    if order:
+        steps = np.diff(known, order).tolist()
+        least = min(steps, default=0)
+        extra = b"".join(signed(v, 4) for v in [*known[:order], least])
+        rest = iter([0] * order + [s - least for s in steps])
+        numbers = [None if v is None else next(rest) for v in whole]
+    lengths = [min(5, len(numbers) - at) for at in range(0, len(numbers), 5)]
+    groups = [numbers[k * 5 : k * 5 + n] for k, n in enumerate(lengths)]
+    base = [min((v for v in g if v is not None), default=None) for g in groups]
+    widths = [0 if b is None else max(max(v - b for v in g if v is not None) + 1 + bool(missing), 1).bit_length() if len(set(g)) > 1 else 0 for g, b in zip(groups, base)]
+    bits = 24
+    stream = "".join(format((1 << w) - 1 if v is None else v - b, f"0{w}b") for g, b, w in zip(groups, base, widths) if w for v in g)
+    body = extra + bits_of([(1 << bits) - 1 if b is None else b for b in base], bits) + bits_of(widths, 6) + bits_of([0] * len(groups), 1)
+    body += np.packbits([int(c) for c in stream]).tobytes()
+    head = struct.pack(">IHf", len(whole), 3 if order else 2, 0.0) + signed(0, 2) + signed(decimal, 2) + struct.pack(">BBBB", bits, 0, 1, int(missing))
+    head += bytes(8) + struct.pack(">IBBIBIB", len(groups), 0, 6, 5, 1, lengths[-1], 1) + (struct.pack(">BB", order, 4) if order else b"")
+    return head, body
+
+
+def message(discipline, category, number, hours, values, bits=12, decimal=1, missing=(), complex_=None, level=10, kind=0):
+    """A GRIB2 message of a regular grid, rows from north to south, with simple packing, or complex packing with differences of an order."""
     rows = np.asarray(values, float)[::-1]
     n_lat, n_lon = rows.shape
     there = np.array([i not in missing for i in range(rows.size)])
@@ -29,9 +56,17 @@ def message(discipline, category, number, hours, values, bits=12, decimal=1, mis
     lat = lambda x: signed(round(x * 1e6), 4)
     grid = struct.pack(">BIBBH", 0, rows.size, 0, 0, 0) + bytes(16) + struct.pack(">II", n_lon, n_lat) + bytes(8)
     grid += lat(40.0 + (n_lat - 1) * 0.5) + lat(350.0) + bytes(1) + lat(40.0) + lat(350.0 + (n_lon - 1) * 0.5) + struct.pack(">IIB", 500_000, 500_000, 0)
-    product = struct.pack(">HHBBBBBHBBIBBIBBI", 0, 0, category, number, 2, 0, 0, 0, 0, 1, hours, 103, 0, 10, 255, 0, 0)
+    product = struct.pack(">HHBBBBBHBBIBBIBBI", 0, 0, category, number, 2, 0, 0, 0, 0, 1, hours, 103, 0, level, 255, 0, 0)
     packing = struct.pack(">IHf", len(flat), 0, base) + signed(0, 2) + signed(decimal, 2) + struct.pack(">BB", bits, 0)
     bitmap = bytes([0]) + np.packbits(there).tobytes() if missing else bytes([255])
+    if complex_ is not None:
+        whole = [None if i in missing else int(np.rint(v * 10**decimal)) for i, v in enumerate(rows.ravel())]
+        shift = min(v for v in whole if v is not None)
+        packing, body = complex_packing([None if v is None else v - (shift if not complex_ else 0) for v in whole], complex_, decimal, bool(missing))
+        packing = packing[:6] + struct.pack(">f", shift if not complex_ else 0.0) + packing[10:]
+        bitmap = bytes([255])
+    if kind:
+        grid = grid[:7] + struct.pack(">H", kind) + grid[9:]
     parts = one + section(3, grid) + section(4, product) + section(5, packing) + section(6, bitmap) + section(7, body)
     return b"GRIB" + bytes(2) + bytes([discipline, 2]) + struct.pack(">Q", len(parts) + 20) + parts + b"7777"
 
@@ -66,6 +101,27 @@ def test_grib2(spark, folder):
     assert cells[1, 0] == pytest.approx(-4.5, abs=0.06) and len(cells) == 6
 
 
+@pytest.mark.parametrize("order", [0, 1, 2])
+@pytest.mark.parametrize("missing", [(), (3, 4, 17)])
+def test_complex_packing_comes_back_exactly(order, missing):
+    rng = np.random.default_rng(order)
+    values = np.round(np.cumsum(rng.normal(size=(7, 9)), axis=1) * 3, 1)
+    ((discipline, sections),) = grib2.messages(message(0, 2, 2, 3, values, missing=missing, complex_=order))
+    got = grib2.decode(discipline, sections)["values"].reshape(7, 9)[::-1].ravel()
+    want = values[::-1].ravel().astype(np.float32)
+    assert all(np.isnan(g) if i in missing else g == pytest.approx(w, abs=1e-4) for i, (g, w) in enumerate(zip(got, want)))
+
+
+def test_messages_that_cannot_be_read_say_why(spark, tmp_path):
+    u = [[1.0, 2.0], [3.0, 4.0]]
+    (tmp_path / "x.Grib2").write_bytes(message(0, 2, 2, 0, u) + message(0, 2, 3, 0, u, level=80) + message(0, 2, 2, 3, u, kind=30) + message(0, 0, 0, 0, u) + message(10, 0, 3, 0, u))
+    found = grib2.read_messages(spark, str(tmp_path))
+    assert sorted((r.message, r.field, r.reason) for r in found.collect()) == [(0, "wind_u", None), (1, "wind_v", "level 103: 80"), (2, "wind_u", "grid 30"), (4, "wave", None)]
+    assert grib2.file_table(found).first().n_times == 1 and grib2.frames(found).count() == 0
+    wave = grib2.cells(grib2.frames(found, "wave"), grib2.wave_table(found)).collect()
+    assert {(r.i, r.j): round(r.wave) for r in wave} == {(0, 0): 1, (0, 1): 2, (1, 0): 3, (1, 1): 4}
+
+
 def streamed(spark, frames, tmp_path, job, mode="append"):
     """Rows of a stream that is given ``frames`` one after another, each processed before the next is there."""
     folder = str(tmp_path / "in")
