@@ -60,7 +60,8 @@ def exact_groups(
             .withColumn("open", F.length("digit") == width)
         )
         shared = cut(shared, "radix-nodes")
-        split = level.drop("rest").join(shared, ["node", "digit"], "left").filter("open is null or not open")
+        # nodes grow with the documents: both sides are shuffled at every size
+        split = level.drop("rest").join(shared.hint("merge"), ["node", "digit"], "left").filter("open is null or not open")
         done.append(
             split.select(
                 "doc_id",
@@ -71,7 +72,7 @@ def exact_groups(
         )
         if not shared.agg(F.count_if("open")).first()[0]:
             break
-        open_ = level.join(shared.filter("open").select("node", "digit", "next"), ["node", "digit"])
+        open_ = level.join(shared.filter("open").select("node", "digit", "next").hint("merge"), ["node", "digit"])
         rest = F.expr(f"substring(rest, {width + 1})")
         width *= growth
         level = cut(open_.select("doc_id", *carry, F.col("next").alias("node"), rest.alias("rest")), "radix-open")
