@@ -17,8 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW_MS = BASE_MS + 4 * 86_400_000
 RASTER = depth.Raster(54.0, 10.0, 0.1, nodata=-9999.0, elevation=True)
 OPTIONS = isochrone.Options(heading_step=10.0, sector_size=5.0)
-#: The whole search takes wider steps in courses and sectors, and hours of one.
-SEARCH_OPTIONS, SEARCH_HOURS = isochrone.Options(heading_step=15.0, sector_size=10.0), 1
+#: The whole search takes wider steps in courses and sectors, and the coarsest files' hours of one.
+SEARCH_OPTIONS, SEARCH_HOURS = isochrone.Options(heading_step=15.0, sector_size=10.0), 3
 
 
 def query(f: Callable) -> Callable:
@@ -423,20 +423,20 @@ def _requests(of) -> DataFrame:
     return ends.withColumnRenamed("route_id", "request_id")
 
 
-#: Steps of an hour that the routes' search may take: four days, more than any forecast file lasts.
-SEARCH_STEPS = 96
+#: Steps that the routes' search may take: more than any forecast file lasts.
+SEARCH_STEPS = 40
 
 
 @query
 def isochrone_route(of):
-    """Sailing between each route's ends in the forecast from BASE_MS on; requests without an arrival end where they came nearest, with a reason."""
+    """Sailing between each route's ends in the forecast from NOW_MS on; requests without an arrival end where they came nearest, with a reason."""
     from passagekit.operators.search import backtrack, search
 
     land = of("edge")
     node = F.struct("request_id", "node_id")
 
     def wind(rows: DataFrame, step: int) -> DataFrame:
-        spots_ = rows.withColumn("id", node).withColumn("t_ms", F.lit(BASE_MS + SEARCH_HOURS * step * 3_600_000).cast("long"))
+        spots_ = rows.withColumn("id", node).withColumn("t_ms", F.lit(NOW_MS + SEARCH_HOURS * step * 3_600_000).cast("long"))
         found = forecast.sample(spots_, files(of), stored(of), ["u", "v"]).filter("path <> ''").select("id", "u", "v")
         return rows.withColumn("id", node).join(found, "id").drop("id")
 
