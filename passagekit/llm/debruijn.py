@@ -253,7 +253,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 EDGES = (
     "doc long, packed binary, start array<int>, ref_doc array<long>, ref_start array<int>, length array<int>, "
-    "w1 array<long>, w2 array<int>, at array<int>, n array<int>, node array<long>, next array<long>"
+    "w1 array<long>, w2 array<int>, at array<int>, n array<int>"
 )
 
 
@@ -261,8 +261,7 @@ def _edges(window: int, k: int):
     """Windows with a repeated minimizer.
 
     Those that the chunk has earlier are runs beside their place there; the
-    others are edges to ask about, each with its number in the chunk and the
-    nodes it leaves and enters.
+    others are edges to ask about, each with its number in the chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +279,6 @@ def _edges(window: int, k: int):
             at = at[np.isin(least[at] ^ salt[owner[at]], wanted)]
             w1 = grams(words, owner, window)[0][at].view(np.int64)
             w2 = (grams(words, owner, window, _OTHER)[0][at] >> _U(32)).astype(np.uint32).view(np.int32)
-            nodes = grams(words, owner, window - 1)[0].view(np.int64)
             doc = owner[at]
             start = (at - np.searchsorted(owner, doc)).astype(np.int32)
             order = np.lexsort((start, ids[doc], w2, w1))
@@ -303,28 +301,71 @@ def _edges(window: int, k: int):
             ask, count = asked[by], count[by]
             lists = [(sure, start[sure], pa.int32()), (sure, ids[doc[refs]], pa.int64()), (sure, start[refs], pa.int32()), (sure, length, pa.int32())]
             lists += [(ask, w1[ask], pa.int64()), (ask, w2[ask], pa.int32()), (ask, start[ask], pa.int32()), (ask, count, pa.int32())]
-            lists += [(ask, nodes[at[ask]], pa.int64()), (ask, nodes[at[ask] + 1], pa.int64())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[_lists(rows, doc[i], v, t) for i, v, t in lists]], [x.split()[0] for x in EDGES.split(", ")])
 
     return run
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w1, w2, doc, at, ref_doc, ref_start) of windows that occur twice, first ones too: columns w1, w2, doc, at, n, sorted.
+
+    Of a window that goes on from batch to batch only its first row is held.
+    """
+    held, told = None, False
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        goes_on = held is not None and held[0] == cols[0][0] and held[1] == cols[1][0]
+        if goes_on:
+            cols = [np.concatenate([[h], c]) for h, c in zip(held, cols, strict=True)]
+        w1, w2, doc, at, n = cols
+        first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+        sizes = np.diff(np.r_[first, len(w1)])
+        twice = np.add.reduceat(n, first) > 1
+        out = np.repeat(twice, sizes)
+        if goes_on and told:
+            out[0] = False
+        head = np.repeat(first, sizes)
+        columns = (w1, w2, doc, at, doc[head], at[head])
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c[out], t) for c, t in zip(columns, types, strict=True)], ["w1", "w2", "doc", "at", "ref_doc", "ref_start"])
+        held, told = [c[first[-1]] for c in cols], bool(twice[-1])
+        held[4] = max(int(held[4]), 1 + told)
+
+
+def _nodes(window: int):
+    """(w1, w2, ref_doc, ref_start, node, next) of edges: columns doc, packed, edges (at, w1, w2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in _unpacked_chunks(batches):
+            words, owner = word_hashes(data, offsets)
+            nodes = grams(words, owner, window - 1)[0].view(np.int64)
+            begin = np.searchsorted(owner, np.arange(part.num_rows))
+            edges = part.column(2)
+            rows = np.repeat(np.arange(part.num_rows), [len(x) for x in edges])
+            at, w1, w2 = (edges.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            place = begin[rows] + at
+            columns = (w1, w2, part.column(0).to_numpy()[rows], at, nodes[place], nodes[place + 1])
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["w1", "w2", "ref_doc", "ref_start", "node", "next"])
+
+    return run
+
+
 #: A place is one number: the document times this, plus the word.
 _PLACE = 1 << 31
 
 
-def graph(open_: DataFrame) -> DataFrame:
-    """Repeated edges (w1, w2, n, first, ref_doc, ref_start, path, offset) from rows (w1, w2, doc, at, n, node, next).
+def graph(edges: DataFrame) -> DataFrame:
+    """(w1, w2, path, offset) of repeated edges (w1, w2, ref_doc, ref_start, node, next).
 
-    ``first`` is the place of the first occurrence, ref_doc and ref_start its
-    document and word.  Edges are counted with partial sums, so a window that
-    every chunk has costs a row a task.  Edges of one path have offsets in
-    order; paths end at nodes that branch.
+    ref_doc and ref_start: where an edge occurs first; node and next: the
+    nodes it leaves and enters.  Edges of one path have offsets in order;
+    paths end at nodes that branch.
     """
-    place = (F.col("doc").cast("decimal(29,0)") * _PLACE + F.col("at")).cast("decimal(29,0)")
-    edges = open_.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(place).alias("first"), F.first("node").alias("node"), F.first("next").alias("next"))
-    edges = edges.filter("n > 1").withColumn("ref_start", F.pmod(F.col("first"), F.lit(_PLACE)).cast("int"))
-    edges = cut(edges.withColumn("ref_doc", F.expr(f"(first - ref_start) div {_PLACE}")), "graph-repeated")
+    place = (F.col("ref_doc").cast("decimal(29,0)") * _PLACE + F.col("ref_start")).cast("decimal(29,0)")
+    edges = cut(edges.withColumn("first", place), "graph-repeated")
 
     sides = edges.select("node", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("next").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
     plain = sides.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out = 1 and into = 1").select("node", F.lit(True).alias("plain"))
@@ -333,7 +374,8 @@ def graph(open_: DataFrame) -> DataFrame:
     goes_on = F.coalesce((F.lag("ref_start").over(along) + 1 == F.col("ref_start")) & F.col("plain"), F.lit(False))
     steps = edges.join(plain, "node", "left").withColumn("begins", F.when(~goes_on, F.col("first")))
     steps = steps.withColumn("piece", F.last("begins", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0)))
-    steps = cut(steps.select("w1", "w2", "n", "first", "ref_doc", "ref_start", "piece", "node", "next"), "graph-steps")
+    steps = cut(steps.select("w1", "w2", "ref_start", "piece", "node", "next"), "graph-steps")
+    release(edges)
 
     # pieces whose end and beginning meet in a node that does not branch
     pieces = steps.groupBy("piece").agg(F.min_by("node", "ref_start").alias("node"), F.max_by("next", "ref_start").alias("next"), F.count("*").alias("length"))
@@ -348,10 +390,8 @@ def graph(open_: DataFrame) -> DataFrame:
     # a ring has no first piece: its pieces stay paths of their own
     paths = linked.join(linked.select(F.col("piece").alias("up")), "up", "left_anti").select("piece", F.col("up").alias("path"), F.col("offset").alias("base"))
     begin = F.pmod(F.col("piece"), F.lit(_PLACE)).cast("int")
-    return steps.join(paths, "piece", "left").select(
-        "w1", "w2", "n", "first", "ref_doc", "ref_start", F.coalesce("path", "piece").alias("path"),
-        (F.coalesce("base", F.lit(0)) + F.col("ref_start") - begin).cast("int").alias("offset"),
-    )
+    offset = (F.coalesce("base", F.lit(0)) + F.col("ref_start") - begin).cast("int")
+    return steps.join(paths, "piece", "left").select("w1", "w2", F.coalesce("path", "piece").alias("path"), offset.alias("offset"))
 
 
 def _span_digest(words: list[bytes], at: int, length: int) -> bytes:
@@ -426,10 +466,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(survey)
 
     sure = edges.select("doc", F.inline(F.arrays_zip("start", "ref_doc", "ref_start", "length")))
-    open_ = edges.select("doc", F.inline(F.arrays_zip("w1", "w2", "at", "n", "node", "next")))
-    place = (F.col("doc").cast("decimal(29,0)") * _PLACE + F.col("at")).cast("decimal(29,0)")
-    known_edges = graph(open_).select("w1", "w2", "first", "ref_doc", "ref_start", "path", "offset")
-    later = open_.select("w1", "w2", "doc", "at").join(known_edges, ["w1", "w2"]).filter(place != F.col("first"))
+    open_ = edges.select("doc", F.inline(F.arrays_zip("w1", "w2", "at", "n"))).select("w1", "w2", "doc", "at", "n")
+    order = ["w1", "w2", "doc", "at"]
+    shape = "w1 long, w2 int, doc long, at int, ref_doc long, ref_start int"
+    found = cut(open_.repartition("w1", "w2").sortWithinPartitions(*order).mapInArrow(_occurrences, shape), "graph-occurrences")
+    first = (F.col("doc") == F.col("ref_doc")) & (F.col("at") == F.col("ref_start"))
+    heads = found.filter(first).groupBy("doc").agg(F.collect_set(F.struct("at", "w1", "w2")).alias("edges"))
+    known_edges = graph(edges.select("doc", "packed").join(heads, "doc").select("doc", "packed", "edges").mapInArrow(_nodes(window), "w1 long, w2 int, ref_doc long, ref_start int, node long, next long"))
+    later = found.filter(~first).join(known_edges, ["w1", "w2"])
     # a run: the same distance to the path's edges and to their first occurrences
     along = W.partitionBy("doc", "path", "shift", "ref_doc", "ref_shift").orderBy("at")
     runs = (

@@ -165,16 +165,16 @@ def test_graph_is_compacted(spark):
     texts += ["uvw" * 4]  # a ring, once more below
     number = {}
     of = lambda x: number.setdefault(x, len(number))
-    rows, places = [], {}
+    ends, places = {}, {}
     for doc, t in enumerate(texts):
         for at in range(len(t) - 2):
             w = t[at : at + 3]
-            rows.append((of(w), 0, doc, at, 1, of(w[:2]), of(w[1:])))
+            ends[of(w)] = of(w[:2]), of(w[1:])
             places.setdefault(of(w), []).append((doc, at))
-    got = debruijn.graph(spark.createDataFrame(rows, "w1 long, w2 int, doc long, at int, n int, node long, next long").repartition(3)).collect()
-    ends = {r[0]: (r[5], r[6]) for r in rows}
     repeated = {e: ends[e] for e, p in places.items() if len(p) > 1}
-    assert {r.w1: (r.n, (r.ref_doc, r.ref_start)) for r in got} == {e: (len(places[e]), min(places[e])) for e in repeated}
+    rows = [(e, 0, *min(places[e]), *ends[e]) for e in repeated]
+    got = debruijn.graph(spark.createDataFrame(rows, "w1 long, w2 int, ref_doc long, ref_start int, node long, next long").repartition(3)).collect()
+    assert sorted(r.w1 for r in got) == sorted(repeated)
     paths, rings = plain_paths(repeated)
     found = {}
     for r in got:
@@ -198,6 +198,19 @@ def test_minimizers_in_a_stream():
         assert sorted((r["doc"], r["h"]) for b in out for r in b.to_pylist()) == want
 
 
+def test_occurrences_in_a_stream():
+    rng = random.Random(5)
+    rows = sorted((rng.randint(0, 9), rng.randint(0, 3), doc, rng.randint(0, 50), 1 + (rng.random() < 0.1)) for doc in range(120))
+    table = pa.table({"w1": [r[0] for r in rows], "w2": pa.array([r[1] for r in rows], pa.int32()), "doc": [r[2] for r in rows], "at": pa.array([r[3] for r in rows], pa.int32()), "n": pa.array([r[4] for r in rows], pa.int32())})
+    groups = {}
+    for w1, w2, doc, at, n in rows:
+        groups.setdefault((w1, w2), []).append((doc, at, n))
+    want = sorted((*w, doc, at, *g[0][:2]) for w, g in groups.items() if sum(n for *_, n in g) > 1 for doc, at, _ in g)
+    for size in (1, 2, 5, 200):
+        out = debruijn._occurrences(iter(table.to_batches(max_chunksize=size)))
+        assert sorted(tuple(r.values()) for b in out for r in b.to_pylist()) == want
+
+
 def test_word_hashes_in_pieces(monkeypatch):
     texts = [b"one two  three", b"", b"\tfour", b"five\nsix ", b"seven" * 50, b"one"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
