@@ -200,7 +200,7 @@ def ranked(keys: str) -> str:
 
 
 ENDS = f"(SELECT route_id, min_by(lat, seq) AS start_lat, min_by(lon, seq) AS start_lon, max_by(lat, seq) AS end_lat, max_by(lon, seq) AS end_lon FROM {FIX} f GROUP BY route_id)"
-NODE = f"""(SELECT f.route_id AS request_id, event_id AS parent_id, lat, lon, heading, tws, wind_from, start_lat, start_lon, end_lat, end_lon, h_idx AS heading_idx, h_idx * 10.0 AS h
+NODE = f"""(SELECT f.route_id AS request_id, event_id AS parent_id, lat, lon, heading, tws, wind_from, start_lat, start_lon, end_lat, end_lon, h_idx AS heading_idx, h_idx * 10.0 + 2.5 AS h
  FROM {FIX} f JOIN {ENDS} e ON f.route_id = e.route_id CROSS JOIN (SELECT unnest(range(0, 36)) AS h_idx) hh)"""
 CANDIDATE = f"""(SELECT *, {DEST_LAT} AS lat_, {DEST_LON} AS lon_ FROM (SELECT *, speed / {R} AS d FROM
  (SELECT *, {polar('twa', 'tws')} AS speed FROM (SELECT *, {fold('h', 'wind_from')} AS twa FROM {NODE} n

@@ -16,7 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: 2024-01-05 00:00 UTC, the time of overlays and scopes.
 NOW_MS = BASE_MS + 4 * 86_400_000
 RASTER = depth.Raster(54.0, 10.0, 0.1, nodata=-9999.0, elevation=True)
-OPTIONS = isochrone.Options(heading_step=10.0, sector_size=5.0)
+#: Courses half-way between sector bounds: from the start itself they would lie on them.
+OPTIONS = isochrone.Options(heading_step=10.0, heading_offset=2.5, sector_size=5.0)
 #: The whole search takes wider steps in courses and sectors, and the coarsest files' hours of one.
 SEARCH_OPTIONS, SEARCH_HOURS = isochrone.Options(heading_step=15.0, sector_size=10.0), 3
 
