@@ -21,10 +21,10 @@ def cell_key(row: Column, column: Column) -> Column:
     return ((row + 900) * 3600 + F.pmod(column, F.lit(3600))).cast("long")
 
 
-def _filed(rows: DataFrame, pad_lat: Column | float = 0.0, pad_lon: Column | float = 0.0) -> DataFrame:
-    """``rows`` once for each 0.1 degree cell of their box: a superset of the cells crossed."""
-    low = lambda a, b, pad: F.floor((F.least(a, b) - pad) / EDGE_CELL)
-    high = lambda a, b, pad: F.floor((F.greatest(a, b) + pad) / EDGE_CELL)
+def _filed(rows: DataFrame, pad_lat: Column | float = 0.0, pad_lon: Column | float = 0.0, size: float = EDGE_CELL) -> DataFrame:
+    """``rows`` once for each cell of ``size`` degrees of their box: a superset of the cells crossed."""
+    low = lambda a, b, pad: F.floor((F.least(a, b) - pad) / size)
+    high = lambda a, b, pad: F.floor((F.greatest(a, b) + pad) / size)
     rows = rows.withColumn("_r", F.explode(F.sequence(low("lat1", "lat2", pad_lat), high("lat1", "lat2", pad_lat))))
     rows = rows.withColumn("_c", F.explode(F.sequence(low("lon1", "lon2", pad_lon), high("lon1", "lon2", pad_lon))))
     return rows.withColumn("cell", cell_key(F.col("_r"), F.col("_c"))).drop("_r", "_c")
@@ -127,9 +127,10 @@ def shore_distances(segments: DataFrame, edges: DataFrame, within_nm: float) ->
     """(id, shore_nm) of segments with a coast within ``within_nm``: the least distance to an edge, on the segment's own plane."""
     middle = (F.col("lat1") + F.col("lat2")) / 2
     pad_lat = within_nm / NM_PER_DEGREE
+    size = EDGE_CELL * max(1, round(pad_lat / EDGE_CELL))  # cells as wide as the reach: a few for each segment whatever it is
     pad_lon = within_nm / (NM_PER_DEGREE * F.greatest(F.lit(0.01), F.cos(F.radians(middle))))
     rows = segments.select("id", "lat1", "lon1", "lat2", (F.col("lon1") + half_turn(F.col("lon2") - F.col("lon1"))).alias("lon2"))
-    met = _filed(rows, F.lit(pad_lat), pad_lon).join(_as_edges(edge_cells(edges)), "cell")
+    met = _filed(rows, F.lit(pad_lat), pad_lon, size).join(_as_edges(_filed(edges, size=size)), "cell")
     xy = lambda lat, lon: local_xy(F.col(lat), F.col(lon), middle, F.col("lon1"))
     a, b, c, d = xy("lat1", "lon1"), xy("lat2", "lon2"), xy("e_lat1", "e_lon1"), xy("e_lat2", "e_lon2")
     apart = F.least(_point_to_segment(*a, *c, *d), _point_to_segment(*b, *c, *d), _point_to_segment(*c, *a, *b), _point_to_segment(*d, *a, *b))

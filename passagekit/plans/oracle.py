@@ -230,8 +230,13 @@ def allowed(minimum: float, narrow: float, established: str) -> str:
 
 
 ALLOWED = allowed(3.0, 0.05, f"(SELECT event_id, cleared AS est FROM {FIX} f)")
-OFFSHORE = f"""(WITH s AS (SELECT *, id * 1000 + k AS sid FROM {samples(60.0)} s), p AS (SELECT sid AS id, lat AS lat1, lon AS lon1, lat AS lat2, lon AS lon2 FROM s)
-SELECT s.id, bool_and(coalesce(limit_nm > 0 AND shore_nm <= limit_nm, FALSE)) AS within FROM s LEFT JOIN {shore('p', 60.0)} d ON s.sid = d.id GROUP BY s.id)"""
+def offshore(most: float) -> str:
+    """(id, within) of legs that stay within ``most`` of the shore."""
+    return f"""(WITH s AS (SELECT *, id * 1000 + k AS sid FROM {samples(most)} s), p AS (SELECT sid AS id, lat AS lat1, lon AS lon1, lat AS lat2, lon AS lon2 FROM s)
+SELECT s.id, bool_and(coalesce(limit_nm > 0 AND shore_nm <= limit_nm, FALSE)) AS within FROM s LEFT JOIN {shore('p', most)} d ON s.sid = d.id GROUP BY s.id)"""
+
+
+OFFSHORE = offshore(60.0)
 ISSUES = f"""
 WITH shore_ AS (SELECT route_id, seq, event_id, coalesce(cleared, CASE WHEN shore_nm IS NULL OR shore_nm >= 1 THEN TRUE END) AS flag FROM {FIX} f
  LEFT JOIN {shore(f"(SELECT event_id AS id, lat AS lat1, lon AS lon1, lat AS lat2, lon AS lon2 FROM {FIX} f)", 1.0)} d ON f.event_id = d.id),
@@ -255,7 +260,7 @@ hit AS (
  UNION ALL SELECT route_id, seq, 'night-sailing', 'error' FROM {LIGHT} l WHERE NOT in_daylight
  UNION ALL SELECT route_id, first_excess, 'daily-hours-exceeded', 'error' FROM {BUDGET} b WHERE first_excess IS NOT NULL
  UNION ALL SELECT route_id, seq, CASE WHEN NOT allowed THEN 'shore-clearance-violated' WHEN NOT within THEN 'offshore-limit-violated' WHEN depth_m IS NULL THEN 'depth-coverage-missing' ELSE 'minimum-depth-violated' END, 'error'
-   FROM pr JOIN {allowed(1.0, 0.0, '(SELECT * FROM before_)')} a ON pr.event_id = a.id JOIN {OFFSHORE} o ON pr.event_id = o.id LEFT JOIN {LEAST_DEPTH} d ON pr.event_id = d.id
+   FROM pr JOIN {allowed(1.0, 0.0, '(SELECT * FROM before_)')} a ON pr.event_id = a.id JOIN {offshore(30.0)} o ON pr.event_id = o.id LEFT JOIN {LEAST_DEPTH} d ON pr.event_id = d.id
    WHERE NOT allowed OR NOT within OR depth_m IS NULL OR depth_m < 5
  UNION ALL SELECT route_id, seq, 'low-forecast-confidence', 'warning' FROM {LEAD} l WHERE lead_hours > 96
  UNION ALL SELECT route_id, max(seq), 'shore-clearance-not-established', 'warning' FROM state_ GROUP BY route_id HAVING NOT max_by(reached, seq))
