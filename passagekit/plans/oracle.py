@@ -260,7 +260,7 @@ hit AS (
  UNION ALL SELECT route_id, seq, 'night-sailing', 'error' FROM {LIGHT} l WHERE NOT in_daylight
  UNION ALL SELECT route_id, first_excess, 'daily-hours-exceeded', 'error' FROM {BUDGET} b WHERE first_excess IS NOT NULL
  UNION ALL SELECT route_id, seq, CASE WHEN NOT allowed THEN 'shore-clearance-violated' WHEN NOT within THEN 'offshore-limit-violated' WHEN depth_m IS NULL THEN 'depth-coverage-missing' ELSE 'minimum-depth-violated' END, 'error'
-   FROM pr JOIN {allowed(1.0, 0.0, '(SELECT * FROM before_)')} a ON pr.event_id = a.id JOIN {offshore(30.0)} o ON pr.event_id = o.id LEFT JOIN {LEAST_DEPTH} d ON pr.event_id = d.id
+   FROM pr JOIN {allowed(1.0, 0.0, '(SELECT * FROM before_)')} a ON pr.event_id = a.id JOIN {offshore(12.0)} o ON pr.event_id = o.id LEFT JOIN {LEAST_DEPTH} d ON pr.event_id = d.id
    WHERE NOT allowed OR NOT within OR depth_m IS NULL OR depth_m < 5
  UNION ALL SELECT route_id, seq, 'low-forecast-confidence', 'warning' FROM {LEAD} l WHERE lead_hours > 96
  UNION ALL SELECT route_id, max(seq), 'shore-clearance-not-established', 'warning' FROM state_ GROUP BY route_id HAVING NOT max_by(reached, seq))

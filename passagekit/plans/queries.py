@@ -333,7 +333,7 @@ def route_metrics(of):
     return rows.select(*[c(x).cast("long").alias(x) if x in whole else r6(c(x), x) for x in rows.columns])
 
 
-CONTEXT = quality.Context(POLAR, horizon_hours=96.0, daylight_only=True, max_hours_per_day=8.0, minimum_depth_m=5.0, minimum_shore_nm=1.0, maximum_offshore_nm=30.0)
+CONTEXT = quality.Context(POLAR, horizon_hours=96.0, daylight_only=True, max_hours_per_day=8.0, minimum_depth_m=5.0, minimum_shore_nm=1.0, maximum_offshore_nm=12.0)
 
 
 def _issues(of):
