@@ -484,6 +484,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("doc", "start", "ref_doc", (F.col("start") - F.col("ref_shift")).alias("ref_start"), (F.col("end") - F.col("start") + window).alias("length"))
     )
     paths = cut(runs.unionByName(sure), "graph-paths")
+    release(found)
     spans = paths.select("ref_doc", "ref_start", "length").distinct().groupBy("ref_doc").agg(F.collect_list(F.struct("ref_start", "length")).alias("spans"))
     sources = edges.select(F.col("doc").alias("ref_doc"), "packed").dropDuplicates(["ref_doc"]).join(spans, "ref_doc")
     digests = sources.select("ref_doc", "packed", "spans").mapInArrow(_source_digests, "ref_doc long, ref_start int, length int, digest binary")
