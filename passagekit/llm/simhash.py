@@ -175,7 +175,7 @@ def _compare(radius: int):
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect distinct fingerprints (print, id) within ``radius`` bits.
+    """Links (a, b) that connect distinct fingerprints (print, id) within ``radius`` bits; ids are not null.
 
     Buckets give a spanning forest of their links, not all pairs.  The
     largest group a task holds is two blocks; a larger bucket's blocks meet
@@ -213,17 +213,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, print, component_id) of every row of ``docs``.
 
     component_id is the smallest id reachable by links of at most ``radius``
-    bits, itself included.  Equal fingerprints are one vertex, so copies cost
-    one row.  Null and wordless texts have print 0 and link like others; rows
-    that repeat an id are compared singly; a null id is never the smallest.
-    An empty table gives no rows.
+    bits, itself included.  Equal fingerprints are one vertex, named by the
+    fingerprint itself, so copies cost one row and ids of any size stay exact.
+    Null and wordless texts have print 0 and link like others; rows that
+    repeat an id are compared singly.  Rows with a null id link and connect
+    like others, but a null id is never the smallest: a group of such rows
+    alone has a null component_id.  An empty table gives no rows.
     """
     own = cut(fingerprints(docs, id_col, text_col), "prints")
-    classes = own.groupBy("print").agg(F.min("doc_id").alias("id"))
-    groups = components(near_links(classes, radius, parts))
-    named = classes.join(groups, classes["id"] == groups["vertex"], "left").select(
-        "print", F.coalesce("component", "id").alias("component_id")
-    )
+    classes = own.groupBy("print").agg(F.min("doc_id").alias("least"))
+    groups = components(near_links(classes.select("print", F.col("print").alias("id")), radius, parts))
+    placed = classes.join(groups, classes["print"] == groups["vertex"], "left").select("print", "least", F.coalesce("component", "print").alias("group"))
+    named = placed.select("print", "group").join(placed.groupBy("group").agg(F.min("least").alias("component_id")), "group")
     return own.join(named, "print").select("doc_id", "print", "component_id")
 
 

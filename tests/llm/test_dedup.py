@@ -116,6 +116,20 @@ def test_near_groups(docs, rows, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_rows_without_an_id_link_and_ids_stay_exact(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{n}" for n in rng.integers(0, 5000, 3000)]
+    text = lambda at: " ".join([*words[:at], "changed", *words[at + 1 :]])
+    base = simhash.fingerprint(" ".join(words))
+    within = lambda t: 0 < ((simhash.fingerprint(t) ^ base) % (1 << 64)).bit_count() <= 2
+    near_one, near_two = [t for t in map(text, range(0, 3000, 7)) if within(t)][:2]
+    big = (1 << 53) + 1
+    rows = [(None, near_one), (None, near_one), (big, " ".join(words)), (big + 2, near_two), (None, "alone " * 40), (7, "another text here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((str(r.doc_id), r.component_id) for r in simhash.near_groups(frame).collect()), key=str)
+    assert got == sorted([("None", big), ("None", big), (str(big), big), (str(big + 2), big), ("None", None), ("7", 7)], key=str)
+
+
 def repeats(rows, window=20):
     seen, out = set(), {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
