@@ -64,11 +64,11 @@ def test_combination(spark):
     area = dict(lat_min=50.0, lat_max=60.0, lon_min=10.0, lon_max=20.0, end_ms=T0 + 5 * DAY, n_times=121)
     said = lambda rows, **k: {r.path: (r.recommended, r.reason) for r in forecast.combination(files(spark, *[area | r for r in rows]), T0 + 8 * HOUR, **k).collect()}
     new, old = dict(path="new", reference_ms=T0 + 6 * HOUR), dict(path="old")
-    assert said([new, old]) == {"new": (True, ""), "old": (False, "redundant: fully covered by new")}
+    assert said([new, old]) == {"new": (True, ""), "old": (False, "covered by new")}
     assert all(ok for ok, _ in said([dict(path="a"), dict(path="b", lon_min=15.0, lon_max=25.0)]).values())
     past = dict(path="past", start_ms=T0 - 10 * DAY, end_ms=T0 - 9 * DAY)
-    assert said([past, dict(path="future")])["past"] == (False, f"past: forecast period ended {9 * 24 + 8}h ago")
-    assert said([past, dict(path="future")], departure_ms=T0 - 10 * DAY + HOUR)["future"] == (False, "does not cover the set departure time")
+    assert said([past, dict(path="future")])["past"] == (False, f"ended hours ago: {9 * 24 + 8}")
+    assert said([past, dict(path="future")], departure_ms=T0 - 10 * DAY + HOUR)["future"] == (False, "departure outside its period")
     assert said([dict(path="coarse", n_times=41), dict(path="fine")])["coarse"][0] is False
 
 
@@ -277,8 +277,8 @@ def test_search_arrives(spark):
     requests = spark.createDataFrame([(1, 40.0, 10.0, 40.3, 10.0)], "request_id long, start_lat double, start_lon double, end_lat double, end_lon double")
     wind = lambda rows, step: rows.withColumn("u", F.lit(5.0)).withColumn("v", F.lit(0.0))
     polar = Polar((5.0, 20.0), (40.0, 180.0), ((6.0, 6.0), (6.0, 6.0)))
-    nodes, ends = search(requests, wind, polar, isochrone.Options(heading_step=15.0, sector_size=10.0), 4, 1.0)
-    path = backtrack(nodes, ends, 4).orderBy("seq").collect()
+    nodes, ends, _ = search(requests, wind, polar, isochrone.Options(heading_step=15.0, sector_size=10.0), 4, 1.0)
+    path = backtrack(nodes, ends).orderBy("seq").collect()
     assert [r.seq for r in path] == list(range(len(path))) and (path[0].lat, path[0].lon) == (40.0, 10.0)
     assert ends.first().gap_nm <= 2.0 and abs(path[-1].lat - 40.3) < 0.05
 
