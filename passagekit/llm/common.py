@@ -38,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[list[tuple[SparkSession, str]]] = []
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """A folder name not used before in the shared folder, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder, system = _folder(spark, path)
+    system.deleteOnExit(folder)
+    return path
+
+
 def cut(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -46,10 +54,8 @@ def cut(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     ends, or at the end of a ``scratch`` block around the call unless ``keep``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    folder, system = _folder(spark, path)
-    system.deleteOnExit(folder)
     if _written and not keep:
         _written[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -87,10 +87,25 @@ SELECT d.doc_id, count(span) FILTER (WHERE rank = 0) AS n_assign, count(span) FI
 FROM d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id
 """
 
+def _base32(digest: str) -> str:
+    """Base32 of hexadecimal digits: five bits a letter, out of the two digits that hold them."""
+    digit = lambda at: f"(strpos('0123456789abcdef', substr({digest} || '0', {at}, 1)) - 1)"
+    letters = [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({digit(5 * n // 4 + 1)} * 16 + {digit(5 * n // 4 + 2)}) // {1 << (3 - 5 * n % 4)}) % 32 + 1 AS BIGINT), 1)" for n in range(32)]
+    return " || ".join(letters)
+
+
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, html, sha1(html) AS digest, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_base32('digest')} AS payload_digest, CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM g
+"""
+
 SQL = {
     "op2_source_mix": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_multi_index": OP4_SQL,
     "op8_debruijn_dedup": OP8_SQL,
     "op9_secret_scan": OP9_SQL,
+    "op11_warc_chain": OP11_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import debruijn, mixing, multi_index, pii, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash, toxicity
+from . import debruijn, mixing, multi_index, pii, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash, toxicity, warc
 from .oracles import SQL
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_debruijn_dedup": debruijn.op8_debruijn_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_flow_reshard": resharding.op10_flow_reshard,
+    "op11_warc_chain": warc.op11_warc_chain,
 }
 
 __all__ = ["QUERIES", "SQL"]
