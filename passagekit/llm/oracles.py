@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .centroids import CENTROIDS, COMPONENTS, ROUNDS, SCALE
+from .centroids import SEED as ORDER_SEED
 from .mixing import DOMAIN_WEIGHTS, EPOCHS, LANG_WEIGHTS, SEED, TOTAL
 from .radix_dedup import OP3_SQL
 from .secret_scan import ACCESS, ASSIGN, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, HEX, LIVE_CHARACTERS, TOKEN
@@ -101,6 +103,25 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_base32('digest'
  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM g
 """
 
+def _round(n: int) -> str:
+    """Vectors at their nearest centroids of round ``n``, and the centroids after it."""
+    return f"""near{n} AS MATERIALIZED (SELECT row_id, x, k, d FROM (SELECT row_id, x, k, d, row_number() OVER (PARTITION BY row_id ORDER BY d, k) AS place FROM
+  (SELECT row_id, x, k, list_sum(list_transform(range(1, {COMPONENTS + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM whole, c{n}) a) b WHERE place = 1),
+mean{n} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, (s - ((s % n + n) % n)) // n AS m FROM (SELECT k, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM
+  (SELECT k, x, unnest(range(1, {COMPONENTS + 1})) AS i FROM near{n}) a GROUP BY k, i) b) e GROUP BY k),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.k, coalesce(mean{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN mean{n} ON c{n}.k = mean{n}.k)"""
+
+
+OP12_SQL = f"""
+WITH whole AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda e: CAST(floor({SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT sha256(concat('{ORDER_SEED}:', coalesce(CAST(vec_id AS VARCHAR), 'none'))) AS h, x FROM whole ORDER BY h, x LIMIT {CENTROIDS}) a),
+{", ".join(_round(n) for n in range(ROUNDS + 1))}
+SELECT w.vec_id, CAST(n.k AS INTEGER) AS "cluster", CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY n.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(list_transform(c, lambda e: CAST(e AS VARCHAR)), ',')) AS centroid_sha256
+FROM near{ROUNDS} n JOIN whole w ON n.row_id = w.row_id JOIN c{ROUNDS} ON n.k = c{ROUNDS}.k
+"""
+
 SQL = {
     "op2_source_mix": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
@@ -108,4 +129,5 @@ SQL = {
     "op8_debruijn_dedup": OP8_SQL,
     "op9_secret_scan": OP9_SQL,
     "op11_warc_chain": OP11_SQL,
+    "op12_centroids": OP12_SQL,
 }

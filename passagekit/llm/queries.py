@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import debruijn, mixing, multi_index, pii, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash, toxicity, warc
+from . import centroids, debruijn, mixing, multi_index, pii, radix_dedup, resharding, secret_scan, sentencepiece_codec, simhash, toxicity, warc, whitening
 from .oracles import SQL
 
 QUERIES = {
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_flow_reshard": resharding.op10_flow_reshard,
     "op11_warc_chain": warc.op11_warc_chain,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 __all__ = ["QUERIES", "SQL"]
