@@ -14,6 +14,8 @@ from passagekit.functions.geo import NM_PER_DEGREE, distance_nm, half_turn, loca
 
 #: Sides of the edge cells and of the polygon cells, degrees; parallels below it do not cross.
 EDGE_CELL, POLY_CELL, PARALLEL = 0.1, 1.0, 1e-12
+#: Degrees by which rounding may move a line across a cell's side.
+WALK_SLACK = 1e-9
 
 
 def cell_key(row: Column, column: Column) -> Column:
@@ -22,12 +24,26 @@ def cell_key(row: Column, column: Column) -> Column:
 
 
 def _filed(rows: DataFrame, pad_lat: Column | float = 0.0, pad_lon: Column | float = 0.0, size: float = EDGE_CELL) -> DataFrame:
-    """``rows`` once for each cell of ``size`` degrees of their box: a superset of the cells crossed."""
-    low = lambda a, b, pad: F.floor((F.least(a, b) - pad) / size)
-    high = lambda a, b, pad: F.floor((F.greatest(a, b) + pad) / size)
-    rows = rows.withColumn("_r", F.explode(F.sequence(low("lat1", "lat2", pad_lat), high("lat1", "lat2", pad_lat))))
-    rows = rows.withColumn("_c", F.explode(F.sequence(low("lon1", "lon2", pad_lon), high("lon1", "lon2", pad_lon))))
-    return rows.withColumn("cell", cell_key(F.col("_r"), F.col("_c"))).drop("_r", "_c")
+    """``rows`` once for each cell of ``size`` degrees that their line passes, or comes as near to as the pads.
+
+    Row by row of cells: the part of the line between the row's parallels,
+    wider by the pad, spans the columns.  Cells grow with a line's length and
+    not with its box; a line along a cell's side is in the cells of both
+    sides' rounding, so the list is never short of a cell.
+    """
+    c = F.col
+    row = lambda x: F.floor(x / size)
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    rows = rows.withColumn("_r", F.explode(F.sequence(row(low - pad_lat), row(high + pad_lat))))
+    # the line's share in the row, as parts of its length; level lines are whole in it
+    part = lambda lat: F.when(c("lat1") == c("lat2"), None).otherwise((lat - c("lat1")) / (c("lat2") - c("lat1")))
+    south, north = part(c("_r") * size - pad_lat - WALK_SLACK), part((c("_r") + 1) * size + pad_lat + WALK_SLACK)
+    clipped = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    rows = rows.withColumn("_a", clipped(F.coalesce(F.least(south, north), F.lit(0.0)))).withColumn("_b", clipped(F.coalesce(F.greatest(south, north), F.lit(1.0))))
+    at = lambda k: c("lon1") + (c("lon2") - c("lon1")) * c(k)
+    west, east = F.least(at("_a"), at("_b")) - pad_lon - WALK_SLACK, F.greatest(at("_a"), at("_b")) + pad_lon + WALK_SLACK
+    rows = rows.withColumn("_c", F.explode(F.sequence(row(west), row(east))))
+    return rows.withColumn("cell", cell_key(c("_r"), c("_c"))).drop("_r", "_c", "_a", "_b")
 
 
 def edge_cells(edges: DataFrame) -> DataFrame:
@@ -35,20 +51,42 @@ def edge_cells(edges: DataFrame) -> DataFrame:
     return _filed(edges)
 
 
+def edges_near(points: DataFrame, edges: DataFrame, reach_nm: float) -> DataFrame:
+    """(id, near): of points (id, lat, lon) with edges whose box is within ``reach_nm``, those edges as one list.
+
+    A list holds the coast in a place's own surroundings: its size goes with
+    the reach and the coast's detail, not with the number of rows.
+    """
+    pad = reach_nm / NM_PER_DEGREE
+    size = EDGE_CELL * max(1, round(pad / EDGE_CELL))
+    pad_lon = F.lit(pad) / F.greatest(F.lit(0.01), F.cos(F.radians("lat")))
+    spots = points.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), pad_lon.alias("_pad"))
+    met = _filed(spots, F.lit(pad), F.col("_pad"), size).select("id", "cell", F.col("lat1").alias("lat"), F.col("lon1").alias("lon"), "_pad").join(_as_edges(_filed(edges, size=size)), "cell")
+    apart = lambda e, at, by: (F.least(f"e_{e}1", f"e_{e}2") <= F.col(at) + by) & (F.greatest(f"e_{e}1", f"e_{e}2") >= F.col(at) - by)
+    met = met.filter(apart("lat", "lat", F.lit(pad)) & apart("lon", "lon", F.col("_pad")))
+    return met.groupBy("id").agg(F.collect_set(F.struct("e_lat1", "e_lon1", "e_lat2", "e_lon2")).alias("near"))
+
+
 def _as_edges(edges: DataFrame) -> DataFrame:
     return edges.select("cell", *[F.col(c).alias(f"e_{c}") for c in ("lat1", "lon1", "lat2", "lon2")], *[c for c in edges.columns if c in ("poly_id", "ring_id", "idx", "region_id")])
 
 
-def proper_crossing() -> Column:
-    """The segment and the edge cross inside both: touching ends do not count, parallels never cross."""
-    dx, dy = F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")
-    ex, ey = F.col("e_lon2") - F.col("e_lon1"), F.col("e_lat2") - F.col("e_lat1")
+def crosses(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column], d: tuple[Column, Column]) -> Column:
+    """Segments ab and cd, of (latitude, longitude), cross inside both: touching ends do not count, parallels never cross."""
+    dx, dy = b[1] - a[1], b[0] - a[0]
+    ex, ey = d[1] - c[1], d[0] - c[0]
     det = dx * ey - dy * ex
-    ox, oy = F.col("e_lon1") - F.col("lon1"), F.col("e_lat1") - F.col("lat1")
+    ox, oy = c[1] - a[1], c[0] - a[0]
     t, s = (ox * ey - oy * ex) / det, (ox * dy - oy * dx) / det
     return (F.abs(det) >= PARALLEL) & (t > 0) & (t < 1) & (s > 0) & (s < 1)
 
 
+def proper_crossing() -> Column:
+    """The segment and the edge of a row cross."""
+    at = lambda n: (F.col(f"{n}"), F.col(f"{n}".replace("lat", "lon")))
+    return crosses(at("lat1"), at("lat2"), at("e_lat1"), at("e_lat2"))
+
+
 def crossing_segments(segments: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) of segments that cross an edge."""
     met = _filed(segments.select("id", "lat1", "lon1", "lat2", "lon2")).join(_as_edges(edge_cells(edges)), "cell")

@@ -326,7 +326,10 @@ FROM {corners('n')} k JOIN {CELL} c ON k.path = c.path AND k.frame = c.frame AND
     "expired_files": f"SELECT path, end_ms FROM {FILE} f WHERE end_ms < {NOW}",
     "freshest_current": f"SELECT path, mtime FROM {FILE} f WHERE type = 'current' ORDER BY mtime DESC, path DESC LIMIT 1",
     "edge_cells": f"""SELECT (r + 900) * 3600 + (c % 3600 + 3600) % 3600 AS cell, count(*) AS edges, count(DISTINCT poly_id) AS polygons FROM
- (SELECT *, unnest(range(CAST(floor(least(lon1, lon2) / 0.1) AS BIGINT), CAST(floor(greatest(lon1, lon2) / 0.1) AS BIGINT) + 1)) AS c FROM (SELECT *, {CELLS_OF} AS r FROM {EDGE} e) a) b GROUP BY cell""",
+ (SELECT *, unnest(range(CAST(floor((least(xa, xb) - 1e-9) / 0.1) AS BIGINT), CAST(floor((greatest(xa, xb) + 1e-9) / 0.1) AS BIGINT) + 1)) AS c FROM
+  (SELECT *, lon1 + (lon2 - lon1) * greatest(0.0, least(1.0, least(p, q))) AS xa, lon1 + (lon2 - lon1) * greatest(0.0, least(1.0, greatest(p, q))) AS xb FROM
+   (SELECT *, CASE WHEN lat1 = lat2 THEN 0.0 ELSE (r * 0.1 - 1e-9 - lat1) / (lat2 - lat1) END AS p, CASE WHEN lat1 = lat2 THEN 1.0 ELSE ((r + 1) * 0.1 + 1e-9 - lat1) / (lat2 - lat1) END AS q
+    FROM (SELECT *, {CELLS_OF} AS r FROM {EDGE} e) a) b) d) f GROUP BY cell""",
     "segment_crosses_land": f"SELECT id AS event_id FROM {CROSSING} c",
     "legs_clear_of_land": f"SELECT route_id, count(*) AS clear_legs FROM {LEG} g WHERE p_lat IS NOT NULL AND event_id NOT IN (SELECT id FROM {CROSSING} c) GROUP BY route_id",
     "point_on_land": f"SELECT event_id FROM {ON_LAND} o",
