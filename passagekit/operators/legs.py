@@ -86,6 +86,30 @@ def day_chunks(points: DataFrame) -> DataFrame:
     return rows.select("route_id", "seq", "day", ((end - start) / HOUR_MS).alias("hours")).filter("hours > 0")
 
 
+def rested(start: Column, end: Column, departure: Column, day: Column, used: Column) -> tuple[Column, Column]:
+    """(day, used) after a time without way: hours used so far hold until the next 24 hours from departure begin."""
+    first = _day_of(start, departure)
+    return _day_of(end, departure), F.when((day == first) & (end < departure + (first + 1) * DAY_MS), used).otherwise(0.0)
+
+
+def underway(start: Column, end: Column, departure: Column, day: Column, used: Column, most: float) -> tuple[Column, Column, Column]:
+    """(allowed, day, used) of a leg after ``used`` hours of ``day``: its hours are divided at every 24 hours from departure.
+
+    Allowed: no day's hours exceed ``most`` (0: any).
+    """
+    first = _day_of(start, departure)
+    border = departure + (first + 1) * DAY_MS
+    own = F.when(day == first, used).otherwise(0.0) + F.greatest(F.lit(0), F.least(end, border) - start) / HOUR_MS
+    beyond = F.greatest(F.lit(0), end - border)
+    rest, whole = F.pmod(beyond, F.lit(DAY_MS)) / HOUR_MS, F.when(beyond >= DAY_MS, 24.0).otherwise(0.0)
+    allowed = F.lit(True) if most <= 0 else F.greatest(own, rest, whole) <= most + 1e-9
+    return allowed, _day_of(end, departure), F.when(end < border, own).otherwise(rest)
+
+
+def _day_of(time: Column, departure: Column) -> Column:
+    return F.greatest(F.lit(0), F.floor((time - departure) / DAY_MS)).cast("int")
+
+
 def day_budget(points: DataFrame, max_hours: float) -> DataFrame:
     """(route_id, day, hours, first_excess): hours underway of each day, and the leg that first exceeds the limit (0: none)."""
     order = W.partitionBy("route_id", "day").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)

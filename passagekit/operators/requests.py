@@ -58,9 +58,10 @@ def joined_warnings(*messages: Column) -> Column:
 
 
 def dominant_reason(safety: Column, coverage: Column, land: Column, wind: Column) -> Column:
-    """Why a search stopped: the largest of the rejection counts, the earlier of equals; none: null."""
-    most = F.greatest(safety, coverage, land, wind)
-    return F.when(most == 0, None).when(safety == most, "safety").when(coverage == most, "grib_exhausted").when(land == most, "land").otherwise("wind")
+    """Why a search stopped: the largest of the rejection counts, the later of equals; none: null."""
+    none = F.greatest(safety, coverage, land, wind) == 0
+    ahead = lambda x, *rest: x > F.greatest(*rest)
+    return F.when(none, None).when(ahead(safety, coverage, land, wind), "safety").when(ahead(coverage, land, wind), "grib_exhausted").when(land > wind, "land").otherwise("wind")
 
 
 def download_plan(areas: DataFrame) -> DataFrame:

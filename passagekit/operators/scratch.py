@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: what follows starts from files, not from all steps before.
 
-    The table is deleted when the session ends.  Only a session in local mode
-    may go without ``spark.checkpoint.dir``.
+    ``by``: a column that divides the table into folders, for readers of one
+    value.  The table is deleted when the session ends, or by ``release``.
+    Only a session in local mode may go without ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,7 +23,15 @@ def written(df: DataFrame) -> DataFrame:
         root = tempfile.mkdtemp(prefix="passagekit-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that ``written`` made for ``df``, once nothing to come reads it."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -51,24 +51,39 @@ def edge_cells(edges: DataFrame) -> DataFrame:
     return _filed(edges)
 
 
-def edges_near(points: DataFrame, edges: DataFrame, reach_nm: float) -> DataFrame:
-    """(id, near): of points (id, lat, lon) with edges whose box is within ``reach_nm``, those edges as one list.
+def edges_near(points: DataFrame, edges: DataFrame, nominal_nm: float) -> DataFrame:
+    """(id, near): of points (id, lat, lon, reach_nm) with edges whose box is within reach, those edges as one list.
 
-    A list holds the coast in a place's own surroundings: its size goes with
-    the reach and the coast's detail, not with the number of rows.
+    Cells are as wide as ``nominal_nm``, about what most points reach.  A list
+    holds the coast in a place's own surroundings: its size goes with the
+    reach and the coast's detail, not with the number of rows.
     """
-    pad = reach_nm / NM_PER_DEGREE
-    size = EDGE_CELL * max(1, round(pad / EDGE_CELL))
-    pad_lon = F.lit(pad) / F.greatest(F.lit(0.01), F.cos(F.radians("lat")))
-    spots = points.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), pad_lon.alias("_pad"))
-    met = _filed(spots, F.lit(pad), F.col("_pad"), size).select("id", "cell", F.col("lat1").alias("lat"), F.col("lon1").alias("lon"), "_pad").join(_as_edges(_filed(edges, size=size)), "cell")
-    apart = lambda e, at, by: (F.least(f"e_{e}1", f"e_{e}2") <= F.col(at) + by) & (F.greatest(f"e_{e}1", f"e_{e}2") >= F.col(at) - by)
-    met = met.filter(apart("lat", "lat", F.lit(pad)) & apart("lon", "lon", F.col("_pad")))
-    return met.groupBy("id").agg(F.collect_set(F.struct("e_lat1", "e_lon1", "e_lat2", "e_lon2")).alias("near"))
+    c, pad = F.col, F.col("reach_nm") / NM_PER_DEGREE
+    size = EDGE_CELL * max(1, round(nominal_nm / NM_PER_DEGREE / EDGE_CELL))
+    spots = points.select("id", c("lat").alias("lat1"), c("lon").alias("lon1"), c("lat").alias("lat2"), c("lon").alias("lon2"), pad.alias("_up"), (pad / F.greatest(F.lit(0.01), F.cos(F.radians("lat")))).alias("_over"))
+    filed = _filed(spots, c("_up"), c("_over"), size).select("id", "cell", c("lat1").alias("lat"), c("lon1").alias("lon"), "_up", "_over")
+    met = filed.join(_as_edges(_filed(edges, size=size)), "cell")
+    within = lambda e, at, by: (F.least(f"e_{e}1", f"e_{e}2") <= c(at) + c(by)) & (F.greatest(f"e_{e}1", f"e_{e}2") >= c(at) - c(by))
+    item = F.struct("e_lat1", "e_lon1", "e_lat2", "e_lon2", (F.coalesce("region", F.lit(False)) if "region" in edges.columns else F.lit(False)).alias("region"))
+    return met.filter(within("lat", "lat", "_up") & within("lon", "lon", "_over")).groupBy("id").agg(F.collect_set(item).alias("near"))
+
+
+def shore_in_row(near: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Least distance of the segment ab, of (latitude, longitude), to the coasts of ``near``, on its own plane; none near: null."""
+    middle = (a[0] + b[0]) / 2
+    xy = lambda lat, lon: local_xy(lat, lon, middle, a[1])
+    p, q = xy(*a), xy(b[0], a[1] + half_turn(b[1] - a[1]))
+
+    def gap(e: Column) -> Column:
+        c, d = xy(e["e_lat1"], e["e_lon1"]), xy(e["e_lat2"], e["e_lon2"])
+        apart = F.least(_point_to_segment(*p, *c, *d), _point_to_segment(*q, *c, *d), _point_to_segment(*c, *p, *q), _point_to_segment(*d, *p, *q))
+        return F.when(_touch(p, q, c, d), 0.0).otherwise(F.sqrt(apart))
+
+    return F.array_min(F.transform(F.filter(near, lambda e: ~e["region"]), gap))
 
 
 def _as_edges(edges: DataFrame) -> DataFrame:
-    return edges.select("cell", *[F.col(c).alias(f"e_{c}") for c in ("lat1", "lon1", "lat2", "lon2")], *[c for c in edges.columns if c in ("poly_id", "ring_id", "idx", "region_id")])
+    return edges.select("cell", *[F.col(c).alias(f"e_{c}") for c in ("lat1", "lon1", "lat2", "lon2")], *[c for c in edges.columns if c in ("poly_id", "ring_id", "idx", "region_id", "region")])
 
 
 def crosses(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column], d: tuple[Column, Column]) -> Column:

@@ -397,7 +397,7 @@ JOIN f fa ON fa.route_id = k.a AND fa.seq = floor(k.k / (s - 1) * (na - 1) + 0.5
  || array_to_string(list_filter([CASE WHEN c_custkey % 2 <> 0 THEN 'polar' END, CASE WHEN c_custkey % 3 = 0 THEN 'forecast' END,
  CASE WHEN c_custkey % 5 = 0 THEN 'shoreline' END], lambda x: x IS NOT NULL), ', ') END AS reason, count(*) AS n FROM customer GROUP BY ALL""",
     "file_names": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '.grib2' WHEN 1 THEN p_name || '.GRB' ELSE NULL END AS name FROM part",
-    "stop_reasons": """SELECT CASE WHEN greatest(a, b, c, d) = 0 THEN NULL WHEN a >= b AND a >= c AND a >= d THEN 'safety' WHEN b >= c AND b >= d THEN 'grib_exhausted' WHEN c >= d THEN 'land' ELSE 'wind' END AS reason,
+    "stop_reasons": """SELECT CASE WHEN greatest(a, b, c, d) = 0 THEN NULL WHEN a > b AND a > c AND a > d THEN 'safety' WHEN b > c AND b > d THEN 'grib_exhausted' WHEN c > d THEN 'land' ELSE 'wind' END AS reason,
  CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN 'late; shallow' WHEN k % 2 = 0 THEN 'late' WHEN k % 3 <> 0 THEN 'shallow' END AS warning, count(*) AS n FROM
  (SELECT o_orderkey AS k, o_orderkey % 4 AS a, o_orderkey * 3 % 5 AS b, o_orderkey * 7 % 6 AS c, o_orderkey * 5 % 7 AS d FROM orders) x GROUP BY ALL""",
     "download_plan": f"""WITH a AS (SELECT *, start_ms + (seq * 37 % 500 - 40) * 3600000 AS dep, (start_ms + 5000000 - 28800000) // 21600000 * 21600000 AS cycle_ms FROM {FILE} f),
