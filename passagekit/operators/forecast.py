@@ -76,19 +76,48 @@ def select_file(points: DataFrame, files: DataFrame) -> DataFrame:
     return best.select("id", F.coalesce("path", F.lit("")).alias("path"))
 
 
+def _grid() -> Column:
+    n = lambda a, b, s: (F.round((F.col(b) - F.col(a)) / F.col(s)) + 1).cast("int")
+    return F.struct("path", "start_ms", "step_ms", "n_times", "lat_min", "lat_step", n("lat_min", "lat_max", "lat_step").alias("n_lat"), "lon_min", "lon_step", n("lon_min", "lon_max", "lon_step").alias("n_lon"))
+
+
+def _with_frame(best: DataFrame, *more: str) -> DataFrame:
+    """The chosen file ``f``, opened, and its frame nearest in time, the earlier of two."""
+    frame = F.greatest(F.lit(0), F.least(F.col("f.n_times") - 1, F.ceil((F.col("t_ms") - F.col("f.start_ms")) / F.col("f.step_ms") - 0.5)))
+    kept = [F.col(f"f.{c}") for c in ("path", "lat_min", "lat_step", "n_lat", "lon_min", "lon_step", "n_lon")]
+    return best.select("id", "lat", "lon", F.when(F.col("f").isNotNull(), frame.cast("int")).alias("frame"), *kept, *more)
+
+
 def placed(points: DataFrame, files: DataFrame) -> DataFrame:
     """(id, lat, lon, path, frame, and the file's grid) of points (id, lat, lon, t_ms): the best file and its frame nearest in time, the earlier of two; nulls where none covers.
 
     For files with an even time step: one join and one aggregation.
     """
-    n = lambda a, b, s: (F.round((F.col(b) - F.col(a)) / F.col(s)) + 1).cast("int")
-    grid = F.struct("path", "start_ms", "step_ms", "n_times", "lat_min", "lat_step", n("lat_min", "lat_max", "lat_step").alias("n_lat"), "lon_min", "lon_step", n("lon_min", "lon_max", "lon_step").alias("n_lon"))
     met = covering(points.select("id", "lat", "lon", "t_ms"), files, "left")
     known = F.col("path").isNotNull()
-    best = met.groupBy("id", "lat", "lon", "t_ms").agg(F.min_by(F.when(known, grid), F.when(known, priority())).alias("f"))
-    frame = F.greatest(F.lit(0), F.least(F.col("f.n_times") - 1, F.ceil((F.col("t_ms") - F.col("f.start_ms")) / F.col("f.step_ms") - 0.5)))
-    kept = [F.col(f"f.{c}") for c in ("path", "lat_min", "lat_step", "n_lat", "lon_min", "lon_step", "n_lon")]
-    return best.select("id", "lat", "lon", F.when(F.col("f").isNotNull(), frame.cast("int")).alias("frame"), *kept)
+    return _with_frame(met.groupBy("id", "lat", "lon", "t_ms").agg(F.min_by(F.when(known, _grid()), F.when(known, priority())).alias("f")))
+
+
+def placed_within(points: DataFrame, files: DataFrame) -> DataFrame:
+    """``placed`` of the points (id, lat, lon, t_ms, reach_nm) that a file covers, with ``boxes``: those of all files of the time within reach.
+
+    A point meets files under the cells of its reach: whether a place near it
+    is covered is then told from its row.
+    """
+    c, pad = F.col, F.col("reach_nm") / 59.0
+    over = pad / F.greatest(F.lit(0.01), F.cos(F.radians("lat")))
+    rows, columns = _degree_cells(c("lat_min"), c("lat_max"), c("lon_min"), c("lon_max"))
+    day = lambda t: F.floor(c(t) / DAY_MS).cast("long")
+    filed = files.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns)).withColumn("day", F.explode(F.sequence(day("start_ms"), day("end_ms"))))
+    near_rows, near_columns = _degree_cells(c("lat") - c("_up"), c("lat") + c("_up"), c("lon") - c("_over"), c("lon") + c("_over"))
+    at = points.select("id", "lat", "lon", "t_ms", pad.alias("_up"), over.alias("_over"))
+    at = at.withColumn("cy", F.explode(near_rows)).withColumn("cx", F.explode(near_columns)).withColumn("day", day("t_ms"))
+    within = lambda x, low, high, by: (c(high) >= c(x) - c(by)) & (c(low) <= c(x) + c(by))
+    met = at.join(filed, ["cy", "cx", "day"]).filter(c("t_ms").between(c("start_ms"), c("end_ms")) & within("lat", "lat_min", "lat_max", "_up") & within("lon", "lon_min", "lon_max", "_over"))
+    own = c("lat").between(c("lat_min"), c("lat_max")) & c("lon").between(c("lon_min"), c("lon_max"))
+    box = F.struct("lat_min", "lat_max", "lon_min", "lon_max")
+    best = met.groupBy("id", "lat", "lon", "t_ms").agg(F.min_by(F.when(own, _grid()), F.when(own, priority())).alias("f"), F.collect_set(box).alias("boxes"))
+    return _with_frame(best.filter("f is not null"), "boxes")
 
 
 def frames(files: DataFrame) -> DataFrame:
@@ -195,6 +224,22 @@ def sample_wave(points: DataFrame, files: DataFrame, cells: Cells, value: str =
     return at.select("id", "lat", "lon").join(bilinear_masked(at, cells, value), "id", "left")
 
 
+def sample_weather(points: DataFrame, files: DataFrame, cells: Cells, wave: str = "swh") -> DataFrame:
+    """(id, path, u, v, wave) of points (id, lat, lon, t_ms) that a file covers: wind and wave from one visit of its four cells.
+
+    Points with reach_nm get ``boxes`` too, as of ``placed_within``.
+    """
+    wide = "reach_nm" in points.columns
+    at, cells = _cells(cells, placed_within(points, files) if wide else placed(points, files).filter("path is not null"))
+    met = corners(at).join(cells.select("path", "frame", "i", "j", "u", "v", F.col(wave).alias("_wave")), ["path", "frame", "i", "j"], "left")
+    h, w = F.col("_wave"), F.col("weight")
+    fit = h.isNotNull() & ~F.isnan(h) & (h >= 0) & (h < WAVE_BELOW)
+    weight = F.sum(F.when(fit, w).otherwise(0.0))
+    wind = [F.coalesce(F.sum(w * F.col(n)), F.lit(0.0)).alias(n) for n in ("u", "v")]
+    found = met.groupBy("id", "path").agg(*wind, F.when(weight > 0, F.sum(F.when(fit, w * h).otherwise(0.0)) / weight).alias("wave"))
+    return found.join(at.select("id", "boxes"), "id") if wide else found
+
+
 def grid_bounds(files: DataFrame) -> DataFrame:
     """The union of the boxes at the finest steps; n counts intervals."""
     box = files.agg(
@@ -267,13 +312,14 @@ def freshest(files: DataFrame) -> DataFrame:
 
 
 def currents_at(points: DataFrame, files: DataFrame, cells: DataFrame) -> DataFrame:
-    """(id, u, v) of points (id, lat, lon, t_ms): the freshest current file, its nearest frame, bilinear; outside it and without one 0."""
-    best = files.join(F.broadcast(freshest(files)), "path")  # one row
-    inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
-    box = best.select("path", "lat_min", "lat_max", "lon_min", "lon_max")
-    met = points.join(F.broadcast(box), inside).select("id", "path", "lat", "lon", "t_ms")
-    placed = nearest_frame(met.select("id", "path", "t_ms"), frames(best)).join(met.select("id", "lat", "lon"), "id")
-    found = bilinear(with_grid(placed, best), cells, ["u", "v"])
+    """(id, u, v) of points (id, lat, lon, t_ms): the freshest current file, its nearest frame, bilinear; outside it and without one 0.
+
+    For files with an even time step.
+    """
+    best = files.join(F.broadcast(freshest(files)), "path").select(_grid().alias("f"), "lat_max", "lon_max")  # one row
+    inside = F.col("lat").between(F.col("f.lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("f.lon_min"), F.col("lon_max"))
+    at = _with_frame(points.select("id", "lat", "lon", "t_ms").join(F.broadcast(best), inside))
+    found = bilinear(at, cells, ["u", "v"])
     return points.select("id").join(found, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("u", "v")])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from passagekit.functions import geo, polar, solar, units
 from passagekit.functions.numbers import half_up
-from passagekit.operators import alternatives, corridor, depth, forecast, isochrone, legs, quality, requests, safety, spatial
+from passagekit.operators import alternatives, corridor, depth, forecast, isochrone, legs, quality, requests, safety, search, spatial
+from passagekit.operators.scratch import written
 from passagekit.plans.bindings import BASE_MS, POLAR, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,8 +20,8 @@ NOW_MS = BASE_MS + 4 * 86_400_000
 RASTER = depth.Raster(54.0, 10.0, 0.1, nodata=-9999.0, elevation=True)
 #: Courses half-way between sector bounds: from the start itself they would lie on them.
 OPTIONS = isochrone.Options(heading_step=10.0, heading_offset=2.5, sector_size=5.0)
-#: The whole search takes wider steps in courses and sectors, and the coarsest files' hours of one.
-SEARCH_OPTIONS, SEARCH_HOURS = isochrone.Options(heading_step=15.0, sector_size=10.0), 3
+#: The whole search: courses every five degrees, sectors of one, hours as steps, limits of wind and wave.
+SEARCH_OPTIONS, SEARCH_HOURS = isochrone.Options(max_wind_kn=40.0, max_wave_m=3.9), 1.0
 
 
 def query(f: Callable) -> Callable:
@@ -418,38 +420,102 @@ def iso_closest(of):
     return isochrone.closest(_candidates(of)).select("request_id", "parent_id", "heading_idx", r6(c("gap_nm"), "gap_nm"))
 
 
-def _requests(of) -> DataFrame:
-    """Each route's first and last point."""
-    ends = of("fix").groupBy("route_id").agg(*[by(x, "seq").alias(f"{n}_{x}") for n, by in (("start", F.min_by), ("end", F.max_by)) for x in ("lat", "lon")])
-    return ends.withColumnRenamed("route_id", "request_id")
+#: A voyage's least length, and the hours that its forecast lasts at least.
+VOYAGE_NM, VOYAGE_HOURS = 20.0, 8.0
+
+
+def _voyages(of) -> DataFrame:
+    """From each route's first point to its first later one ``VOYAGE_NM`` off, or its last: within a forecast file over both ends, or the start.
+
+    The file is the shortest that lasts long enough; the voyage departs when
+    it begins and is searched until it ends.  Without one it has no forecast.
+    """
+    fix = of("fix")
+    first = fix.filter("seq = 0").select("route_id", c("lat").alias("start_lat"), c("lon").alias("start_lon"))
+    far = geo.distance_nm(c("start_lat"), c("start_lon"), c("lat"), c("lon")) >= VOYAGE_NM
+    order = F.struct(~far, F.when(far, c("seq")).otherwise(-c("seq")))
+    ends = fix.join(first, "route_id").groupBy(c("route_id").alias("request_id"), "start_lat", "start_lon").agg(F.min_by("lat", order).alias("end_lat"), F.min_by("lon", order).alias("end_lon"))
+    cell = lambda low, high: F.sequence(F.floor(low), F.floor(high))
+    filed = files(of).withColumn("cy", F.explode(cell("lat_min", "lat_max"))).withColumn("cx", F.explode(cell("lon_min", "lon_max")))
+    met = ends.withColumn("cy", F.floor("start_lat")).withColumn("cx", F.floor("start_lon")).join(filed, ["cy", "cx"])
+    over = lambda n: c(f"{n}_lat").between(c("lat_min"), c("lat_max")) & c(f"{n}_lon").between(c("lon_min"), c("lon_max"))
+    hours = (c("end_ms") - c("start_ms")) / legs.HOUR_MS
+    better = F.struct(~over("end"), hours < VOYAGE_HOURS, hours, "path")
+    best = met.filter(over("start")).groupBy("request_id").agg(F.min_by(F.struct(c("start_ms").alias("departure_ms"), c("end_ms").alias("until_ms")), better).alias("f"))
+    return ends.join(best.select("request_id", "f.*"), "request_id", "left").withColumn("departure_ms", F.coalesce("departure_ms", F.lit(NOW_MS)))
+
+
+def _barriers(of) -> DataFrame:
+    """Land, and the regions that are avoided."""
+    sides = ["ring_id", "lat1", "lon1", "lat2", "lon2"]
+    land = of("edge").select(c("poly_id").cast("long").alias("poly_id"), *sides, F.lit(False).alias("region"))
+    return land.unionByName(of("region_edge").select(c("region_id").cast("long").alias("poly_id"), F.lit(0).alias("ring_id"), *sides[1:], F.lit(True).alias("region")))
+
+
+def _sampled(of) -> Callable[[DataFrame], DataFrame]:
+    return lambda spots_: forecast.sample_weather(spots_, files(of), stored(of))
+
+
+def _weather(of) -> Callable[[DataFrame, int], DataFrame]:
+    """A step's nodes with wind and wave at their own time, the current at the step's end, and the boxes of files within reach."""
+    sampled, currents = _sampled(of), written(cells(of, "current"))
+    fastest = max(s for row in POLAR.speeds for s in row)
+
+    def at(nodes: DataFrame, step: int) -> DataFrame:
+        keyed = nodes.drop("path").withColumn("id", F.struct("request_id", "step_ms", "node_id"))
+        flow = forecast.currents_at(keyed.select("id", "lat", "lon", (c("t_ms") + c("step_ms")).alias("t_ms")), of("forecast_file"), currents)
+        keyed = keyed.join(flow.select("id", c("u").alias("cu"), c("v").alias("cv")), "id")
+        reach = (F.lit(fastest) + geo.wind_speed_kn(c("cu"), c("cv"))) * c("step_ms") / legs.HOUR_MS
+        return keyed.join(sampled(keyed.select("id", "lat", "lon", "t_ms", reach.alias("reach_nm"))), "id").drop("id")
 
+    return at
 
-#: Steps that the routes' search may take: more than any forecast file lasts.
-SEARCH_STEPS = 40
+
+def _searched(of, options: isochrone.Options = SEARCH_OPTIONS):
+    """(nodes, ends, stopped) of the voyages, to the end of the forecast."""
+    return search.search(_voyages(of), _weather(of), POLAR, options, None, SEARCH_HOURS, barriers=_barriers(of))
 
 
 @query
 def isochrone_route(of):
-    """Sailing between each route's ends in the forecast from NOW_MS on; requests without an arrival end where they came nearest, with a reason."""
-    from passagekit.operators.search import backtrack, search
-
-    land = of("edge")
-    node = F.struct("request_id", "node_id")
-
-    def wind(rows: DataFrame, step: int) -> DataFrame:
-        spots_ = rows.withColumn("id", node).withColumn("t_ms", F.lit(NOW_MS + SEARCH_HOURS * step * 3_600_000).cast("long"))
-        found = forecast.sample(spots_, files(of), stored(of), ["u", "v"]).filter("path <> ''").select("id", "u", "v")
-        return rows.withColumn("id", node).join(found, "id").drop("id")
-
-    def allowed(rows: DataFrame) -> DataFrame:
-        keyed = rows.withColumn("id", F.struct("request_id", "parent_id", "heading_idx"))
-        return keyed.join(spatial.crossing_segments(keyed.select("id", c("p_lat").alias("lat1"), c("p_lon").alias("lon1"), c("lat").alias("lat2"), c("lon").alias("lon2")), land), "id", "left_anti").drop("id")
-
-    nodes, ends, stopped = search(_requests(of), wind, POLAR, SEARCH_OPTIONS, SEARCH_STEPS, SEARCH_HOURS, allowed)
-    arrived = backtrack(nodes, ends, SEARCH_HOURS).withColumn("reason", F.lit(None).cast("string"))
-    partial = backtrack(nodes, stopped, SEARCH_HOURS).join(stopped.select("request_id", "reason"), "request_id")
-    rows = arrived.unionByName(partial)
-    return rows.select("request_id", "seq", r6(c("lat"), "lat"), r6(c("lon"), "lon"), r6(c("speed"), "speed"), r6(c("hours"), "hours"), "reason")
+    """Sailing between each route's ends: wind, wave limit, current, land and regions; requests without an arrival end where they came nearest, with a reason."""
+    nodes, ends, stopped = _searched(of)
+    arrived = search.backtrack(nodes, ends).withColumn("reason", F.lit(None).cast("string"))
+    partial = search.backtrack(nodes, stopped).join(stopped.select("request_id", c("step").alias("end_step"), c("node_id").alias("end_node"), "reason"), ["request_id", "end_step", "end_node"])
+    rows = search.resampled(arrived.unionByName(partial), _sampled(of))
+    kept = [r6(c(x), x) for x in ("lat", "lon", "speed", "hours", "tws", "twa", "wave")]
+    return rows.select("request_id", "seq", "t_ms", *kept, "propulsion", "path", "reason")
+
+
+@query
+def passage_days(of):
+    """The same under way in daylight only, six hours a day at most, with a motor in light wind and two miles off the coast where there is room."""
+    options = dataclasses.replace(SEARCH_OPTIONS, daylight_only=True, max_hours_per_day=6.0, motor_kn=5.0, motor_below_kn=2.0, wait_for_wind=True, minimum_shore_nm=2.0)
+    nodes, ends, stopped = _searched(of, options)
+    rows = search.backtrack(nodes, ends).withColumn("arrived", F.lit(True)).unionByName(search.backtrack(nodes, stopped).withColumn("arrived", F.lit(False)))
+    return rows.select("request_id", "seq", "t_ms", r6(c("lat"), "lat"), r6(c("lon"), "lon"), "propulsion", "cleared", "arrived")
+
+
+def _several(of) -> DataFrame:
+    """Up to three routes of every voyage out of one search, with the weather at their points."""
+    nodes, ends, _ = _searched(of, dataclasses.replace(SEARCH_OPTIONS, alternatives=3))
+    return search.resampled(search.routes(nodes, ends, 3), _sampled(of))
+
+
+@query
+def searched_quality(of):
+    """Metrics and issues of searched routes: a route is a voyage's alternative."""
+    rows = written(_several(of).withColumn("route_id", c("request_id") * 10 + c("place")))
+    context = quality.Context(POLAR, horizon_hours=96.0, minimum_depth_m=5.0)
+    ways = legs.legs(rows).filter("p_lat is not null").select(F.struct("route_id", "seq").alias("id"), c("p_lat").alias("lat1"), c("p_lon").alias("lon1"), c("lat").alias("lat2"), c("lon").alias("lon2"))
+    depths = depth.least_depth(ways, of("depth_cell"), RASTER).select("id.route_id", "id.seq", "depth_m")
+    regions = of("region_edge").withColumn("ring_id", F.lit(0))
+    found = quality.issues(rows, context, of("forecast_file"), of("edge"), regions, depths)
+    told = found.groupBy("route_id").agg(F.count("*").alias("issues"), F.count_if(c("severity") == "error").alias("errors"))
+    whole = {"route_id", "point_count", "passage_days", "maneuvers", "low_headway"}
+    measured = quality.metrics(rows, of("forecast_file"))
+    measured = measured.select(*[c(x).cast("long").alias(x) if x in whole else r6(c(x), x) for x in measured.columns])
+    return measured.join(told, "route_id", "left").fillna(0, ["issues", "errors"])
 
 
 @query
