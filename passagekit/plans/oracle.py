@@ -380,6 +380,19 @@ p AS (SELECT x.route_id AS a, y.route_id AS b, x.n AS na, y.n AS nb, least(12, g
 k AS (SELECT *, unnest(range(1, s - 1)) AS k FROM p)
 SELECT k.a, k.b, {r6('avg(' + hav('fa.lat', 'fa.lon', 'fb.lat', 'fb.lon') + ')')} AS separation_nm FROM k
 JOIN f fa ON fa.route_id = k.a AND fa.seq = floor(k.k / (s - 1) * (na - 1) + 0.5) JOIN f fb ON fb.route_id = k.b AND fb.seq = floor(k.k / (s - 1) * (nb - 1) + 0.5) GROUP BY ALL""",
+    "step_candidates": f"""SELECT request_id, parent_id, heading_idx, {r6('speed')} AS speed, {r6('lat1')} AS lat, {r6('lon1')} AS lon, {r6('CAST(parent_id % 9 + 1 AS DOUBLE)')} AS used FROM
+ (SELECT c.request_id, c.parent_id, c.heading_idx, c.speed, f.t_ms, f.lat AS lat0, f.lon AS lon0, lat_ + f.v / 10 * 3600 / (1852 * 60) AS lat1, lon_ + f.u / 10 * 3600 / (1852 * 60 * cos(radians(f.lat))) AS lon1
+  FROM {CANDIDATE} c JOIN {FIX} f ON c.parent_id = f.event_id WHERE (f.wave IS NULL OR f.wave <= 3.9) AND c.parent_id % 9 + 1 <= 8) s
+ WHERE {elevation('t_ms', 'lat0', 'lon0')} > 0 AND {elevation('(t_ms + 3600000)', 'lat1', 'lon1')} > 0 AND {elevation('(t_ms + 1800000)', '((lat0 + lat1) / 2)', '((lon0 + lon1) / 2)')} > 0""",
+    "look_ahead": f"""SELECT DISTINCT s.id AS event_id FROM (SELECT id, lat AS lat1, lon AS lon1, CASE WHEN nm <= 25 THEN end_lat ELSE degrees(asin(sin(radians(lat)) * cos(25 / {R}) + cos(radians(lat)) * sin(25 / {R}) * cos(radians(b)))) END AS lat2,
+ CASE WHEN nm <= 25 THEN end_lon ELSE lon + degrees(atan2(sin(radians(b)) * sin(25 / {R}) * cos(radians(lat)), cos(25 / {R}) - sin(radians(lat)) * (sin(radians(lat)) * cos(25 / {R}) + cos(radians(lat)) * sin(25 / {R}) * cos(radians(b))))) END AS lon2
+ FROM (SELECT *, {hav('lat', 'lon', 'end_lat', 'end_lon')} AS nm, {brg('lat', 'lon', 'end_lat', 'end_lon')} AS b FROM
+  (SELECT event_id AS id, f.lat, f.lon, end_lat, end_lon FROM {FIX} f JOIN (SELECT route_id, max_by(lat, seq) AS end_lat, max_by(lon, seq) AS end_lon FROM {FIX} g GROUP BY route_id) z ON f.route_id = z.route_id) a) b) s
+ JOIN (SELECT lat1, lon1, lat2, lon2 FROM {EDGE} l UNION ALL SELECT lat1, lon1, lat2, lon2 FROM {duck('region_edge')} r) e ON {CROSSES}""",
+    "hours_of_day": f"""SELECT event_id, greatest(own, rest, CASE WHEN beyond >= 86400000 THEN 24 ELSE 0 END) <= 8 + 1e-9 AS allowed, CAST((event_id % 40 + event_id % 31) // 24 AS INT) AS day,
+ {r6("CASE WHEN beyond = 0 AND ends < 24 THEN own ELSE rest END")} AS used, CAST((event_id % 40 + event_id % 31) // 24 AS INT) AS rest_day, {r6("CASE WHEN event_id % 2 = event_id % 31 // 24 AND ends < 24 THEN CAST(event_id % 9 AS DOUBLE) ELSE 0.0 END")} AS rest_used FROM
+ (SELECT *, (CASE WHEN event_id % 2 = event_id % 31 // 24 THEN event_id % 9 ELSE 0 END) + least(ends, 24) - event_id % 31 % 24 AS own, (beyond % 86400000) / 3600000.0 AS rest FROM
+  (SELECT event_id, event_id % 31 % 24 + event_id % 40 AS ends, greatest(0, event_id % 31 % 24 + event_id % 40 - 24) * 3600000 AS beyond FROM {FIX} f) a) b""",
     "iso_candidates": f"SELECT request_id, parent_id, heading_idx, {r6('speed')} AS speed, {r6('lat_')} AS lat, {r6('lon_')} AS lon FROM {CANDIDATE} c",
     "iso_frontier": f"""SELECT request_id, sector, parent_id, heading_idx, {r6('lat')} AS lat, {r6('lon')} AS lon FROM
  (SELECT *, row_number() OVER (PARTITION BY request_id, sector, far > 2 ORDER BY left_, parent_id, heading_idx) AS near FROM

@@ -403,6 +403,36 @@ def iso_candidates(of):
     return _candidates(of).select("request_id", "parent_id", "heading_idx", r6(c("speed"), "speed"), r6(c("lat"), "lat"), r6(c("lon"), "lon"))
 
 
+@query
+def step_candidates(of):
+    """One step of a search under a current, a limit of waves, daylight and hours of a day: what its nodes can reach."""
+    nodes = _frontier(of).join(of("fix").select(c("event_id").alias("node_id"), "wave", "t_ms", c("u").alias("cu"), c("v").alias("cv")), "node_id")
+    hour, k = 3_600_000, c("node_id")
+    nodes = nodes.withColumns({
+        "cu": c("cu") / 10, "cv": c("cv") / 10, "step_ms": F.lit(hour).cast("long"), "step": F.lit(0), "departure_ms": c("t_ms"), "passage_ms": c("t_ms") - k % 23 * hour,
+        "day": F.lit(0), "used": (k % 9).cast("double"), "cleared": F.lit(None).cast("boolean"), "until_ms": F.lit(None).cast("long"),
+    })
+    rows = search.stepped(nodes, POLAR, dataclasses.replace(OPTIONS, max_wave_m=3.9, daylight_only=True, max_hours_per_day=8.0))
+    return rows.select("request_id", "parent_id", "heading_idx", r6(c("speed"), "speed"), r6(c("lat"), "lat"), r6(c("lon"), "lon"), r6(c("used"), "used"))
+
+
+@query
+def look_ahead(of):
+    """Points whose way straight to their route's end, 25 miles of it at most, land or a region crosses."""
+    nodes = _frontier(of).select(c("node_id").alias("id"), "lat", "lon", "end_lat", "end_lon")
+    return search.blocked_ahead(nodes, _barriers(of), 25.0).select(c("id").alias("event_id"))
+
+
+@query
+def hours_of_day(of):
+    """A day's hours under way before and after every point's next hours, moving or at rest."""
+    k, hour = c("event_id"), 3_600_000
+    start, end, departure, day, used = c("t_ms"), c("t_ms") + k % 40 * hour, c("t_ms") - k % 31 * hour, (k % 2).cast("int"), (k % 9).cast("double")
+    ok, day1, used1 = legs.underway(start, end, departure, day, used, 8.0)
+    rest_day, rest_used = legs.rested(start, end, departure, day, used)
+    return of("fix").select("event_id", ok.alias("allowed"), day1.alias("day"), r6(used1, "used"), rest_day.alias("rest_day"), r6(rest_used, "rest_used"))
+
+
 @query
 def iso_frontier(of):
     rows = isochrone.canonical_frontier(_candidates(of), OPTIONS)
