@@ -123,7 +123,7 @@ def diverse(points: DataFrame, primary: DataFrame, wanted: int) -> DataFrame:
         apart = left.join(apart, "route_id")
         near = apart if near is None else apart.unionByName(near.select(apart.columns)).groupBy("route_id", "request_id").agg(F.min("separation_nm").alias("separation_nm"))
         near = written(near)
-        best = near.filter(F.col("separation_nm") >= LEAST_SEPARATION_NM).groupBy("request_id").agg(F.max_by(F.struct("route_id", "separation_nm"), F.struct("separation_nm", -F.col("route_id"))).alias("b"))
+        best = near.filter(F.col("separation_nm") >= LEAST_SEPARATION_NM).groupBy("request_id").agg(F.min_by(F.struct("route_id", "separation_nm"), F.struct(-F.col("separation_nm"), "route_id")).alias("b"))
         latest = written(best.select("request_id", F.lit(place).alias("place"), "b.route_id", "b.separation_nm"))
         if latest.isEmpty():
             break
