@@ -357,12 +357,13 @@ def _nodes(window: int):
 _PLACE = 1 << 31
 
 
-def graph(edges: DataFrame) -> DataFrame:
-    """(w1, w2, path, offset) of repeated edges (w1, w2, ref_doc, ref_start, node, next).
+def graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(w1, w2, path, offset) of repeated edges (w1, w2, ref_doc, ref_start, node, next), and the paths' sources (path, base, length, ref_doc, ref_start).
 
     ref_doc and ref_start: where an edge occurs first; node and next: the
     nodes it leaves and enters.  Edges of one path have offsets in order;
-    paths end at nodes that branch.
+    paths end at nodes that branch.  A source is a stretch of a path, from
+    offset base on, that occurs first in one piece.
     """
     place = (F.col("ref_doc").cast("decimal(29,0)") * _PLACE + F.col("ref_start")).cast("decimal(29,0)")
     edges = cut(edges.withColumn("first", place), "graph-repeated")
@@ -391,7 +392,27 @@ def graph(edges: DataFrame) -> DataFrame:
     paths = linked.join(linked.select(F.col("piece").alias("up")), "up", "left_anti").select("piece", F.col("up").alias("path"), F.col("offset").alias("base"))
     begin = F.pmod(F.col("piece"), F.lit(_PLACE)).cast("int")
     offset = (F.coalesce("base", F.lit(0)) + F.col("ref_start") - begin).cast("int")
-    return steps.join(paths, "piece", "left").select("w1", "w2", F.coalesce("path", "piece").alias("path"), offset.alias("offset"))
+    path = F.coalesce("path", "piece").alias("path")
+    sources = pieces.join(paths, "piece", "left").select(
+        path, F.coalesce("base", F.lit(0)).cast("int").alias("base"), F.col("length").cast("int").alias("length"),
+        ((F.col("piece") - F.pmod(F.col("piece"), F.lit(_PLACE))) / _PLACE).cast("long").alias("ref_doc"), begin.alias("ref_start"),
+    )
+    return steps.join(paths, "piece", "left").select("w1", "w2", path, offset.alias("offset")), sources
+
+
+#: Windows of one cell, under which stretches that may overlap meet.
+CELL = 512
+
+
+def _cells(low: str, high: str):
+    return F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL)))
+
+
+def overlaps(one: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Pairs of stretches (key, low, high) and (key, low_, high_) that have places in common, with these: (from, to); each pair once."""
+    met = one.withColumn("_cell", _cells("low", "high")).join(other.withColumn("_cell", _cells("low_", "high_")), [key, "_cell"])
+    met = met.withColumn("from", F.greatest("low", "low_")).withColumn("to", F.least("high", "high_"))
+    return met.filter((F.col("from") <= F.col("to")) & (F.floor(F.col("from") / CELL) == F.col("_cell"))).drop("_cell")
 
 
 def _span_digest(words: list[bytes], at: int, length: int) -> bytes:
@@ -470,24 +491,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = ["w1", "w2", "doc", "at"]
     shape = "w1 long, w2 int, doc long, at int, ref_doc long, ref_start int"
     found = cut(open_.repartition("w1", "w2").sortWithinPartitions(*order).mapInArrow(_occurrences, shape), "graph-occurrences")
-    first = (F.col("doc") == F.col("ref_doc")) & (F.col("at") == F.col("ref_start"))
-    heads = found.filter(first).groupBy("doc").agg(F.collect_set(F.struct("at", "w1", "w2")).alias("edges"))
-    known_edges = graph(edges.select("doc", "packed").join(heads, "doc").select("doc", "packed", "edges").mapInArrow(_nodes(window), "w1 long, w2 int, ref_doc long, ref_start int, node long, next long"))
-    later = found.filter(~first).join(known_edges, ["w1", "w2"])
-    # a run: the same distance to the path's edges and to their first occurrences
-    along = W.partitionBy("doc", "path", "shift", "ref_doc", "ref_shift").orderBy("at")
+    earliest = (F.col("doc") == F.col("ref_doc")) & (F.col("at") == F.col("ref_start"))
+    heads = found.filter(earliest).groupBy("doc").agg(F.collect_set(F.struct("at", "w1", "w2")).alias("edges"))
+    known_edges, sources = graph(edges.select("doc", "packed").join(heads, "doc").select("doc", "packed", "edges").mapInArrow(_nodes(window), "w1 long, w2 int, ref_doc long, ref_start int, node long, next long"))
+    sources = cut(sources, "graph-sources")
+    # a run: consecutive words of a document at the same distance from a path's offsets
+    along = W.partitionBy("doc", "path", "shift").orderBy("at")
     runs = (
-        later.select("doc", "at", "path", (F.col("at") - F.col("offset")).alias("shift"), "ref_doc", (F.col("at") - F.col("ref_start")).alias("ref_shift"))
-        .withColumn("run", F.col("at") - F.row_number().over(along))
-        .groupBy("doc", "path", "shift", "ref_doc", "ref_shift", "run")
+        found.join(known_edges, ["w1", "w2"])
+        .select("doc", "at", "path", (F.col("at") - F.col("offset")).alias("shift"))
+        .withColumn("run", F.col("at") - F.dense_rank().over(along))
+        .groupBy("doc", "path", "shift", "run")
         .agg(F.min("at").alias("start"), F.max("at").alias("end"))
-        .select("doc", "start", "ref_doc", (F.col("start") - F.col("ref_shift")).alias("ref_start"), (F.col("end") - F.col("start") + window).alias("length"))
+        .drop("run")
     )
-    paths = cut(runs.unionByName(sure), "graph-paths")
+    runs = cut(runs, "graph-runs")
     release(found)
+    # windows that their chunk has before lie on the paths of those
+    held = runs.select(F.col("doc").alias("ref_doc"), "path", "shift", F.col("start").alias("low_"), F.col("end").alias("high_"))
+    asking = sure.select("doc", "start", "ref_doc", F.col("ref_start").alias("low"), (F.col("ref_start") + F.col("length") - window).alias("high"))
+    moved = (F.col("start") - F.col("low")).alias("by")
+    copied = overlaps(asking, held, "ref_doc").select("doc", "path", F.col("shift"), "from", "to", moved)
+    copied = copied.select("doc", "path", (F.col("shift") + F.col("by")).alias("shift"), (F.col("from") + F.col("by")).alias("start"), (F.col("to") + F.col("by")).alias("end"))
+    # offsets of paths have sources; a stretch that is its own source stays
+    at = runs.unionByName(copied).select("doc", "path", "shift", (F.col("start") - F.col("shift")).alias("low"), (F.col("end") - F.col("shift")).alias("high"))
+    first = sources.select("path", "base", "ref_doc", F.col("ref_start").alias("begin"), F.col("base").alias("low_"), (F.col("base") + F.col("length") - 1).alias("high_"))
+    paths = overlaps(at, first, "path").select(
+        "doc", (F.col("from") + F.col("shift")).cast("int").alias("start"), "ref_doc", (F.col("from") - F.col("base") + F.col("begin")).cast("int").alias("ref_start"), (F.col("to") - F.col("from") + window).cast("int").alias("length")
+    )
+    paths = cut(paths.filter((F.col("doc") != F.col("ref_doc")) | (F.col("start") != F.col("ref_start"))), "graph-paths")
+    release(runs)
     spans = paths.select("ref_doc", "ref_start", "length").distinct().groupBy("ref_doc").agg(F.collect_list(F.struct("ref_start", "length")).alias("spans"))
-    sources = edges.select(F.col("doc").alias("ref_doc"), "packed").dropDuplicates(["ref_doc"]).join(spans, "ref_doc")
-    digests = sources.select("ref_doc", "packed", "spans").mapInArrow(_source_digests, "ref_doc long, ref_start int, length int, digest binary")
+    texts_of = edges.select(F.col("doc").alias("ref_doc"), "packed").dropDuplicates(["ref_doc"]).join(spans, "ref_doc")
+    digests = texts_of.select("ref_doc", "packed", "spans").mapInArrow(_source_digests, "ref_doc long, ref_start int, length int, digest binary")
     verified = paths.join(digests, ["ref_doc", "ref_start", "length"]).groupBy("doc").agg(F.collect_list(F.struct("start", "length", "digest")).alias("paths"))
     removed = edges.select("doc", "packed").join(verified, "doc").select("doc", "packed", "paths").mapInArrow(_removed, "doc long, n_removed long, kept string")
 

@@ -153,6 +153,13 @@ def test_remove_repeats(docs, rows, empty, chunk, monkeypatch):
     assert debruijn.remove_repeats(empty).count() == 0
 
 
+def test_nothing_is_removed_without_the_graph(docs, rows, monkeypatch):
+    whole = debruijn.graph
+    monkeypatch.setattr(debruijn, "graph", lambda edges: tuple(x.filter("false") for x in whole(edges)))
+    copied = {i for i, t, *_ in rows if t and any(j < i and u and u.split() == t.split() for j, u, *_ in rows)}
+    assert not [r for r in debruijn.remove_repeats(docs).collect() if r.n_removed and r.doc_id not in copied]
+
+
 def plain_paths(edges):
     """Maximal paths of edges (node, next) through nodes with one edge in and one out; rings as they are."""
     out, into = {}, {}
@@ -187,8 +194,11 @@ def test_graph_is_compacted(spark):
             places.setdefault(of(w), []).append((doc, at))
     repeated = {e: ends[e] for e, p in places.items() if len(p) > 1}
     rows = [(e, 0, *min(places[e]), *ends[e]) for e in repeated]
-    got = debruijn.graph(spark.createDataFrame(rows, "w1 long, w2 int, ref_doc long, ref_start int, node long, next long").repartition(3)).collect()
+    known, sources = debruijn.graph(spark.createDataFrame(rows, "w1 long, w2 int, ref_doc long, ref_start int, node long, next long").repartition(3))
+    got = known.collect()
     assert sorted(r.w1 for r in got) == sorted(repeated)
+    where = {(s.path, s.base + k): (s.ref_doc, s.ref_start + k) for s in sources.collect() for k in range(s.length)}
+    assert len(where) == len(got) and all(where[r.path, r.offset] == min(places[r.w1]) for r in got)
     paths, rings = plain_paths(repeated)
     found = {}
     for r in got:
