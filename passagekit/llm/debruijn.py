@@ -307,7 +307,7 @@ def _edges(window: int, k: int):
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, doc, at, ref_doc, ref_start) of windows that occur twice, first ones too: columns w1, w2, doc, at, n, sorted.
+    """(w1, w2, doc, at, first) of windows that occur twice, and whether this is the first place: columns w1, w2, doc, at, n, sorted.
 
     Of a window that goes on from batch to batch only its first row is held.
     """
@@ -327,9 +327,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if goes_on and told:
             out[0] = False
         head = np.repeat(first, sizes)
-        columns = (w1, w2, doc, at, doc[head], at[head])
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c[out], t) for c, t in zip(columns, types, strict=True)], ["w1", "w2", "doc", "at", "ref_doc", "ref_start"])
+        columns = (w1, w2, doc, at, (doc == doc[head]) & (at == at[head]))
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c[out], t) for c, t in zip(columns, types, strict=True)], ["w1", "w2", "doc", "at", "first"])
         held, told = [c[first[-1]] for c in cols], bool(twice[-1])
         held[4] = max(int(held[4]), 1 + told)
 
@@ -489,10 +489,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sure = edges.select("doc", F.inline(F.arrays_zip("start", "ref_doc", "ref_start", "length")))
     open_ = edges.select("doc", F.inline(F.arrays_zip("w1", "w2", "at", "n"))).select("w1", "w2", "doc", "at", "n")
     order = ["w1", "w2", "doc", "at"]
-    shape = "w1 long, w2 int, doc long, at int, ref_doc long, ref_start int"
+    shape = "w1 long, w2 int, doc long, at int, first boolean"
     found = cut(open_.repartition("w1", "w2").sortWithinPartitions(*order).mapInArrow(_occurrences, shape), "graph-occurrences")
-    earliest = (F.col("doc") == F.col("ref_doc")) & (F.col("at") == F.col("ref_start"))
-    heads = found.filter(earliest).groupBy("doc").agg(F.collect_set(F.struct("at", "w1", "w2")).alias("edges"))
+    heads = found.filter("first").groupBy("doc").agg(F.collect_set(F.struct("at", "w1", "w2")).alias("edges"))
     known_edges, sources = graph(edges.select("doc", "packed").join(heads, "doc").select("doc", "packed", "edges").mapInArrow(_nodes(window), "w1 long, w2 int, ref_doc long, ref_start int, node long, next long"))
     sources = cut(sources, "graph-sources")
     # a run: consecutive words of a document at the same distance from a path's offsets

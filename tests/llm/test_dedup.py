@@ -229,7 +229,7 @@ def test_occurrences_in_a_stream():
     groups = {}
     for w1, w2, doc, at, n in rows:
         groups.setdefault((w1, w2), []).append((doc, at, n))
-    want = sorted((*w, doc, at, *g[0][:2]) for w, g in groups.items() if sum(n for *_, n in g) > 1 for doc, at, _ in g)
+    want = sorted((*w, doc, at, (doc, at) == g[0][:2]) for w, g in groups.items() if sum(n for *_, n in g) > 1 for doc, at, _ in g)
     for size in (1, 2, 5, 200):
         out = debruijn._occurrences(iter(table.to_batches(max_chunksize=size)))
         assert sorted(tuple(r.values()) for b in out for r in b.to_pylist()) == want
