@@ -68,18 +68,33 @@ def edges_near(points: DataFrame, edges: DataFrame, nominal_nm: float) -> DataFr
     return met.filter(within("lat", "lat", "_up") & within("lon", "lon", "_over")).groupBy("id").agg(F.collect_set(item).alias("near"))
 
 
-def shore_in_row(near: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    """Least distance of the segment ab, of (latitude, longitude), to the coasts of ``near``, on its own plane; none near: null."""
-    middle = (a[0] + b[0]) / 2
-    xy = lambda lat, lon: local_xy(lat, lon, middle, a[1])
-    p, q = xy(*a), xy(b[0], a[1] + half_turn(b[1] - a[1]))
+def with_shore(rows: DataFrame, a: tuple[str, str], b: tuple[str, str], name: str) -> DataFrame:
+    """``rows`` with the least distance of the segment between columns a and b (latitude, longitude) to the coasts of their list ``near``; none: null.
+
+    On the segment's own plane, as ``shore_distances``; every stage is
+    computed once, since each is used many times by the next.
+    """
+    from passagekit.operators.isochrone import _barrier
+
+    c = F.col
+    xy = lambda lat, lon: local_xy(lat, lon, (c(a[0]) + c(b[0])) / 2, c(a[1]))
+    (px, py), (qx, qy) = xy(c(a[0]), c(a[1])), xy(c(b[0]), c(a[1]) + half_turn(c(b[1]) - c(a[1])))
+    rows = _barrier(rows, rows.columns, {"_px": px, "_py": py, "_qx": qx, "_qy": qy})
+
+    def flat(e: Column) -> Column:
+        (cx, cy), (dx, dy) = xy(e["e_lat1"], e["e_lon1"]), xy(e["e_lat2"], e["e_lon2"])
+        return F.struct(cx.alias("cx"), cy.alias("cy"), dx.alias("dx"), dy.alias("dy"))
+
+    rows = _barrier(rows, rows.columns, {"_flat": F.transform(F.filter("near", lambda e: ~e["region"]), flat)})
+    p, q = (c("_px"), c("_py")), (c("_qx"), c("_qy"))
 
     def gap(e: Column) -> Column:
-        c, d = xy(e["e_lat1"], e["e_lon1"]), xy(e["e_lat2"], e["e_lon2"])
-        apart = F.least(_point_to_segment(*p, *c, *d), _point_to_segment(*q, *c, *d), _point_to_segment(*c, *p, *q), _point_to_segment(*d, *p, *q))
-        return F.when(_touch(p, q, c, d), 0.0).otherwise(F.sqrt(apart))
+        one, two = (e["cx"], e["cy"]), (e["dx"], e["dy"])
+        apart = F.least(_point_to_segment(*p, *one, *two), _point_to_segment(*q, *one, *two), _point_to_segment(*one, *p, *q), _point_to_segment(*two, *p, *q))
+        return F.when(_touch(p, q, one, two), 0.0).otherwise(F.sqrt(apart))
 
-    return F.array_min(F.transform(F.filter(near, lambda e: ~e["region"]), gap))
+    rows = _barrier(rows, rows.columns, {name: F.array_min(F.transform("_flat", gap))})
+    return rows.drop("_px", "_py", "_qx", "_qy", "_flat")
 
 
 def _as_edges(edges: DataFrame) -> DataFrame:
