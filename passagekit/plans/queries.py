@@ -517,15 +517,6 @@ def isochrone_route(of):
     return rows.select("request_id", "seq", "t_ms", *kept, "propulsion", "path", "reason")
 
 
-@query
-def passage_days(of):
-    """The same under way in daylight only, six hours a day at most, with a motor in light wind and two miles off the coast where there is room."""
-    options = dataclasses.replace(SEARCH_OPTIONS, daylight_only=True, max_hours_per_day=6.0, motor_kn=5.0, motor_below_kn=2.0, minimum_shore_nm=2.0)
-    nodes, ends, stopped = _searched(of, options)
-    rows = search.backtrack(nodes, ends).withColumn("arrived", F.lit(True)).unionByName(search.backtrack(nodes, stopped).withColumn("arrived", F.lit(False)))
-    return rows.select("request_id", "seq", "t_ms", r6(c("lat"), "lat"), r6(c("lon"), "lon"), "propulsion", "cleared", "arrived")
-
-
 def _several(of) -> DataFrame:
     """Up to three routes of every voyage out of one search, with the weather at their points."""
     nodes, ends, _ = _searched(of, dataclasses.replace(SEARCH_OPTIONS, alternatives=3))

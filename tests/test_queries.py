@@ -38,8 +38,8 @@ def test_matches_sql(spark, duck, name):
                 assert abs(float(x[1]) - float(y[1])) < 2e-4
 
 
-#: Whole searches: test_isochrone_route runs one, test_search_constraints the limits and alternatives of the others.
-SEARCHES = {"isochrone_route", "passage_days", "searched_quality"}
+#: Whole searches: test_isochrone_route runs one, test_search_constraints the limits and the alternatives.
+SEARCHES = {"isochrone_route", "searched_quality"}
 
 
 def test_unchecked_queries_run(spark):
