@@ -436,6 +436,26 @@ walk AS (SELECT route_id, seq, CAST({BASE_MS} AS DOUBLE) AS t FROM f WHERE seq =
  SELECT route_id, seq + 1, t + nm / greatest(0.3, 6 + ((u / 10 + k / 10) * sin(radians(course)) + (v / 10 - k / 20) * cos(radians(course))) * 1.94384) * 3600000 FROM
   (SELECT w.route_id, w.seq, t, nm, course, u, v, CASE WHEN t - {BASE_MS} <= 0 THEN 0 ELSE least(5, ceil((t - {BASE_MS}) / 21600000 - 0.5)) END AS k FROM walk w JOIN f ON w.route_id = f.route_id AND w.seq = f.seq WHERE nm IS NOT NULL) x)
 SELECT route_id, seq, {r6(f'(t - {BASE_MS}) / 3.6e6')} AS hours FROM walk""",
+    "motor_limits": f"""WITH m AS (SELECT event_id AS id, route_id, seq, lat, lon, coalesce(sum(leg_nm) OVER (PARTITION BY route_id ORDER BY seq), 0) / 6 + 48 AS hours FROM {LEG} g),
+a AS (SELECT *, {BASE_MS} + CAST(floor(hours * 60) AS BIGINT) * 60000 AS t_ms FROM m),
+f AS (SELECT a.id, a.lat, a.lon, t_ms, min_by(w.path, rank) AS path FROM a JOIN {RANKED} w ON w.type = 'wind' AND a.lat BETWEEN lat_min AND lat_max AND a.lon BETWEEN lon_min AND lon_max AND t_ms BETWEEN start_ms AND end_ms GROUP BY ALL),
+n AS (SELECT f.id, f.path, f.lat, f.lon, min_by(frame, (abs(valid_ms - t_ms), valid_ms)) AS frame FROM f JOIN {VALID} v ON f.path = v.path GROUP BY ALL),
+x AS (SELECT id, sqrt(pow(sum(weight * u), 2) + pow(sum(weight * v), 2)) * 1.94384 AS tws,
+ sum(weight * swh) FILTER (WHERE swh >= 0 AND swh < 100) / nullif(sum(weight) FILTER (WHERE swh >= 0 AND swh < 100), 0) AS wave
+ FROM {corners('n')} k JOIN {CELL} c ON k.path = c.path AND k.frame = c.frame AND k.i = c.i AND k.j = c.j GROUP BY id),
+r AS (SELECT m.*, tws, wave, CASE WHEN x.id IS NULL THEN 'grib_exhausted' WHEN tws > 16 OR wave > 3.4 THEN 'wind' END AS fault FROM m LEFT JOIN x ON m.id = x.id)
+SELECT route_id, seq, {r6('hours')} AS hours, {r6('tws')} AS tws, {r6('wave')} AS wave,
+ min_by(fault, seq) FILTER (WHERE fault IS NOT NULL) OVER (PARTITION BY route_id) AS reason, min(seq) FILTER (WHERE fault IS NOT NULL) OVER (PARTITION BY route_id) AS stopped_seq FROM r""",
+    "depth_files": f"SELECT id AS event_id, {r6('depth_m')} AS depth_m FROM {LEAST_DEPTH} d",
+    "coast_files": f"""SELECT poly_id, ring_id, round(least(p, q).lat, 6) AS lat_a, round(least(p, q).lon, 6) AS lon_a, round(greatest(p, q).lat, 6) AS lat_b, round(greatest(p, q).lon, 6) AS lon_b
+FROM (SELECT poly_id, ring_id, {{'lat': lat1, 'lon': lon1}} AS p, {{'lat': lat2, 'lon': lon2}} AS q FROM {EDGE} e) x""",
+    "polar_files": """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 17 AS f, s_name FROM supplier),
+r AS (SELECT *, CASE WHEN f = 16 THEN 'settings-unreadable' WHEN f = 12 THEN 'disabled' WHEN f = 13 THEN 'no-configuration' WHEN f = 15 THEN 'no-active-polar' WHEN f = 14 THEN 'invalid-id'
+ WHEN f = 4 THEN 'no-resource' WHEN f = 11 THEN 'unreadable' WHEN f = 1 THEN 'kind' WHEN f = 2 THEN 'units' WHEN f = 3 THEN 'symmetry' WHEN f = 8 THEN 'axes' WHEN f IN (5, 6, 7) THEN 'axis-order' WHEN f IN (9, 10) THEN 'matrix' END AS reason FROM s),
+g AS (SELECT k, i, j, (CASE i WHEN 0 THEN 2 + k % 3 WHEN 1 THEN 6 ELSE 10 END) * 1.9438444924406e0 AS tws, degrees(CASE j WHEN 0 THEN 0.5e0 ELSE 3.0e0 END) AS twa,
+ (k * 3 + i * 5 + j * 7) % 11 / 2.0e0 * 1.9438444924406e0 * CASE WHEN k % 3 = 1 THEN 0.9e0 ELSE 1.0e0 END AS speed FROM s, range(3) a(i), range(2) b(j))
+SELECT r.k AS vessel, CASE WHEN reason IS NULL THEN CASE WHEN r.k % 2 = 0 THEN s_name ELSE 'polar-' || r.k END END AS name, reason,
+ round(tws, 6) + 0.0 AS tws, round(twa, 6) + 0.0 AS twa, round(speed, 6) + 0.0 AS speed FROM r LEFT JOIN g ON r.k = g.k AND reason IS NULL""",
     "wave_grid": f"""WITH {GRID_NEAR}
 SELECT floor(n.lat * 10000 + 0.5) / 10000 AS lat, floor(n.lon * 10000 + 0.5) / 10000 AS lon,
  floor(sum(weight * swh) FILTER (WHERE swh >= 0 AND swh < 100) / nullif(sum(weight) FILTER (WHERE swh >= 0 AND swh < 100), 0) * 1000 + 0.5) / 1000 AS wave

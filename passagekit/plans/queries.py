@@ -5,6 +5,8 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from passagekit.functions.numbers import half_up
 from passagekit.operators import alternatives, corridor, depth, forecast, isochrone, legs, quality, requests, safety, search, spatial
 from passagekit.operators.scratch import written
 from passagekit.plans.bindings import BASE_MS, POLAR, view
+from passagekit.sources import geotiff, polars, shapefile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: 2024-01-05 00:00 UTC, the time of overlays and scopes.
@@ -666,6 +669,103 @@ def motor_walk(of):
     return rows.select("route_id", "seq", r6((c("t_ms") - BASE_MS) / 3.6e6, "hours"))
 
 
+@query
+def motor_limits(of):
+    """Routes motored from the forecast's third day on, and the first point where cover, wind or wave stop them."""
+    fix = of("fix")
+    still = fix.select("route_id", "seq", F.lit(BASE_MS).alias("valid_ms"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
+    start = F.lit(BASE_MS + 2 * 86_400_000)
+    walked = written(corridor.motor_walk(fix.select("route_id", "seq", "lat", "lon", start.alias("t_ms")), still, 6.0))
+    spots_ = fix.select("route_id", "seq", "event_id", "lat", "lon").join(walked, ["route_id", "seq"])
+    spots_ = spots_.select("route_id", "seq", c("event_id").alias("id"), "lat", "lon", F.floor(c("t_ms") / 60_000).cast("long").alias("minute"))
+    at = written(forecast.placed(spots_.select("id", "lat", "lon", (c("minute") * 60_000).alias("t_ms")), files(of)))
+    wanted = at.filter("path is not null").select("path", "frame").distinct()
+    values = written(cells(of, "wind", wanted))
+    known = at.filter("path is not null")
+    wind = forecast.bilinear(known, values, ["u", "v"]).select("id", geo.wind_speed_kn(c("u"), c("v")).alias("tws"))
+    wave = forecast.bilinear_masked(known, values, "swh").withColumnRenamed("swh", "wave")
+    found = spots_.select("route_id", "seq", "id").join(at.select("id", c("path").isNotNull().alias("covered")), "id").join(wind, "id", "left").join(wave, "id", "left")
+    rows = corridor.motor_route(walked, found.drop("id"), 16.0, 3.4)
+    return rows.select("route_id", "seq", r6((c("t_ms") - BASE_MS) / 3.6e6, "hours"), r6(c("tws"), "tws"), r6(c("wave"), "wave"), "reason", "stopped_seq")
+
+
+def _row_files(cells_: DataFrame) -> DataFrame:
+    """(path, content): the raster's pixels as GeoTIFF files of ten rows each, 100 pixels wide."""
+
+    def file(frame):
+        low = int(frame.y.min()) // 10 * 10
+        values = np.full((10, 100), -9999.0)
+        values[9 - (frame.y - low), frame.x] = frame.raw
+        return pd.DataFrame({"path": [f"depth-{low}.tif"], "content": [geotiff.encode(values, RASTER.lon0, RASTER.lat0 + (low + 10) * RASTER.size, RASTER.size, nodata=-9999.0, rows=4)]})
+
+    return cells_.groupBy(F.floor(c("y") / 10)).applyInPandas(file, "path string, content binary")
+
+
+@query
+def depth_files(of):
+    """Least depths of legs from raster files, of which only the blocks that a leg meets are unpacked."""
+    found = written(geotiff.blocks(_row_files(of("depth_cell"))))
+    grid = dataclasses.replace(RASTER, nodata=None)
+    ways = segments(of)
+    pixels = geotiff.cells(found, grid, depth.cells_on_segments(ways, grid).select("x", "y"))
+    return depth.least_depth(ways, pixels, grid).select(c("id").alias("event_id"), r6(c("depth_m"), "depth_m"))
+
+
+def _shape_files(edges_: DataFrame) -> DataFrame:
+    """(path, content): polygons of edges as shapefiles, every fifth polygon in one; land clockwise, holes not."""
+
+    def file(frame):
+        shapes = []
+        for number, own in frame.groupby("poly_id"):
+            rings = [np.vstack([g.sort_values("idx")[["lon1", "lat1"]].to_numpy()] * 2)[: len(g) + 1] for _, g in own.groupby("ring_id")]
+            shapes.append((int(number) + 1, [r if (shapefile.area(r) < 0) == (k == 0) else r[::-1] for k, r in enumerate(rings)]))
+        return pd.DataFrame({"path": [f"coast-{int(frame.poly_id.iloc[0]) % 5}.shp"], "content": [shapefile.encode(shapes)]})
+
+    return edges_.groupBy(c("poly_id") % 5).applyInPandas(file, "path string, content binary")
+
+
+@query
+def coast_files(of):
+    """Edges of coasts that were shapefiles, without their direction."""
+    rows = shapefile.edges(shapefile.shapes(_shape_files(of("edge"))))
+    a, b = (F.struct(F.round(c(f"lat{k}"), 6).alias("lat"), F.round(c(f"lon{k}"), 6).alias("lon")) for k in (1, 2))
+    ends = rows.select((F.split("poly_id", ":")[1].cast("long") - 1).alias("poly_id"), "ring_id", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return ends.select("poly_id", "ring_id", *[c(f"{p}.{x}").alias(f"{x}_{p}") for p in "ab" for x in ("lat", "lon")])
+
+
+def _polar_files(of) -> tuple[DataFrame, DataFrame]:
+    """Settings of suppliers' vessels and the resources that they name, with one fault in most."""
+    k = c("s_suppkey")
+    number = lambda x: x.cast("double")
+    tws = F.when(k % 17 == 5, F.array(*[F.lit(x) for x in (4.0, 3.0, 8.0)])).when(k % 17 == 6, F.array(F.lit(-1.0), F.lit(3.0), F.lit(8.0))).otherwise(F.array(number(2 + k % 3), F.lit(6.0), F.lit(10.0)))
+    twa = F.when(k % 17 == 7, F.array(F.lit(0.5), F.lit(3.2))).when(k % 17 == 8, F.array().cast("array<double>")).otherwise(F.array(F.lit(0.5), F.lit(3.0)))
+    speed = lambda i, j: number((k * 3 + i * 5 + j * 7) % 11) / 2 - F.when(k % 17 == 9, 20.0).otherwise(0.0)
+    lines = F.when(k % 17 == 10, F.array(F.array(speed(0, 0), speed(0, 1)))).otherwise(F.array(*[F.array(speed(i, 0), speed(i, 1)) for i in range(3)]))
+    made = F.to_json(F.struct(
+        F.when(k % 17 == 1, "table").otherwise("polarTable").alias("kind"), F.when(k % 2 == 0, c("s_name")).otherwise(" ").alias("name"),
+        F.struct(F.when(k % 17 == 2, "kn").otherwise("m/s").alias("tws"), F.lit("rad").alias("twa"), F.lit("m/s").alias("boatSpeed")).alias("units"),
+        F.struct((k % 17 != 3).alias("portStarboardSymmetric")).alias("symmetry"), F.struct(tws.alias("tws"), twa.alias("twa")).alias("axes"),
+        F.struct(lines.alias("boatSpeedMatrix")).alias("values"),
+    ))
+    name = F.concat(F.lit("polar-"), k.cast("string"))
+    rows = of("supplier")
+    resources = rows.filter(k % 17 != 4).select(name.alias("polar_id"), F.when(k % 17 == 11, F.substring(made, 1, 20)).otherwise(made).alias("resource"))
+    settings = F.to_json(F.struct(
+        (k % 17 != 12).alias("enabled"),
+        F.when(k % 17 != 13, F.struct(F.when(k % 17 == 14, F.concat(F.lit("../"), name)).when(k % 17 != 15, name).alias("activePolar"), F.when(k % 3 == 1, "0.9").when(k % 3 == 2, "-2").alias("perfAdjust"))).alias("configuration"),
+    ))
+    return rows.select(k.alias("vessel"), F.when(k % 17 == 16, "{").otherwise(settings).alias("settings")), resources
+
+
+@query
+def polar_files(of):
+    """Cells of the polars that vessels' settings name, or why there is none."""
+    found = polars.loaded(*_polar_files(of))
+    good = polar.normalise(found.filter("reason is null").select(c("vessel").alias("polar_id"), "adjustment", "tws_ms", "twa_rad", "matrix"))
+    rows = found.select("vessel", F.when(c("reason").isNull(), c("name")).alias("name"), "reason").join(good.withColumnRenamed("polar_id", "vessel"), "vessel", "left")
+    return rows.select("vessel", "name", "reason", r6(c("tws"), "tws"), r6(c("twa"), "twa"), r6(c("speed"), "speed"))
+
+
 @query
 def corridor_path(of):
     """From each route's first point to its last, around land and regions."""
