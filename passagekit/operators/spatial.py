@@ -261,7 +261,7 @@ def route_boxes(points: DataFrame) -> DataFrame:
 
 
 def polygons_in_box(edges: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> DataFrame:
-    """(poly_id) of polygons whose box has a one-degree cell in common with the box, and overlaps it."""
+    """(poly_id) of polygons whose box overlaps the box; one pass over the edges, summed before they are shuffled."""
     box = edges.groupBy("poly_id").agg(
         F.min(F.least("lat1", "lat2")).alias("a"), F.max(F.greatest("lat1", "lat2")).alias("b"), F.min(F.least("lon1", "lon2")).alias("c"), F.max(F.greatest("lon1", "lon2")).alias("d")
     )

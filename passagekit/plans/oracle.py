@@ -436,6 +436,12 @@ walk AS (SELECT route_id, seq, CAST({BASE_MS} AS DOUBLE) AS t FROM f WHERE seq =
  SELECT route_id, seq + 1, t + nm / greatest(0.3, 6 + ((u / 10 + k / 10) * sin(radians(course)) + (v / 10 - k / 20) * cos(radians(course))) * 1.94384) * 3600000 FROM
   (SELECT w.route_id, w.seq, t, nm, course, u, v, CASE WHEN t - {BASE_MS} <= 0 THEN 0 ELSE least(5, ceil((t - {BASE_MS}) / 21600000 - 0.5)) END AS k FROM walk w JOIN f ON w.route_id = f.route_id AND w.seq = f.seq WHERE nm IS NOT NULL) x)
 SELECT route_id, seq, {r6(f'(t - {BASE_MS}) / 3.6e6')} AS hours FROM walk""",
+    "usable_files": f"""SELECT CASE WHEN seq % 5 = 0 THEN 'auto-' || path ELSE path END AS path, type, end_ms FROM {FILE} f
+WHERE end_ms >= {NOW} AND (seq % 5 = 0 OR (seq % 3 = 0 AND seq < 30))""",
+    "lane_candidates": f"""WITH a AS (SELECT route_id, seq % 12 AS step, event_id, lat, lon FROM {FIX} f),
+g AS (SELECT a.route_id, a.step, a.event_id, b.event_id AS lane, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS gap FROM a LEFT JOIN a b ON a.route_id = b.route_id AND a.step = b.step AND b.event_id % 3 = 0),
+n AS (SELECT route_id, step, event_id, min(gap) AS gap, min_by(lane, (gap, lane)) AS lane FROM g GROUP BY ALL)
+SELECT route_id AS request_id, step, event_id, coalesce(lane, 0) AS lane FROM n WHERE event_id % 7 = 0 OR gap IS NULL OR gap <= 3""",
     "motor_limits": f"""WITH m AS (SELECT event_id AS id, route_id, seq, lat, lon, coalesce(sum(leg_nm) OVER (PARTITION BY route_id ORDER BY seq), 0) / 6 + 48 AS hours FROM {LEG} g),
 a AS (SELECT *, {BASE_MS} + CAST(floor(hours * 60) AS BIGINT) * 60000 AS t_ms FROM m),
 f AS (SELECT a.id, a.lat, a.lon, t_ms, min_by(w.path, rank) AS path FROM a JOIN {RANKED} w ON w.type = 'wind' AND a.lat BETWEEN lat_min AND lat_max AND a.lon BETWEEN lon_min AND lon_max AND t_ms BETWEEN start_ms AND end_ms GROUP BY ALL),

@@ -669,6 +669,22 @@ def motor_walk(of):
     return rows.select("route_id", "seq", r6((c("t_ms") - BASE_MS) / 3.6e6, "hours"))
 
 
+@query
+def usable_files(of):
+    """Files that reach each customer's departure and are enabled: every third one of the first 30, and those the engine fetched."""
+    named = of("forecast_file").withColumn("path", F.when(c("seq") % 5 == 0, F.concat(F.lit("auto-"), c("path"))).otherwise(c("path")))
+    return requests.usable(named, NOW_MS, [f"file-{k}" for k in range(0, 30, 3)]).select("path", "type", "end_ms")
+
+
+@query
+def lane_candidates(of):
+    """Candidates within three miles of the nearest anchor of their step: points of the routes of other numbers."""
+    at = of("fix").select(c("route_id").alias("request_id"), F.lit(3_600_000).cast("long").alias("step_ms"), (c("seq") % 12).alias("step"), c("event_id").alias("parent_id"), F.lit(0).alias("heading_idx"), "lat", "lon")
+    anchors = at.filter(c("parent_id") % 3 == 0).select("request_id", "step", c("parent_id").alias("lane"), "lat", "lon")
+    rows = search.lanes_within(at.withColumn("blocked", c("parent_id") % 7 == 0), anchors, 3.0)
+    return rows.select("request_id", "step", c("parent_id").alias("event_id"), "lane")
+
+
 @query
 def motor_limits(of):
     """Routes motored from the forecast's third day on, and the first point where cover, wind or wave stop them."""

@@ -25,33 +25,57 @@ def passages(fixes: DataFrame, gap: str = "6 hours", late: str = "12 hours") ->
     return rows.select("session_window.start", "session_window.end", "route_id", "n")
 
 
-STATE = "departure long, last long, day long, hours double"
-OUT = "route_id long, t_ms long, day long, hours_today double, allowed boolean"
+STATE = "departure long, last long, day long, hours double, late long"
+OUT = "route_id long, t_ms long, day long, hours_today double, allowed boolean, closed boolean, late long"
 
 
-def _budget(max_hours: float):
+def _budget(max_hours: float, quiet_ms: int | None):
+    within = lambda hours: not 0 < max_hours < hours - 1e-9
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        departure, last, day, hours = state.get if state.exists else (None, None, 0, 0.0)
+        departure, last, day, hours, late = state.get if state.exists else (None, None, 0, 0.0, 0)
         out = []
-        for frame in frames:
-            for t, speed in frame.sort_values("t_ms")[["t_ms", "speed"]].itertuples(index=False):
-                if departure is None:
-                    departure = last = int(t)
-                while last < t:
-                    edge = min(int(t), departure + (day + 1) * DAY_MS)
-                    hours += (edge - last) / HOUR_MS if speed and speed > 0 else 0.0
-                    last = edge
-                    if last == departure + (day + 1) * DAY_MS:
-                        done, day, hours = hours, day + 1, 0.0
-                        if 0 < max_hours < done - 1e-9:
-                            out.append((key[0], last, day - 1, done, False))
-                out.append((key[0], int(t), day, hours, not 0 < max_hours < hours - 1e-9))
-        state.update((departure, last, day, hours))
-        yield pd.DataFrame(out, columns=["route_id", "t_ms", "day", "hours_today", "allowed"])
+        if state.hasTimedOut:
+            out.append((key[0], last, day, hours, within(hours), True, late))
+            state.remove()
+        else:
+            for frame in frames:
+                for t, speed in frame.sort_values("t_ms")[["t_ms", "speed"]].itertuples(index=False):
+                    if departure is None:
+                        departure = last = int(t)
+                    if t < last:
+                        late += 1
+                        continue
+                    while last < t:
+                        edge = min(int(t), departure + (day + 1) * DAY_MS)
+                        hours += (edge - last) / HOUR_MS if speed and speed > 0 else 0.0
+                        last = edge
+                        if last == departure + (day + 1) * DAY_MS:
+                            done, day, hours = hours, day + 1, 0.0
+                            if not within(done):
+                                out.append((key[0], last, day - 1, done, False, False, late))
+                    out.append((key[0], int(t), day, hours, within(hours), False, late))
+            if departure is not None:
+                state.update((departure, last, day, hours, late))
+                if quiet_ms is not None:
+                    state.setTimeoutTimestamp(max(last + quiet_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[part.split()[0] for part in OUT.split(", ")])
 
     return run
 
 
-def day_budget(fixes: DataFrame, max_hours: float) -> DataFrame:
-    """Hours underway of each passage day as fixes (route_id, t_ms, speed) arrive; the state of a route is four numbers."""
-    return fixes.groupBy("route_id").applyInPandasWithState(_budget(max_hours), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def day_budget(fixes: DataFrame, max_hours: float, quiet_hours: float | None = None, late: str = "2 hours") -> DataFrame:
+    """Hours underway of each passage day as fixes (route_id, t_ms, speed) arrive; the state of a route is five numbers.
+
+    With ``quiet_hours``, a route without a fix for so long gets a last row, ``closed``, for the day that it was
+    in, and its state goes: a later fix is the departure of a new passage.  That goes by event time: fixes that
+    come more than ``late`` behind the newest ones are left out.  Fixes older than a route's last one change
+    nothing and are counted in ``late``.  Fixes without a time are left out.
+    """
+    fixes = fixes.filter("t_ms is not null")
+    timeout = GroupStateTimeout.NoTimeout
+    if quiet_hours is not None:
+        fixes = fixes.select("route_id", "t_ms", "speed", F.timestamp_millis("t_ms").alias("_at")).withWatermark("_at", late)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    run = _budget(max_hours, None if quiet_hours is None else round(quiet_hours * HOUR_MS))
+    return fixes.groupBy("route_id").applyInPandasWithState(run, OUT, STATE, "append", timeout)

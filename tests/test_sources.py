@@ -157,6 +157,18 @@ def test_live_budget(spark, tmp_path):
     assert [(r.day, r.hours_today, r.allowed) for r in sorted(got, key=lambda r: (r.t_ms, r.day))] == [(0, 0, True), (0, 5, False), (0, 5, False), (0, 6, False), (1, 2, True)]
 
 
+def test_silent_route_closes_its_day(spark, tmp_path):
+    """A route without fixes for two days gets a closing row and begins anew; old fixes are counted and change nothing."""
+    shape = "route_id long, t_ms long, speed double"
+    day = [(7, T0, 5.0), (7, T0 + 5 * HOUR, 5.0), (8, T0, 5.0), (8, None, 5.0)]
+    second = [(7, T0 + 4 * HOUR, 5.0), (7, T0 + 6 * HOUR, 5.0), (8, T0 + 80 * HOUR, 0.0)]
+    frames = [spark.createDataFrame(x, shape).coalesce(1) for x in (day, second, [(8, T0 + 81 * HOUR, 0.0)], [(7, T0 + 82 * HOUR, 5.0), (7, T0 + 83 * HOUR, 5.0)])]
+    got = sorted(streamed(spark, frames, tmp_path, lambda s: live.day_budget(s, 5.5, quiet_hours=48.0)), key=lambda r: (r.route_id, r.t_ms, r.closed))
+    seven = [(round((r.t_ms - T0) / HOUR), r.day, r.hours_today, r.allowed, r.closed, r.late) for r in got if r.route_id == 7]
+    assert seven == [(0, 0, 0, True, False, 0), (5, 0, 5, True, False, 0), (6, 0, 6, False, False, 1), (6, 0, 6, False, True, 1), (82, 0, 0, True, False, 0), (83, 0, 1, True, False, 0)]
+    assert not any(r.closed for r in got if r.route_id == 8)
+
+
 def test_corridor_goes_round_land(spark):
     wall = edges(spark, ring([(10.1, 49.93), (10.12, 49.93), (10.12, 50.07), (10.1, 50.07)]))
     line = "request_id long, start_lat double, start_lon double, end_lat double, end_lon double"
