@@ -6,13 +6,16 @@ fingerprints differ in ten bits on average), so the rest is found by prefixes:
 two sets that are similar enough share a shingle among the first few of each
 in any fixed order, so documents meet by those alone.  The order puts rare
 shingles first, by a counting sketch of fixed size, which changes the work and
-not the result.  In a group that shares a shingle a few pivots a round meet
-all members of other components and retire, until the rest is one component:
-a large group of near copies costs about a row a member.
-
-A pair is tested by counts first: both sets' shingles counted in a few cells
-of the hash range bound what they can have in common, so unlike pairs end
-there, and whole sets are compared for the others alone.
+not the result.  Shingles of the same documents are one group.  In a group a
+few pivots a round meet all members of other components and retire, until the
+rest is one component: a large group of near copies costs about a row a member.
+
+Unlike pairs end inside the join where they meet, before they are rows: every
+set has a bit map of about its own size in which each shingle flips one bit,
+and bits that differ are shingles that differ.  A pair is tested only in the
+first group that both are in.  Then both sets' shingles counted in a few cells
+of the hash range bound what they can have in common, and whole sets are
+compared for the rest alone.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, keyed, place, release, row_of
+from .common import ROW, cut, keyed, likely, place, release
 from .components import components
 from .simhash import majority, near_links, signed
 
@@ -35,8 +39,10 @@ SHINGLE, TENTHS = 5, 8
 COUNTERS = 1 << 18
 #: Shingles that a cell of a set's counts holds on average, at most, and the fewest cells.
 CELL, LEAST_CELLS = 8, 32
-#: Components of a group that meet all others in the first round; four times as many in each next one.
-PIVOTS = 4
+#: Components of a group that meet all others in the first round, and how many times as many in each next one.
+PIVOTS, GROWTH = 4, 16
+#: 64-bit words of a set's bit map, at most: longer maps would only spare longer sets their cell counts.
+MOST_WORDS = 64
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -66,6 +72,17 @@ def cell_counts(hashes: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
+def map_words(n: int) -> int:
+    """Words of the bit map of ``n`` shingles: a power of two, with one to two bits a shingle up to ``MOST_WORDS``."""
+    return min(1 << max(0, (n - 1) >> 6).bit_length(), MOST_WORDS)
+
+
+def bit_map(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Bits that an odd number of the hashes fall on: where two maps differ, one set has a hash that the other lacks."""
+    odd = np.bincount(hashes & (64 * words - 1), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _counts(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -81,7 +98,7 @@ def _counts(shingle: int):
 def _prepared(shingle: int, tenths: int, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, prints, sizes, cells, firsts = [], [], [], [], []
+            digests, prints, sizes, cells, firsts, maps, wides = [], [], [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingles(text.as_py(), shingle)
                 n = len(hashes)
@@ -91,8 +108,11 @@ def _prepared(shingle: int, tenths: int, level: np.ndarray):
                 sizes.append(n)
                 cells.append(cell_counts(hashes))
                 firsts.append(hashes[order[: n + (-n * tenths // 10) + 1 if n else 0]])
-            columns = [pa.array(digests, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "print", "size", "cells", "prefix"])
+                words, wider = map_words(n), map_words(10 * n // tenths)
+                maps.append(bit_map(hashes, words))
+                wides.append(bit_map(hashes, wider) if wider > words else None)  # for the larger sets that it can be alike
+            columns = [pa.array(digests, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (firsts, maps, wides))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "print", "size", "cells", "prefix", "map", "wide"])
 
     return run
 
@@ -139,7 +159,7 @@ class _Test:
     """Tests of pairs of digests (a, b): by cell counts, then by whole sets."""
 
     def __init__(self, rows: DataFrame, own: DataFrame, shingle: int, tenths: int):
-        self.rows, self.shingle, self.tenths, self.failed, self.links = rows, shingle, tenths, [], []
+        self.rows, self.shingle, self.tenths, self.links = rows, shingle, tenths, []
         self.own = own.select("doc_id", "digest")
         self.about = own.select("digest", "size", "cells").dropDuplicates(["digest"])
 
@@ -148,24 +168,20 @@ class _Test:
         side = lambda c, n, x: self.about.select(F.col("digest").alias(c), F.col("size").alias(n), F.col("cells").alias(x))
         met = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
         met = met.mapInArrow(_possible(self.tenths), "a long, b long")
-        for table in self.failed + self.links:
-            met = met.join(table, ["a", "b"], "left_anti")
         met = cut(met, "possible")
         wanted = cut(met.select(F.col("a").alias("digest")).unionByName(met.select(F.col("b").alias("digest"))).distinct(), "wanted")
         if wanted.isEmpty():
             return False
         one = self.own.join(wanted, "digest").groupBy("digest").agg(F.min("doc_id").alias("id"))
         ids = cut(one, "wanted-ids")
-        texts = self.rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+        texts = likely(self.rows, "doc_id", ids.select(F.col("id").alias("doc_id"))).filter("_likely").drop("_likely").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
         stored = cut(texts.mapInArrow(_sets(self.shingle), "digest long, hashes array<long>"), "sets")
         sets = stored.dropDuplicates(["digest"])
         left, right = (sets.select(F.col("digest").alias(c), F.col("hashes").alias(x)) for c, x in (("a", "x"), ("b", "y")))
         both = met.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
-        tested = cut(both.select("a", "b", ((10 + self.tenths) * F.col("common") >= self.tenths * (F.col("n") + F.col("m"))).alias("similar")), "tested")
+        links = cut(both.filter((10 + self.tenths) * F.col("common") >= self.tenths * (F.col("n") + F.col("m"))).select("a", "b"), "similar")
         for table in (met, wanted, ids, stored):
             release(table)
-        self.failed.append(tested.filter("not similar").select("a", "b"))
-        links = tested.filter("similar").select("a", "b")
         if links.isEmpty():
             return False
         self.links.append(links)
@@ -189,7 +205,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = rows.mapInArrow(_counts(shingle), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     level = np.zeros(COUNTERS, np.int8)  # COUNTERS numbers at most, whatever the data
     level[counted["counter"].to_numpy()] = np.log2(counted["n"].to_numpy()).astype(np.int8)
-    shape = "doc_id long, digest long, print long, size int, cells binary, prefix array<long>"
+    shape = "doc_id long, digest long, print long, size int, cells binary, prefix array<long>, map array<long>, wide array<long>"
     own = cut(rows.mapInArrow(_prepared(shingle, tenths, level), shape), "prepared")
     test = _Test(rows, own, shingle, tenths)
     groups = None
@@ -201,18 +217,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if test(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()):
         groups = test.components()
 
-    # sizes of a pair are at most 1.25-fold apart, so they meet in the larger one's band
-    band = F.floor(F.log("size") / F.log(F.lit(1.3)))
-    tokens = own.select("digest", "size", F.explode("prefix").alias("token"))
-    tokens = tokens.select("digest", "size", "token", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("token", "band").alias("token"), "digest", "size")
-    shared = tokens.groupBy("token").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("token")
-    active = cut(tokens.join(shared, "token", "left_semi").distinct(), "active")
+    # a group is named by its documents: shingles of the same documents are one
+    tokens = own.select("digest", F.explode("prefix").alias("token"))
+    group = W.partitionBy("token")
+    named = tokens.select("digest", *[f("digest").over(group).alias(c) for c, f in (("low", F.min), ("high", F.max))], F.bit_xor(F.xxhash64("digest")).over(group).alias("token"))
+    members = cut(named.filter("low <> high").select("token", "digest").distinct(), "members")
+    # and its maps have one width: a set that may be alike larger ones is in their groups too
+    widths = own.select("digest", "size", F.explode(F.array("map", "wide")).alias("map")).filter("map is not null").dropDuplicates(["digest", "map"])
+    members_of = members.join(widths.withColumn("width", F.size("map")), "digest").withColumn("token", F.xxhash64("token", "width"))
+    before = F.lag("token").over(W.partitionBy("digest", "width").orderBy("token"))
+    active = cut(members_of.withColumn("before", before).drop("width"), "active")
+    release(members)
     held = [active]
 
     def with_components(active: DataFrame) -> DataFrame:
         if groups is None:
-            return active.select("token", "digest", "size", F.col("digest").alias("comp"))
-        return active.join(groups, "digest", "left").select("token", "digest", "size", F.coalesce("component", "digest").alias("comp"))
+            return active.withColumn("comp", F.col("digest"))
+        return active.join(groups, "digest", "left").withColumn("comp", F.coalesce("component", "digest")).drop("component")
 
     pivots = PIVOTS
     while True:
@@ -225,15 +246,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         # the members with the least hashes of so many parts of a group, by component: no order over a whole group
         part = F.pmod(F.xxhash64("comp", F.lit(pivots)), F.lit(pivots))
-        chosen = placed.groupBy("token", part.alias("part")).agg(F.min_by(F.struct("digest", "size", "comp"), F.xxhash64("digest", F.lit(pivots))).alias("p"))
-        chosen = cut(chosen.select("token", F.col("p.digest").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.comp").alias("pivot_comp")), "pivots")
+        about = ["digest", "size", "map", "before", "comp"]
+        chosen = placed.groupBy("token", part.alias("part")).agg(F.min_by(F.struct(*about), F.xxhash64("digest", F.lit(pivots))).alias("p"))
+        chosen = cut(chosen.select("token", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in about]), "pivots")
         held = [placed, chosen]
-        fits = 10 * F.least("size", "pivot_size") >= tenths * F.greatest("size", "pivot_size")
-        pairs = placed.join(chosen, "token").filter((F.col("comp") != F.col("pivot_comp")) & fits)
-        if test(pairs.select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct()):
+        both = F.col("size") + F.col("pivot_size")
+        differ = F.aggregate(F.zip_with("map", "pivot_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        fits = (10 * F.least("size", "pivot_size") >= tenths * F.greatest("size", "pivot_size")) & ((10 + tenths) * (both - differ) >= 2 * tenths * both)
+        first = F.coalesce(F.col("before") != F.col("pivot_before"), F.lit(True))
+        pairs = placed.join(chosen, "token").filter((F.col("comp") != F.col("pivot_comp")) & first & fits)
+        if test(pairs.select(F.least("digest", "pivot_digest").alias("a"), F.greatest("digest", "pivot_digest").alias("b")).distinct()):
             groups = test.components()
-        active = placed.join(chosen.select("token", F.col("pivot").alias("digest")), ["token", "digest"], "left_anti").select("token", "digest", "size")
-        pivots *= 4
+        active = placed.join(chosen.select("token", F.col("pivot_digest").alias("digest")), ["token", "digest"], "left_anti").drop("comp")
+        pivots *= GROWTH
 
     named = own.select("doc_id", "digest", F.col("digest").alias("comp"))
     if groups is not None:
@@ -252,5 +277,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     rows = keyed(docs)
     groups = near_groups(rows, ROW, text_col, shingle, tenths).select(F.col("doc_id").alias(ROW), "component_id")
     placed = rows.select(place(F.col(id_col), (1 << 63) - 1).alias("place"), ROW).join(groups, ROW)
-    first = placed.groupBy("component_id").agg(F.min("place").alias("place")).select(row_of(F.col("place")).alias(ROW))
-    return rows.join(first, ROW, "left_semi").select(docs.columns)
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = cut(placed.join(first, "component_id").filter("place <> first").select(ROW), "gone")
+    flagged = likely(rows, ROW, gone)
+    stay = flagged.filter("not _likely").unionByName(flagged.filter("_likely").join(gone, ROW, "left_anti"))
+    return stay.select(docs.columns)

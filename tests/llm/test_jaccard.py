@@ -80,3 +80,32 @@ def test_cell_counts_never_bound_too_low():
 
 def test_short_texts_differ_by_length():
     assert not np.intersect1d(jaccard.shingles("a b"), jaccard.shingles("a b c")).size
+
+
+def test_unlike_copies_of_one_text_are_not_paired(spark, monkeypatch):
+    """Copies of one text that are less alike than the bound share rare shingles, and end before they are rows."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(100):
+        copy = list(base)
+        for at in rng.sample(range(60), 5):  # 25 shingles or so: any two copies have under 0.8 in common
+            copy[5 * at] = f"x{rng.randint(0, 1 << 40)}"
+        texts.append(" ".join(copy))
+    tested, test = [], jaccard._Test.__call__
+    monkeypatch.setattr(jaccard._Test, "__call__", lambda self, pairs: tested.append(pairs.count()) or test(self, pairs))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_groups(docs).collect()}
+    want = plain_groups(texts)
+    assert got == dict(enumerate(want))
+    assert sum(tested) < 5 * len(texts)
+
+
+def test_bit_maps_never_tell_sets_too_far_apart():
+    rng = np.random.default_rng(6)
+    for n in (1, 64, 65, 400, 9000):
+        one = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        other = np.unique(np.concatenate([one[: n * 9 // 10], rng.integers(-(1 << 63), 1 << 63, n // 10)]))
+        for words in (jaccard.map_words(n), jaccard.map_words(n * 10 // 8)):
+            x, y = (jaccard.bit_map(s, words).view(np.uint64) for s in (one, other))
+            assert len(x) == words and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(one, other))

@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 
 import corpus_pipeline
 import numpy as np
 import sentencepiece
+from pyspark.sql import functions as F
 
 from passagekit.llm import mixing, sentencepiece_codec, toxicity
 from passagekit.llm.common import cut, documents, read
@@ -123,3 +125,15 @@ def test_stages_with_odd_rows(spark, tmp_path):
     assert sizes["exact dedup"] == sorted(["1", "5", "None", "7", "9"])
     assert sizes["near dedup"] == sorted(["1", "5", "7", "9"])
     assert set(sizes["mixing"]) <= set(sizes["near dedup"]) and docs.count() == len(sizes["mixing"])
+
+
+def test_no_shuffle_files_stay_behind_a_table(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: manager.getAllFiles().mkString("\n").count("/shuffle_")
+    before = files()
+    table = cut(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count(), "counted")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 10
