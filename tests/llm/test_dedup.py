@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -252,3 +253,17 @@ def test_repeats_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (2, text + " end"), (None, text)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_removed) for r in debruijn.remove_repeats(docs).collect())
     assert got == [("1", 0), ("1", 0), ("2", 30), ("None", 30)]
+
+
+def test_steps_leave_no_shuffle_files(spark, docs):
+    """What the steps of op8 have shuffled is deleted with each step, not when the driver's garbage goes."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.rsplit("/shuffle_", 1)[1].split("_")[0] for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    docs.count()
+    before = shuffles()
+    found = debruijn.remove_repeats(docs)
+    for _ in range(50):
+        if len(shuffles() - before) <= 2:
+            break
+        time.sleep(0.1)
+    assert len(shuffles() - before) <= 2 and found.columns[0] == "doc_id"  # a count of links is no table
