@@ -46,3 +46,22 @@ def test_files_after_one_that_holds_the_cell_are_left_out(spark):
     spots = at(spark, (40.5, 10.5, day + HOUR))
     assert forecast.select_file(spots, known).first().path == "same19"
     assert forecast.foremost(known).count() == 20  # one of 20, and 19 of other boxes than it
+
+
+def waves(spark):
+    return spark.createDataFrame([("f", 0, i, j, float(i + j), float(i * j), 9999.0 if i == j == 1 else float(i)) for i in range(3) for j in range(3)], "path string, frame int, i int, j int, u double, v double, swh double")
+
+
+def test_a_sample_reads_four_cells_as_one_row(spark):
+    """Points are neither multiplied by corners nor grouped again; a missing or masked corner counts nothing."""
+    known, spots = files(spark, {}), at(spark, (40.25, 10.5, T0), (41.5, 11.5, T0), (50.0, 10.0, T0))
+    found = forecast.sample(spots, known, lambda wanted: waves(spark), ["u", "v"])
+    assert not {"Aggregate", "Generate"} & {word for line in plan(found).splitlines() for word in line.replace("+-", " ").split()}
+    assert {r.id: (r.path, r.u, r.v) for r in found.collect()} == {0: ("f", 0.75, 0.125), 1: ("f", 3.0, 2.25), 2: ("", 0.0, 0.0)}
+
+
+def test_a_wave_leaves_out_masked_corners(spark):
+    known, spots = files(spark, {}), at(spark, (40.5, 10.5, T0), (41.5, 11.5, T0), (50.0, 10.0, T0))
+    found = forecast.sample_wave(spots, known, lambda wanted: waves(spark))
+    assert not {"Aggregate", "Generate"} & {word for line in plan(found).splitlines() for word in line.replace("+-", " ").split()}
+    assert {r.id: r.swh for r in found.collect()} == {0: 1 / 3, 1: (1 + 2 + 2) / 3}
