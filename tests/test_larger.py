@@ -1,11 +1,12 @@
 """What must hold on larger tables: rows that are not multiplied, and results that stay those of plain versions."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from passagekit.operators import forecast
-from tests.test_operators import HOUR, T0, at, files
+from passagekit.operators import depth, forecast
+from tests.test_operators import HOUR, T0, at, files, segs
 
 
 def plan(frame):
@@ -65,3 +66,60 @@ def test_a_wave_leaves_out_masked_corners(spark):
     found = forecast.sample_wave(spots, known, lambda wanted: waves(spark))
     assert not {"Aggregate", "Generate"} & {word for line in plan(found).splitlines() for word in line.replace("+-", " ").split()}
     assert {r.id: r.swh for r in found.collect()} == {0: 1 / 3, 1: (1 + 2 + 2) / 3}
+
+
+def plain_pixels(lat1, lon1, lat2, lon2, raster):
+    """Pixels whose open square a piece enters, by clipping, and those of its ends."""
+    n, found = max(1, math.ceil(apart(lat1, lon1, lat2, lon2))), set()
+    for k in range(1, n + 1):
+        (x0, y0), (x1, y1) = ((((lon1 + (lon2 - lon1) * (m / n)) - raster.lon0) / raster.size, ((lat1 + (lat2 - lat1) * (m / n)) - raster.lat0) / raster.size) for m in (k - 1, k))
+        found |= {(math.floor(x0), math.floor(y0)), (math.floor(x1), math.floor(y1))}
+        for x in range(math.floor(min(x0, x1)), math.floor(max(x0, x1)) + 1):
+            for y in range(math.floor(min(y0, y1)), math.floor(max(y0, y1)) + 1):
+                (a, b), (c, d) = (sorted(((p - s) / (e - s), (p + 1 - s) / (e - s))) if e != s else (0.0, 1.0) for p, s, e in ((x, x0, x1), (y, y0, y1)))
+                if max(0.0, a, c) < min(1.0, b, d):
+                    found.add((x, y))
+    return found
+
+
+def apart(lat1, lon1, lat2, lon2):
+    p, q = math.radians(lat1), math.radians(lat2)
+    a = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 3440.065 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+
+def test_pixels_at_a_corner(spark):
+    """Legs that meet a pixel's corner to within rounding pass the pixels that clipping gives, as the SQL has them."""
+    raster = depth.Raster(54.0, 10.0, 0.1)
+    rng = random.Random(3)
+    ways = [(57.482000000000006, 12.103333333333333, 57.5, 12.1), (54.708, 15.886666666666667, 54.698, 15.903333333333332), (55.9792, 16.165333333333333, 56.0032, 16.205333333333332), (55.0, 11.0, 55.3, 11.0), (55.0, 11.0, 55.0, 11.0)]
+    ways += [(54 + rng.random(), 10 + rng.random(), 54 + rng.random(), 10 + rng.random()) for _ in range(40)]
+    got = {}
+    for r in depth.cells_on_segments(segs(spark, *ways), raster).collect():
+        got.setdefault(r.id, set()).add((r.x, r.y))
+    assert got == {k: plain_pixels(*way, raster) for k, way in enumerate(ways)}
+
+
+def test_files_of_one_box_are_compared_once(spark):
+    """What holds a file is told for its box and period, whatever number of files share them."""
+    wide = dict(lat_min=39.0, lat_max=43.0, start_ms=T0 - HOUR, end_ms=T0 + 2 * HOUR)
+    rows = [dict(path=f"s{k}", mtime=k) for k in range(40)] + [wide | dict(path=f"w{k}", reference_ms=T0 - HOUR + k % 2 * 2 * HOUR, mtime=k) for k in range(40)] + [dict(path="old", end_ms=T0 - 2 * HOUR, start_ms=T0 - 9 * HOUR)]
+    found = forecast.combination(files(spark, *rows), T0)
+    got = {r.path: (r.recommended, r.reason) for r in found.collect()}
+    assert [p for p, (good, _) in got.items() if good] == ["w39"] and got["old"] == (False, "ended hours ago: 2")
+    assert {why for p, (_, why) in got.items() if p not in ("w39", "old")} == {"covered by w39"}
+    assert "Window" not in plan(found)  # no order of all files in one task
+
+
+def test_currents_make_the_freshest_files_cells_alone(spark):
+    known = files(spark, dict(type="current", path="a", mtime=1), dict(type="current", path="b", mtime=2), dict(type="wind", path="c", mtime=3))
+    asked = []
+
+    def made(wanted):
+        asked.extend(sorted(tuple(r) for r in wanted.collect()))
+        return waves(spark).withColumn("path", F.lit("b"))
+
+    found = forecast.currents_at(at(spark, (40.5, 10.5, T0), (50.0, 10.0, T0)), known, made)
+    assert asked == [("b", 0), ("b", 1)] and {r.id: (r.u, r.v) for r in found.collect()} == {0: (1.0, 0.25), 1: (0.0, 0.0)}
+    every = waves(spark).withColumn("path", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    assert {r.id: r.u for r in forecast.currents_at(at(spark, (40.5, 10.5, T0)), known, every).collect()} == {0: 1.0}
