@@ -3,10 +3,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from passagekit.operators import depth, forecast
-from tests.test_operators import HOUR, T0, at, files, segs
+from passagekit.operators import depth, forecast, scratch, spatial
+from tests.test_operators import HOUR, T0, at, edges, files, ring, segs
 
 
 def plan(frame):
@@ -123,3 +124,63 @@ def test_currents_make_the_freshest_files_cells_alone(spark):
     assert asked == [("b", 0), ("b", 1)] and {r.id: (r.u, r.v) for r in found.collect()} == {0: (1.0, 0.25), 1: (0.0, 0.0)}
     every = waves(spark).withColumn("path", F.explode(F.array(F.lit("a"), F.lit("b"))))
     assert {r.id: r.u for r in forecast.currents_at(at(spark, (40.5, 10.5, T0)), known, every).collect()} == {0: 1.0}
+
+
+def coast_and_ways(spark, seed=11):
+    rng = random.Random(seed)
+    rings = [ring(square(lon, lat, lon + 0.3, lat + 0.2)) for lon, lat in ((10.0, 55.0), (11.05, 55.4), (10.5, 56.3), (13.0, 54.0))]
+    coast = edges(spark, *rings)
+    ways = [(lat := 54 + 3 * rng.random(), lon := 9 + 5 * rng.random(), lat + rng.uniform(-0.1, 0.1), lon + rng.uniform(-0.2, 0.2)) for _ in range(150)]
+    return coast, ways + [(55.0, 10.0, 55.0, 10.0), (55.1, 10.1, 55.1, 10.1)]
+
+
+def square(west, south, east, north):
+    return [(west, south), (east, south), (east, north), (west, north)]
+
+
+def plain_shore(way, sides):
+    """Least distance of a way that touches no side, in the plane of its middle."""
+    lat1, lon1, lat2, lon2 = way
+    scale = 60 * math.cos(math.radians((lat1 + lat2) / 2))
+    flat = lambda lat, lon: (lon * scale, lat * 60)
+
+    def gap(p, a, b):
+        d = (b[0] - a[0], b[1] - a[1])
+        n = d[0] ** 2 + d[1] ** 2
+        t = 0 if n == 0 else min(1, max(0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / n))
+        return math.hypot(p[0] - a[0] - t * d[0], p[1] - a[1] - t * d[1])
+
+    a, b = flat(lat1, lon1), flat(lat2, lon2)
+    return min(min(gap(a, c, d), gap(b, c, d), gap(c, a, b), gap(d, a, b)) for c, d in ((flat(e.lat1, e.lon1), flat(e.lat2, e.lon2)) for e in sides))
+
+
+def test_coasts_are_joined_by_their_real_size(spark, monkeypatch):
+    """Edges are copied while they are few and merged otherwise; segments, multiplied by cells, are never sent through the driver."""
+    coast, ways = coast_and_ways(spark)
+    found = lambda rows: {r.id: r.shore_nm for r in rows.collect()}
+    few = spatial.shore_distances(segs(spark, *ways), coast, 12.0)
+    assert "strategy=broadcast" in plan(few)
+    monkeypatch.setattr(scratch, "FEW", 0)
+    coast, _ = coast_and_ways(spark)
+    many = spatial.shore_distances(segs(spark, *ways), coast, 12.0)
+    assert "strategy=merge" in plan(many) and "strategy=broadcast" not in plan(many)
+    sides, got = coast.collect(), found(few)
+    assert got == found(many)
+    want = {k: d for k, way in enumerate(ways) if (d := plain_shore(way, sides)) <= 12}
+    assert want.keys() == got.keys() and len(want) > 20
+    assert all(got[k] == pytest.approx(d, abs=1e-9) or got[k] == 0 for k, d in want.items())
+
+
+@pytest.mark.parametrize("within", [4.0, 60.0, 150.0])
+def test_nearest_coast_by_short_lists(spark, within):
+    """A place meets the few edges that can be the nearest in its cell, and has the distance to the nearest of all."""
+    coast, ways = coast_and_ways(spark)
+    rows = spark.createDataFrame([(k, w[0], w[1]) for k, w in enumerate(ways)], "id long, lat double, lon double")
+    found = spatial.with_nearest(rows, coast, within)
+    assert "Aggregate" not in plan(found)
+    sides = coast.collect()
+    for r in found.collect():
+        want = plain_shore((r.lat, r.lon, r.lat, r.lon), sides)
+        assert r.shore_nm == pytest.approx(want, abs=1e-9) if want <= within else r.shore_nm is None
+    cells = rows.select(F.floor(F.col("lat") * 10).alias("_row"), F.floor(F.col("lon") * 10).alias("_col")).distinct()
+    assert spatial._nearest_edges(cells, coast, within).agg(F.max(F.size("near"))).first()[0] < 12  # of 16
