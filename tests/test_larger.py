@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from passagekit.operators import depth, forecast, scratch, spatial
+from passagekit.operators import depth, forecast, legs, scratch, spatial
 from tests.test_operators import HOUR, T0, at, edges, files, ring, segs
 
 
@@ -184,3 +184,11 @@ def test_nearest_coast_by_short_lists(spark, within):
         assert r.shore_nm == pytest.approx(want, abs=1e-9) if want <= within else r.shore_nm is None
     cells = rows.select(F.floor(F.col("lat") * 10).alias("_row"), F.floor(F.col("lon") * 10).alias("_col")).distinct()
     assert spatial._nearest_edges(cells, coast, within).agg(F.max(F.size("near"))).first()[0] < 12  # of 16
+
+
+def test_course_of_a_leg_without_length(spark):
+    """What rounding leaves of a course is that of the C library, as in the SQL; other legs, and pairs that are one place, have their course."""
+    spots = [(58.95680000000001, 22.181333333333335), (58.9568, 22.18133333333334), (56.25599999999999, 17.333333333333332), (56.256, 17.333333333333336), (56.256, 17.333333333333336), (57.256, 17.333333333333336)]
+    rows = spark.createDataFrame([(0, k, lat, lon, k, 0.0, 0.0, 5.0, 5.0) for k, (lat, lon) in enumerate(spots)], "route_id long, seq long, lat double, lon double, t_ms long, heading double, wind_from double, tws double, speed double")
+    got = [round(r.course, 6) for r in legs.kinematics(rows).orderBy("seq").collect()]
+    assert (got[0], got[2], got[3], got[4]) == (169.131018, 31.818801, 0.0, 0.0) and len(got) == 5
